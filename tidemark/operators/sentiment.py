@@ -38,18 +38,30 @@ def compound(total: Column) -> Column:
 
 
 def words_with_context(words: Column) -> Column:
-    """Each word with the three words before it and its side of the first 'but'."""
-    but = F.array_position(words, "but")
-    return F.transform(
-        words,
-        lambda word, at: F.struct(
-            word.alias("token"),
-            F.when(at >= 1, F.get(words, at - 1)).alias("back1"),
-            F.when(at >= 2, F.get(words, at - 2)).alias("back2"),
-            F.when(at >= 3, F.get(words, at - 3)).alias("back3"),
-            F.when(but == 0, 1.0).when(at + 1 < but, BEFORE_BUT).when(at + 1 > but, AFTER_BUT).otherwise(1.0).alias("side"),
-        ),
-    )
+    """Each word with the three words before it and its side of the first 'but'.
+
+    The word list is bound to a name by an outer one-element transform: written out at each use,
+    it would be split again for every word.
+    """
+
+    def of(text: Column) -> Column:
+        every, but = text["words"], text["but"]
+        return F.transform(
+            every,
+            lambda word, at: F.struct(
+                word.alias("token"),
+                F.when(at >= 1, F.get(every, at - 1)).alias("back1"),
+                F.when(at >= 2, F.get(every, at - 2)).alias("back2"),
+                F.when(at >= 3, F.get(every, at - 3)).alias("back3"),
+                F.when((but > 0) & (at + 1 < but), BEFORE_BUT)
+                .when((but > 0) & (at + 1 > but), AFTER_BUT)
+                .otherwise(1.0)
+                .alias("side"),
+            ),
+        )
+
+    listed = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.array_position(ws, "but").alias("but")))
+    return F.get(F.transform(listed, of), F.lit(0))
 
 
 def modified(valence: Column) -> Column:

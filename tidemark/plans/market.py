@@ -37,6 +37,16 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks with a volume of their own: one to a hundred, by the customer's number."""
+    return table(spark, folder, "orders").select(
+        F.to_date("o_orderdate").alias("Date"),
+        F.col("o_orderpriority").alias("Ticker"),
+        F.col("o_totalprice").alias("Close"),
+        (F.col("o_custkey") % 100 + 1).alias("Volume"),
+    )
+
+
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     """Daily mean price, and number of ticks as volume."""
     return ticks(spark, folder).groupBy("Date", "Ticker").agg(
