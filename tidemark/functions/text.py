@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 # The characters kept by cleaning, and what counts as white space
 # (Unicode white space and the four ASCII separators).
-NOT_KEPT = r"(?U)[^a-zA-Z0-9\s\x1c-\x1f]"
+NOT_KEPT = r"(?U)[^a-zA-Z0-9\s\x1c-\x1f]+"
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -15,5 +15,5 @@ def clean_text(c: str) -> Column:
 
 
 def tokens(cleaned: Column) -> Column:
-    """Words of a cleaned text, in order."""
-    return F.filter(F.split(cleaned, WHITE_SPACE), lambda word: word != "")
+    """Words of a cleaned text, in order; the first or last may be empty, and equals no word."""
+    return F.split(cleaned, WHITE_SPACE)

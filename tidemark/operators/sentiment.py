@@ -37,35 +37,21 @@ def compound(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + ALPHA), DIGITS)
 
 
-def words_with_context(words: Column) -> Column:
-    """Each word with the three words before it and its side of the first 'but'.
-
-    The word list is bound to a name by an outer one-element transform: written out at each use,
-    it would be split again for every word.
-    """
-
-    def of(text: Column) -> Column:
-        every, but = text["words"], text["but"]
-        return F.transform(
-            every,
-            lambda word, at: F.struct(
-                word.alias("token"),
-                F.when(at >= 1, F.get(every, at - 1)).alias("back1"),
-                F.when(at >= 2, F.get(every, at - 2)).alias("back2"),
-                F.when(at >= 3, F.get(every, at - 3)).alias("back3"),
-                F.when((but > 0) & (at + 1 < but), BEFORE_BUT)
-                .when((but > 0) & (at + 1 > but), AFTER_BUT)
-                .otherwise(1.0)
-                .alias("side"),
-            ),
-        )
-
-    listed = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), F.array_position(ws, "but").alias("but")))
-    return F.get(F.transform(listed, of), F.lit(0))
+def with_neighbours(source: DataFrame, others: list[str]) -> DataFrame:
+    """One row per word of ``_words``: the word, the three words before it, its place, and the place
+    of the first 'but'. Shifted copies of the word list are zipped, so no window and no shuffle."""
+    nothing = F.array(F.lit("").cast("string"))
+    shifted = [F.concat(*([nothing] * k), F.col("_words")).alias(f"back{k}") for k in (1, 2, 3)]
+    zipped = F.arrays_zip(F.col("_words").alias("token"), *shifted)
+    return (
+        source.withColumns({"_but": F.array_position("_words", "but"), "_zipped": zipped})
+        .select(*others, "_but", F.posexplode_outer("_zipped").alias("_at", "_word"))
+        .select(*others, "_but", "_at", "_word.*")
+    )
 
 
 def modified(valence: Column) -> Column:
-    """Valence after intensity words, negation and 'but'; the fields are those of the context."""
+    """Valence after intensity words, negation and 'but', from the columns of ``with_neighbours``."""
     back = [F.col("back1"), F.col("back2"), F.col("back3")]
     boost = F.lit(0.0)
     for word, fade in zip(back, BOOST_FADE):
@@ -74,7 +60,10 @@ def modified(valence: Column) -> Column:
     for word in back:
         negated = negated | F.coalesce(word.isin(NEGATIONS), F.lit(False))
     scaled = valence + F.signum(valence) * boost
-    return F.when(negated, scaled * NEGATION_FACTOR).otherwise(scaled) * F.col("side")
+    before = (F.col("_but") > 0) & (F.col("_at") + 1 < F.col("_but"))
+    after = (F.col("_but") > 0) & (F.col("_at") + 1 > F.col("_but"))
+    side = F.when(before, BEFORE_BUT).when(after, AFTER_BUT).otherwise(1.0)
+    return F.when(valence.isNotNull(), F.when(negated, scaled * NEGATION_FACTOR).otherwise(scaled) * side)
 
 
 def lexicon_score(
@@ -97,9 +86,11 @@ def lexicon_score(
         lexicon = default_lexicon(df.sparkSession)
     row = id or "_row"
     source = df if id else df.withColumn(row, F.monotonically_increasing_id())
-    words = tokens(clean_text(text))
-    listed = words_with_context(words) if negation else F.transform(words, lambda word: F.struct(word.alias("token")))
-    spread = source.select(row, *keep, F.explode_outer(listed).alias("_word")).select(row, *keep, "_word.*")
+    source = source.select(row, *keep, tokens(clean_text(text)).alias("_words"))
+    if negation:
+        spread = with_neighbours(source, [row, *keep])
+    else:
+        spread = source.select(row, *keep, F.explode("_words").alias("token"))
     hits = spread.join(lexicon.select("token", "valence"), "token", "left")
     value = modified(F.col("valence")) if negation else F.col("valence")
     total = F.coalesce(F.sum(value), F.lit(0.0))

@@ -13,6 +13,7 @@ from tidemark.functions.dates import parse_date
 from tidemark.operators.calendar import densify, first_and_last_day
 from tidemark.operators.filling import fill_residual
 from tidemark.series import PANEL
+from tidemark.session import spread_small_scan
 
 # The keys and the first day of the order table, and the spread of the texts.
 KEYS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -76,7 +77,8 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
     key = F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.pmod("doc_id", F.lit(len(KEYS))) + 1).cast("int"))
     day = F.pmod(F.floor(F.col("doc_id") / (len(KEYS) * TEXTS_PER_DAY)), F.lit(TEXT_DAYS)).cast("int")
     written = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day), "dd/MM/yyyy")
-    return table(spark, folder, "documents").select(
+    texts = spread_small_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return texts.select(
         "doc_id", written.alias("date"), key.alias("stock_name"), F.col("text").alias("tweet")
     )
 

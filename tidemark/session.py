@@ -20,6 +20,16 @@ def local_session(cpus: int = 8, name: str = "tidemark") -> SparkSession:
     )
 
 
+def spread_small_scan(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    So few splits mean a small input, or a single large row group that one task would read and
+    compute on. A scan with enough splits, as any large table has, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy.
 
