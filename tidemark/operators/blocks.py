@@ -68,7 +68,7 @@ def lay_out(df: DataFrame, halo: int, series: Series) -> DataFrame:
     last = whole_div(F.col(POS) + halo, series.block_rows)
     return (
         rows.withColumn("_own", own)
-        .withColumn(BLOCK, F.explode(F.sequence("_own", last)))
+        .withColumn(BLOCK, F.explode_outer(F.sequence("_own", last)))
         .withColumn(HALO, F.col(BLOCK) > F.col("_own"))
         .drop("_own")
     )

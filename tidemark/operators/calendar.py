@@ -10,7 +10,7 @@ from tidemark.series import SERIES, Series
 
 
 def keys_df(spark: SparkSession, keys: list[str], key: str = "Ticker") -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], f"{key} string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys])).alias(key))
 
 
 def first_and_last_day(df: DataFrame, date: str = "Date") -> tuple[Column, Column]:
@@ -89,7 +89,7 @@ def densify(
         }
     )
     days = trim(stretched).withColumn(
-        "_day", F.explode(F.sequence("_from", F.date_sub("_until", 1), F.expr("interval 1 day")))
+        "_day", F.explode_outer(F.sequence("_from", F.date_sub("_until", 1), F.expr("interval 1 day")))
     )
     holds = F.col("_day") >= F.col(date) if fill else F.col("_day") == F.col(date)
     dense = days.select(

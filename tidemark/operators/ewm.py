@@ -57,29 +57,39 @@ def local_sums(means: dict[str, tuple[str, float]], series: Series) -> dict[str,
     return columns
 
 
-def finished(means: dict[str, tuple[str, float]], w: WindowSpec) -> dict[str, Column]:
-    """The means, from the local sums, the stretch before, and the start value of the series."""
+def carried_over(means: dict[str, tuple[str, float]], w: WindowSpec) -> dict[str, Column]:
+    """Windows over the whole block: the end of the stretch before, and where each input starts."""
     lengths = share_stretches([span for _, span in means.values()])
     running = so_far(w)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     columns = {}
     for out, (c, span) in means.items():
-        q = decay(span)
         x = F.col(c)
+        if decay(span) == 0:
+            columns[f"_latest_{out}"] = F.last(x, ignorenulls=True).over(running)
+            continue
+        is_end = F.pmod(F.col(POS), F.lit(lengths[span])) == lengths[span] - 1
+        columns[f"_carried_{out}"] = F.last(F.when(is_end, F.col(f"_local_{out}")), ignorenulls=True).over(before)
+        columns[f"_start_{c}"] = F.first(x, ignorenulls=True).over(running)
+        columns[f"_since_{c}"] = F.first(F.when(x.isNotNull(), F.col(POS)), ignorenulls=True).over(running)
+    return columns
+
+
+def combined(means: dict[str, tuple[str, float]]) -> dict[str, Column]:
+    """The means, from the local sums, the stretch before, and the start value of the series."""
+    lengths = share_stretches([span for _, span in means.values()])
+    columns = {}
+    for out, (c, span) in means.items():
+        q = decay(span)
         if q == 0:
-            columns[out] = F.last(x, ignorenulls=True).over(running)
+            columns[out] = F.col(f"_latest_{out}")
             continue
-        local = F.col(f"_local_{out}")
         offset = F.pmod(F.col(POS), F.lit(lengths[span]))
-        is_end = offset == lengths[span] - 1
-        carried = F.last(F.when(is_end, local), ignorenulls=True).over(before)
-        start = F.first(x, ignorenulls=True).over(running)
-        started = F.first(F.when(x.isNotNull(), F.col(POS)), ignorenulls=True).over(running)
-        age = F.col(POS) - started
+        start, age = F.col(f"_start_{c}"), F.col(POS) - F.col(f"_since_{c}")
         columns[out] = F.when(
             start.isNotNull(),
-            F.coalesce(local, F.lit(0.0))
-            + F.coalesce(carried, F.lit(0.0)) * F.pow(F.lit(q), offset + 1)
+            F.coalesce(F.col(f"_local_{out}"), F.lit(0.0))
+            + F.coalesce(F.col(f"_carried_{out}"), F.lit(0.0)) * F.pow(F.lit(q), offset + 1)
             + start * F.pow(F.lit(q), age + 1),
         )
     return columns
@@ -92,8 +102,8 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]], series: Series
     """
     halo = max(reach(span) for _, span in means.values())
     laid = lay_out(df, halo, series).withColumns(local_sums(means, series))
-    out = laid.withColumns(finished(means, block_window(series)))
-    return trim(out).drop(*[f"_local_{name}" for name in means])
+    out = laid.withColumns(carried_over(means, block_window(series))).withColumns(combined(means))
+    return trim(out).select(*[c for c in df.columns if c not in means], *means)
 
 
 def ewm_mean(df: DataFrame, c: str, span: float, out: str, series: Series = SERIES) -> DataFrame:

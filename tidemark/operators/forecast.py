@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -75,35 +76,33 @@ def ar_forecast(df: DataFrame, steps: int = STEPS, price: str = "Close", series:
     return stepped(fit, path, F.col("_last"), steps, series)
 
 
-def least_squares(moments: DataFrame, key: str, inputs: int) -> DataFrame:
-    """Coefficients from covariances, one small system per key: (key, coefficients, _drift).
+def least_squares(inputs: int) -> Callable[[Column, Column], Column]:
+    """Column function from covariances and means to coefficients: one small system per row.
 
-    ``_cov`` holds the upper triangle over the inputs and then the target, ``_avg`` the means.
-    Inputs are scaled to unit variance first; dependent inputs share their effect.
+    The covariances are the upper triangle over the inputs and then the target. Inputs are scaled
+    to unit variance first; inputs that depend on each other share their effect.
     """
 
-    def solve(batches: Iterator) -> Iterator:
+    def solve(covariances: pd.Series, averages: pd.Series) -> pd.DataFrame:
         import numpy as np
-        import pandas as pd
 
         size = inputs + 1
         upper = np.triu_indices(size)
-        for batch in batches:
-            rows = []
-            for name, cov, avg in zip(batch[key], batch["_cov"], batch["_avg"]):
-                full = np.zeros((size, size))
-                full[upper] = np.asarray(cov, dtype=float)
-                full = full + np.triu(full, 1).T
-                scale = np.sqrt(np.diag(full))
-                scale[scale == 0] = 1.0
-                unit = full / np.outer(scale, scale)
-                weights, *_ = np.linalg.lstsq(unit[:-1, :-1], unit[:-1, -1], rcond=1e-10)
-                weights = weights * scale[-1] / scale[:-1]
-                avg = np.asarray(avg, dtype=float)
-                rows.append((name, weights.tolist(), float(avg[-1] - weights @ avg[:-1])))
-            yield pd.DataFrame(rows, columns=[key, "_weights", "_drift"])
-
-    return moments.mapInPandas(solve, f"{key} string, _weights array<double>, _drift double")
+        rows = []
+        for covariance, average in zip(covariances, averages):
+            full = np.zeros((size, size))
+            full[upper] = np.asarray(covariance, dtype=float)
+            full = np.nan_to_num(full + np.triu(full, 1).T)
+            scale = np.sqrt(np.diag(full))
+            scale[scale == 0] = 1.0
+            unit = full / np.outer(scale, scale)
+            weights, *_ = np.linalg.lstsq(unit[:-1, :-1], unit[:-1, -1], rcond=1e-10)
+            weights = weights * scale[-1] / scale[:-1]
+            means = np.nan_to_num(np.asarray(average, dtype=float))
+            rows.append((weights.tolist(), float(means[-1] - weights @ means[:-1])))
+        return pd.DataFrame(rows, columns=["weights", "drift"])
+
+    return F.pandas_udf(solve, "weights array<double>, drift double")
 
 
 def ar_exog_forecast(
@@ -111,35 +110,38 @@ def ar_exog_forecast(
 ) -> DataFrame:
     """As ``ar_forecast`` with further inputs; their last ``steps`` rows stand in for the future.
 
-    All covariances of a key come from one aggregate with partial sums. Only one small row per
-    key reaches Python, where its linear system is solved.
+    One aggregate with partial sums gives all covariances of a key and its last rows. Only that
+    one row per key reaches Python, where a small linear system is solved.
     """
     names = ["_d_before", *exog, "_d"]
-    rows = changes(df.na.fill(0.0, subset=exog), price, series)
-    complete = rows.where(F.col("_d_before").isNotNull())
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = complete.groupBy(series.key).agg(
-        F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_cov"),
-        F.array(*[F.avg(a) for a in names]).alias("_avg"),
+    inputs = F.array(*[F.col(c).cast("double") for c in exog])
+    rows = over_blocks(
+        df.na.fill(0.0, subset=exog),
+        max(2, steps - 1),
+        lambda w: {"_d": diff(price, w), "_future": F.collect_list(inputs).over(w.rowsBetween(-(steps - 1), 0))},
+        lambda w: {"_d_before": shift("_d", 1, w)},
+        series=series,
     )
-    weights = least_squares(moments, series.key, len(names) - 1)
-    state = rows.groupBy(series.key).agg(
+    complete = {c: F.when(F.col("_d_before").isNotNull(), F.col(c)) for c in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    fit = rows.groupBy(series.key).agg(
+        F.array(*[F.covar_pop(complete[a], complete[b]) for a, b in pairs]).alias("_cov"),
+        F.array(*[F.avg(complete[a]) for a in names]).alias("_avg"),
         F.max_by("_d", series.date).alias("_d_last"),
+        F.max_by("_future", series.date).alias("_future"),
         F.max_by(price, series.date).alias("_last"),
         F.max(series.date).alias("_last_day"),
     )
-    ahead = last_n(df.na.fill(0.0, subset=exog), steps, series).groupBy(series.key).agg(
-        F.sort_array(F.collect_list(F.struct("step", F.array(*[F.col(c).cast("double") for c in exog]).alias("x")))).alias("_future")
-    )
-    joined = state.join(weights, series.key).join(ahead, series.key)
-    exog_weights = F.slice("_weights", 2, len(exog))
+    solved = fit.withColumn("_model", least_squares(len(names) - 1)("_cov", "_avg"))
+    weights = F.col("_model.weights")
+    exog_weights = F.slice(weights, 2, len(exog))
     effect = F.transform(
         "_future",
-        lambda future: F.col("_drift")
-        + F.aggregate(F.zip_with(exog_weights, future["x"], lambda g, x: g * x), F.lit(0.0), lambda s, v: s + v),
+        lambda future: F.col("_model.drift")
+        + F.aggregate(F.zip_with(exog_weights, future, lambda g, x: g * x), F.lit(0.0), lambda s, v: s + v),
     )
-    path = summed_path(effect, F.get("_weights", F.lit(0)), F.coalesce(F.col("_d_last"), F.lit(0.0)), steps)
-    return stepped(joined, path, F.col("_last"), steps, series)
+    path = summed_path(effect, F.get(weights, F.lit(0)), F.coalesce(F.col("_d_last"), F.lit(0.0)), steps)
+    return stepped(solved, path, F.col("_last"), steps, series)
 
 
 def fit_lookback(sequences: DataFrame, regularisation: float = 1e-6) -> LinearRegressionModel:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import ratio
 from tidemark.operators.blocks import block_window, lay_out, trim
 from tidemark.operators.cumulative import running_sum
-from tidemark.operators.ewm import chained, finished, local_sums, reach
+from tidemark.operators.ewm import carried_over, chained, combined, local_sums, reach
 from tidemark.operators.rolling import diff, rolling_max, rolling_mean, rolling_min, rolling_std, shift
 from tidemark.series import SERIES, Series
 
@@ -181,8 +181,8 @@ def add_indicators(
     if means:
         rows = rows.withColumns(local_sums(means, series))
     for stage in (
-        {**{k: v for one in chosen for k, v in one.first(w, inputs).items()}, **finished(means, w)},
-        {k: v for one in chosen for k, v in one.second(w, inputs).items()},
+        {**{k: v for one in chosen for k, v in one.first(w, inputs).items()}, **carried_over(means, w)},
+        {**{k: v for one in chosen for k, v in one.second(w, inputs).items()}, **combined(means)},
         {k: v for one in chosen for k, v in one.last(inputs).items()},
     ):
         if stage:

@@ -29,7 +29,8 @@ WORDS = {
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(WORDS.items()), "token string, valence double")
+    listed = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(v).alias("valence")) for w, v in WORDS.items()])
+    return spark.range(1).select(F.inline(listed))
 
 
 def compound(total: Column) -> Column:
@@ -87,10 +88,12 @@ def lexicon_score(
     row = id or "_row"
     source = df if id else df.withColumn(row, F.monotonically_increasing_id())
     source = source.select(row, *keep, tokens(clean_text(text)).alias("_words"))
+    # A list of words is never empty; the outer explode keeps the planner from splitting every text
+    # a second time to test for that.
     if negation:
         spread = with_neighbours(source, [row, *keep])
     else:
-        spread = source.select(row, *keep, F.explode("_words").alias("token"))
+        spread = source.select(row, *keep, F.explode_outer("_words").alias("token"))
     hits = spread.join(lexicon.select("token", "valence"), "token", "left")
     value = modified(F.col("valence")) if negation else F.col("valence")
     total = F.coalesce(F.sum(value), F.lit(0.0))

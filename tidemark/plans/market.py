@@ -48,13 +48,17 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily mean price, and number of ticks as volume."""
-    return ticks(spark, folder).groupBy("Date", "Ticker").agg(
+def daily(rows: DataFrame) -> DataFrame:
+    """Daily mean price, and total volume: the number of ticks."""
+    return rows.groupBy("Date", "Ticker").agg(
         F.avg("Close").alias("Close"), F.sum("Volume").cast("double").alias("Volume")
     )
 
 
+def prices(spark: SparkSession, folder: str) -> DataFrame:
+    return daily(ticks(spark, folder))
+
+
 def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
     """A wider panel: mean price and quantity by supplier and shipping day."""
     return table(spark, folder, "lineitem").groupBy(
@@ -64,8 +68,8 @@ def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
 
 def dense(spark: SparkSession, folder: str) -> DataFrame:
     """Prices on every day of every key, carried forward; leading days stay NULL."""
-    days = first_and_last_day(ticks(spark, folder))
-    return densify(prices(spark, folder), span=days)
+    rows = ticks(spark, folder)
+    return densify(daily(rows), span=first_and_last_day(rows))
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +81,7 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
     key = F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.pmod("doc_id", F.lit(len(KEYS))) + 1).cast("int"))
     day = F.pmod(F.floor(F.col("doc_id") / (len(KEYS) * TEXTS_PER_DAY)), F.lit(TEXT_DAYS)).cast("int")
     written = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day), "dd/MM/yyyy")
-    texts = spread_small_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    texts = spread_small_scan(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return texts.select(
         "doc_id", written.alias("date"), key.alias("stock_name"), F.col("text").alias("tweet")
     )

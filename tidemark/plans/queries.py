@@ -20,6 +20,7 @@ from tidemark.operators.indicators import add_indicators, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market, pipeline
 from tidemark.series import PANEL
+from tidemark.session import cut_lineage
 from tidemark.sources import read_panel, standardize, union_prices, write_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,7 +480,8 @@ def lookback_linear_forecast(spark, folder):
     columns = ["Close", *features.MODEL_FEATURES]
     rows = add_indicators(market.panel(spark, folder), features.MODEL_FEATURES, series=PANEL).na.fill(0.0)
     limits = features.minmax_stats(rows, columns)
-    scaled = features.minmax_scale(rows, columns, stats=limits)
+    # The fit passes over its input several times: it reads a written copy of the scaled panel.
+    scaled = cut_lineage(features.minmax_scale(rows, columns, stats=limits).select("Date", "Ticker", *columns))
     model = forecast.fit_lookback(features.lookback(scaled, columns, "Close", 60, PANEL))
     ahead = forecast.rollout(model, forecast.last_sequence(scaled, columns, 60))
     return features.minmax_invert(ahead, "Close", limits, out="forecast", source="forecast")
