@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, so_far, trim
+from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, place, so_far, trim
 from tidemark.series import SERIES, Series
 
 NEGLIGIBLE = math.log(1e18)
@@ -101,7 +101,7 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]], series: Series
     NULLs may only lead a series; fill gaps first, or use ``ewm_mean_with_gaps``.
     """
     halo = max(reach(span) for _, span in means.values())
-    laid = lay_out(df, halo, series).withColumns(local_sums(means, series))
+    laid = place(lay_out(df, halo, series), series).withColumns(local_sums(means, series))
     out = laid.withColumns(carried_over(means, block_window(series))).withColumns(combined(means))
     return trim(out).select(*[c for c in df.columns if c not in means], *means)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.blocks import block_window, lay_out, trim
+from tidemark.operators.blocks import block_window, lay_out, place, trim
 from tidemark.operators.cumulative import running_sum
 from tidemark.operators.ewm import carried_over, chained, combined, local_sums, reach
 from tidemark.operators.rolling import diff, rolling_max, rolling_mean, rolling_min, rolling_std, shift
@@ -172,12 +172,14 @@ def add_indicators(
         raise ValueError(f"column {inputs.sentiment} is missing")
 
     w = block_window(series)
+    means = {out: (inputs.price, span) for one in chosen for out, span in one.means.items()}
     rows = lay_out(df, max(one.look_back for one in chosen), series)
+    if means:
+        rows = place(rows, series)
     if any(one.running for one in chosen):
         signed = F.signum(diff(inputs.price, w)) * F.col(inputs.volume)
         rows = rows.withColumn("_signed", F.coalesce(signed.cast("double"), F.lit(0.0)))
         rows = running_sum(rows, {"OBV": "_signed"}, series)
-    means = {out: (inputs.price, span) for one in chosen for out, span in one.means.items()}
     if means:
         rows = rows.withColumns(local_sums(means, series))
     for stage in (
