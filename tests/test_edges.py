@@ -177,9 +177,13 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "v double, k string")
     got = statistics.exact_quantiles(df, "v", [0.25, 0.5, 0.9]).collect()[0]
     assert list(got) == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.9])))
-    for row in statistics.exact_quantiles(df, "v", [0.25, 0.75], by="k", buckets=8).collect():
+    for row in statistics.exact_quantiles(df, "v", [0.25, 0.75], by="k", bins=8).collect():
         own = [v for i, v in enumerate(values) if "ab"[i % 2] == row.k]
         assert [row.q0, row.q1] == pytest.approx(list(np.quantile(own, [0.25, 0.75])))
+    for few in ([3.0], [1.0, 2.0], [5.0, 5.0, 5.0]):
+        df = spark.createDataFrame([(v,) for v in few], "v double")
+        got = statistics.exact_quantiles(df, "v", [0.25, 0.75]).collect()[0]
+        assert list(got) == pytest.approx(list(np.quantile(few, [0.25, 0.75])))
 
 
 def test_straight_line_continues_straight(frame):

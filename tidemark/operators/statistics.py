@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
 
+SALTS = 32
+
 
 def pearson(a: str, b: str) -> Column:
     """Correlation over the rows where both are known; NULL where one is constant."""
@@ -35,49 +37,67 @@ def mean_of(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     return grouped.agg(F.avg(c).alias(f"mean_{c}"))
 
 
-def exact_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None = None, buckets: int = 256) -> DataFrame:
+def beside(rows: DataFrame, stats: DataFrame, by: str | None, value: str = "_v") -> DataFrame:
+    """Put the one row of ``stats`` (per key, if ``by`` is given) next to every row.
+
+    Overall statistics are a scalar subquery. Those per key are joined over salted copies, so the
+    rows of a large key meet them in many places.
+    """
+    if by is None:
+        names = stats.columns
+        return rows.withColumn("_stats", stats.select(F.struct(*names)).scalar()).select(*rows.columns, "_stats.*")
+    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.hash(value), F.lit(SALTS)))
+    return spread.join(salted, [by, "_salt"]).drop("_salt")
+
+
+def exact_quantiles(
+    df: DataFrame, c: str, shares: list[float], by: str | None = None, bins: int = 1024, passes: int = 2
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one column ``q0, q1, ..`` per share.
 
-    Equal values are counted first. Value ranges then get equal shares of the rows (by
-    approximate quantiles), the counts per range tell which ranges hold the wanted ranks, and
-    only those ranges are ranked row by row. No task sees more than one range of one key.
+    Each pass counts the rows of the value ranges still in question in ``bins`` equal parts, and
+    keeps the parts that hold a wanted rank, narrowed to their smallest and largest value. Only
+    counts are shuffled. The few values left after the last pass are ranked one by one. The input
+    is read ``passes`` + 2 times: give it a table or a written copy (``cut_lineage``).
     """
     keys = [by] if by else []
-    known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = known.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 10_000).alias("_edges"))
-    counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        spread = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        placed = counted.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(32))).join(spread, [by, "_salt"])
-    else:
-        placed = counted.withColumn("_edges", edges.scalar())
-    placed = placed.withColumn(
-        "_range", F.size(F.filter("_edges", lambda edge: edge < F.col("_v")))
-    ).select(*keys, "_range", "_v", "_n")
-
-    over_ranges = Window.partitionBy(*keys).orderBy("_range")
-    ranges = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
-    ranges = ranges.select(
-        *keys,
-        "_range",
-        (F.sum("_in").over(over_ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).alias("_before"),
-        F.col("_in"),
-        F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"),
+    rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
+    whole = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.lit(0).cast("long").alias("before"))
+    spots = rows.groupBy(*keys).agg(F.count("_v").alias("_all"), whole.alias("_one")).select(
+        *keys, "_all", F.array("_one").alias("_spots")
     )
     wanted = F.array(
-        *[F.floor((F.col("_all") - 1) * share + add).cast("long") for share in shares for add in (0, 1)]
-    )
-    hit = F.exists(
-        wanted, lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in"))
+        *[F.floor((F.col("_all") - 1) * share).cast("long") + add for share in shares for add in (0, 1)]
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        placed.join(ranges.where(hit), [*keys, "_range"])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_rank", F.explode(F.array_distinct(F.filter(
-            wanted, lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-        ))))
+
+    def inside(upto: Column, n: Column) -> Column:
+        return F.filter(wanted, lambda rank: (rank < upto) & (rank >= upto - n))
+
+    def open_rows() -> DataFrame:
+        value = F.col("_v")
+        holding = F.filter("_spots", lambda s: (value >= s["lo"]) & (value <= s["hi"]))
+        return beside(rows, spots, by).select(*keys, "_all", "_v", F.explode(holding).alias("_s")).select(
+            *keys, "_all", "_v", "_s.*"
+        )
+
+    for _ in range(passes):
+        part = F.floor(F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
+        part = F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 1))
+        counts = open_rows().groupBy(*keys, "_all", "lo", "before", part.alias("_part")).agg(
+            F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+        )
+        upto = Window.partitionBy(*keys, "lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        summed = counts.withColumn("_upto", F.col("before") + F.sum("_n").over(upto))
+        kept = F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi"), (F.col("_upto") - F.col("_n")).alias("before"))
+        spots = summed.where(F.size(inside(F.col("_upto"), F.col("_n"))) > 0).groupBy(*keys).agg(
+            F.max("_all").alias("_all"), F.collect_set(kept).alias("_spots")
+        )
+
+    values = open_rows().groupBy(*keys, "_all", "lo", "before", "_v").agg(F.count("_v").alias("_n"))
+    upto = Window.partitionBy(*keys, "lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("before") + F.sum("_n").over(upto)).withColumn(
+        "_rank", F.explode(F.array_distinct(inside(F.col("_upto"), F.col("_n"))))
     )
     at_rank = ranked.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"), F.max("_all").alias("_all")
@@ -105,11 +125,7 @@ def histogram_bounds(df: DataFrame, c: str, bins: int | str = "auto", by: str |
     spread = F.col("hi") - F.col("lo")
     if bins == "auto":
         quartiles = exact_quantiles(df, c, [0.25, 0.75], by)
-        if by:
-            stats = stats.join(quartiles, by)
-        else:
-            both = quartiles.select(F.struct("q0", "q1")).scalar()
-            stats = stats.withColumn("_q", both).withColumns({"q0": F.col("_q.q0"), "q1": F.col("_q.q1")})
+        stats = stats.join(quartiles, by) if by else beside(stats, quartiles, None)
         sturges = spread / (F.log2("_n") + 1)
         freedman = F.greatest(2 * (F.col("q1") - F.col("q0")) / F.cbrt("_n"), spread / (2 * F.sqrt("_n")))
         width = F.when(F.col("q1") > F.col("q0"), F.least(sturges, freedman)).otherwise(sturges)
@@ -126,17 +142,10 @@ def histogram(df: DataFrame, c: str, bins: int | str = "auto", by: str | None =
     keys = [by] if by else []
     bounds = histogram_bounds(df, c, bins, by)
     known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
-    # Equal values (most of all unchanged prices) are counted once before they meet the bounds.
-    known = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        placed = known.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(32))).join(salted, [by, "_salt"])
-    else:
-        one = bounds.select(F.struct("lo", "hi", "bins", "width")).scalar()
-        placed = known.withColumn("_one", one).select("_v", "_n", "_one.*")
+    placed = beside(known, bounds, by)
     inside = F.floor(F.try_divide(F.col("_v") - F.col("lo"), F.col("width")))
     bin_no = F.least(F.coalesce(inside, F.lit(0)), F.col("bins") - 1)
-    counts = placed.groupBy(*keys, bin_no.alias("bin")).agg(F.sum("_n").alias("count"))
+    counts = placed.groupBy(*keys, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
     return every.join(counts, [*keys, "bin"], "left").select(
         *keys,
@@ -168,12 +177,7 @@ def kde(df: DataFrame, c: str, grid: int = 200, by: str | None = None, cut: floa
         ((F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (grid - 1)).alias("_step"),
     )
     counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        salted = setup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        rows = counted.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(32))).join(salted, [by, "_salt"])
-    else:
-        one = setup.select(F.struct("_all", "_h", "_from", "_step")).scalar()
-        rows = counted.withColumn("_one", one).select("_v", "_n", "_one.*")
+    rows = beside(counted, setup, by)
     rows = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("_from") + F.col("point") * F.col("_step")
     z = F.try_divide(x - F.col("_v"), F.col("_h"))

@@ -406,7 +406,8 @@ def mean_volatility(spark, folder):
 
 @query
 def return_histogram(spark, folder):
-    return statistics.histogram(returns(spark, folder), "Daily_Return")
+    # Automatic bins read their input several times: a written copy, not the whole panel job again.
+    return statistics.histogram(cut_lineage(returns(spark, folder).select("Daily_Return")), "Daily_Return")
 
 
 @query
