@@ -106,6 +106,21 @@ def test_exponential_mean_after_leading_nulls(spark):
     same(column(got, "e"), frame.Close.ewm(span=9, adjust=False).mean())
 
 
+@pytest.mark.parametrize("data,series", CASES)
+@pytest.mark.parametrize("span", [1, 2, 20])
+def test_exponential_mean_with_gaps(request, data, series, span):
+    frame, df = request.getfixturevalue(data)
+    day = pd.to_datetime(frame.Date)
+    keep = (day.dt.day % 3 != 0) & (day.dt.month % 4 != 0) & (day > "1969-11-25")
+    holes = frame.assign(Close=frame.Close.where(keep))
+    gaps = (F.dayofmonth("Date") % 3 != 0) & (F.month("Date") % 4 != 0) & (F.col("Date") > "1969-11-25")
+    dotted = df.withColumn("Close", F.when(gaps, F.col("Close")))
+    want = by_key(holes, lambda f: f.Close.ewm(span=span, adjust=False).mean())
+    same(column(ewm.ewm_mean_with_gaps(dotted, "Close", span, "e", series), "e"), want)
+    plain = column(ewm.ewm_mean(dotted, "Close", span, "e", series), "e")
+    assert span == 1 or (plain.isna() | np.isclose(plain, want)).all()
+
+
 @pytest.mark.parametrize("data,series", CASES)
 def test_running_values(request, data, series):
     frame, df = request.getfixturevalue(data)

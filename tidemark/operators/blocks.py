@@ -121,10 +121,15 @@ def with_carry(
 
     ``totals`` are aggregates of a block's own rows. ``carries`` builds columns from them, given
     the window of all earlier blocks and the plain window over the blocks of a key.
+
+    The rows are shuffled once for both uses. The planner shares a shuffle only between uses that
+    need the same columns, so the totals read all of them.
     """
+    every = F.max(F.hash(*laid.columns)).alias("_every")
     per_block = laid.where(~F.col(HALO)).groupBy(series.key, BLOCK).agg(
-        *[value.alias(name) for name, value in totals.items()]
+        *[value.alias(name) for name, value in totals.items()], every
     )
+    per_block = per_block.where(F.col("_every").isNotNull())
     ordered = Window.partitionBy(series.key).orderBy(BLOCK)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     table = per_block.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, so_far, trim, with_carry
+from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, place, so_far, trim, with_carry
 from tidemark.series import SERIES, Series
 
 
@@ -61,7 +61,7 @@ def densify(
     day_series = series.as_daily()
 
     laid = with_carry(
-        lay_out(observed, 0, day_series),
+        place(lay_out(observed, 0, day_series), day_series),
         {
             "_first": F.min(date),
             **{f"_end_{v}": F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(POS))) for v in values},

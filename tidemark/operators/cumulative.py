@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import as_column
-from tidemark.operators.blocks import HALO, block_window, lay_out, over_blocks, so_far, trim, with_carry
+from tidemark.operators.blocks import HALO, block_window, lay_out, over_blocks, place, so_far, trim, with_carry
 from tidemark.operators.rolling import pct_change
 from tidemark.series import SERIES, Series
 
@@ -18,7 +18,7 @@ def ffill(df: DataFrame, columns: list[str], series: Series = SERIES) -> DataFra
     """Carry the last known value forward in each column; leading NULLs stay."""
     series = series.as_daily()
     laid = with_carry(
-        lay_out(df, 0, series),
+        place(lay_out(df, 0, series), series),
         {f"_end_{c}": F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))) for c in columns},
         lambda earlier, _: {f"_carry_{c}": F.last(f"_end_{c}", ignorenulls=True).over(earlier) for c in columns},
         series,
@@ -52,14 +52,14 @@ def running_sum(laid: DataFrame, sums: dict[str, str | Column], series: Series)
 
 def cumsum(df: DataFrame, c: str, out: str, series: Series = SERIES) -> DataFrame:
     series = series.as_daily()
-    return trim(running_sum(lay_out(df, 0, series), {out: c}, series))
+    return trim(running_sum(place(lay_out(df, 0, series), series), {out: c}, series))
 
 
 def cumreturn(df: DataFrame, returns: dict[str, str], series: Series = SERIES) -> DataFrame:
     """Compounded return so far, per entry ``{out: return column}``; NULL returns are skipped."""
     series = series.as_daily()
     laid = with_carry(
-        lay_out(df, 0, series),
+        place(lay_out(df, 0, series), series),
         {f"_total_{out}": F.product(1 + F.col(r)) for out, r in returns.items()},
         lambda earlier, _: {f"_carry_{out}": F.product(F.col(f"_total_{out}")).over(earlier) for out in returns},
         series,

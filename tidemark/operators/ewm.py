@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, place, so_far, trim
+from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, number_rows, place, so_far, trim
+from tidemark.operators.cumulative import ffill
 from tidemark.series import SERIES, Series
 
 NEGLIGIBLE = math.log(1e18)
@@ -72,6 +73,7 @@ def carried_over(means: dict[str, tuple[str, float]], w: WindowSpec) -> dict[str
         columns[f"_carried_{out}"] = F.last(F.when(is_end, F.col(f"_local_{out}")), ignorenulls=True).over(before)
         columns[f"_start_{c}"] = F.first(x, ignorenulls=True).over(running)
         columns[f"_since_{c}"] = F.first(F.when(x.isNotNull(), F.col(POS)), ignorenulls=True).over(running)
+        columns[f"_known_{c}"] = F.count(x).over(running)
     return columns
 
 
@@ -87,7 +89,7 @@ def combined(means: dict[str, tuple[str, float]]) -> dict[str, Column]:
         offset = F.pmod(F.col(POS), F.lit(lengths[span]))
         start, age = F.col(f"_start_{c}"), F.col(POS) - F.col(f"_since_{c}")
         columns[out] = F.when(
-            start.isNotNull(),
+            start.isNotNull() & (F.col(f"_known_{c}") == age + 1),
             F.coalesce(F.col(f"_local_{out}"), F.lit(0.0))
             + F.coalesce(F.col(f"_carried_{out}"), F.lit(0.0)) * F.pow(F.lit(q), offset + 1)
             + start * F.pow(F.lit(q), age + 1),
@@ -98,7 +100,8 @@ def combined(means: dict[str, tuple[str, float]]) -> dict[str, Column]:
 def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]], series: Series = SERIES) -> DataFrame:
     """Add exponentially weighted means, per entry ``{out: (column, span)}``.
 
-    NULLs may only lead a series; fill gaps first, or use ``ewm_mean_with_gaps``.
+    NULLs may only lead a series: where a later one is within reach, the mean is NULL. Fill such gaps
+    first, or use ``ewm_mean_with_gaps``.
     """
     halo = max(reach(span) for _, span in means.values())
     laid = place(lay_out(df, halo, series), series).withColumns(local_sums(means, series))
@@ -110,6 +113,44 @@ def ewm_mean(df: DataFrame, c: str, span: float, out: str, series: Series = SERI
     return ewm_means(df, {out: (c, span)}, series)
 
 
+def ewm_mean_with_gaps(df: DataFrame, c: str, span: float, out: str, series: Series = SERIES) -> DataFrame:
+    """Exponentially weighted mean of a series with NULLs anywhere.
+
+    After a gap the old mean has faded by q per row passed, and the two weights are scaled to sum
+    to one; rows without a value repeat the mean before. Fading is kept as a running sum of
+    logarithms, and stretches are cut where it passes a fixed amount.
+    """
+    q = decay(span)
+    if q == 0:
+        return ffill(df.withColumn(out, F.col(c)), [out], series)
+    log_q, alpha = math.log(q), 1 - q
+    key, date = series.key, series.date
+    observed = number_rows(df.select(key, date, c), series).where(F.col(c).isNotNull()).withColumnRenamed(POS, "_row")
+    laid = place(lay_out(observed, reach(span), Series(key, date, False, series.block_rows)), series)
+
+    w = block_window(series)
+    gap = F.col("_row") - F.lag("_row").over(w)
+    faded = F.pow(F.lit(q), F.col("_gap"))
+    laid = laid.withColumn("_gap", gap).withColumns(
+        {
+            "_weight": F.when(F.col("_gap").isNull(), 1.0).otherwise(alpha / (faded + alpha)),
+            "_fade": F.when(F.col("_gap").isNull(), 0.0).otherwise(F.log(faded + alpha) - F.col("_gap") * log_q),
+        }
+    )
+    laid = laid.withColumn("_total", F.sum("_fade").over(so_far(w)))
+    laid = laid.withColumn("_stretch", F.floor(F.col("_total") / NEGLIGIBLE))
+    since_cut = F.col("_total") - F.col("_stretch") * NEGLIGIBLE
+    within = so_far(Window.partitionBy(key, BLOCK, "_stretch").orderBy(POS))
+    laid = laid.withColumn("_local", F.sum(F.col("_weight") * F.col(c) * F.exp(since_cut)).over(within) * F.exp(-since_cut))
+    is_end = F.lead("_stretch").over(w) != F.col("_stretch")
+    laid = laid.withColumn("_end", F.when(is_end, F.struct("_local", "_total")))
+    before = F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    laid = laid.withColumn("_before", before)
+    carried = F.col("_before._local") * F.exp(F.col("_before._total") - F.col("_total"))
+    means = trim(laid.withColumn(out, F.col("_local") + F.coalesce(carried, F.lit(0.0)))).select(key, date, out)
+    return ffill(df.join(means, [key, date], "left").select(*df.columns, out), [out], series)
+
+
 def chained(outer: float, inner: float, mean_outer: Column, mean_inner: Column) -> Column:
     """ewm(outer) applied to ewm(inner), from the two single means of the same input.
 

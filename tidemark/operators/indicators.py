@@ -174,9 +174,10 @@ def add_indicators(
     w = block_window(series)
     means = {out: (inputs.price, span) for one in chosen for out, span in one.means.items()}
     rows = lay_out(df, max(one.look_back for one in chosen), series)
-    if means:
+    running = any(one.running for one in chosen)
+    if means or running:
         rows = place(rows, series)
-    if any(one.running for one in chosen):
+    if running:
         signed = F.signum(diff(inputs.price, w)) * F.col(inputs.volume)
         rows = rows.withColumn("_signed", F.coalesce(signed.cast("double"), F.lit(0.0)))
         rows = running_sum(rows, {"OBV": "_signed"}, series)
