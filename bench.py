@@ -16,8 +16,8 @@ from tidemark.session import local_session  # noqa: E402
 
 HEADLINE = [
     "daily_mean", "densify", "ffill", "panel", "sma", "bollinger", "rsi", "ema_20", "signal_line", "obv", "stochastic_k",
-    "volatility", "indicators_all", "supplier_indicators", "lexicon_scores", "lexicon_negation", "daily_sentiment",
-    "pipeline_panel_driven", "pipeline_tweet_driven", "benchmark_compare", "correlation_matrix", "return_histogram",
+    "volatility", "indicators_all", "supplier_indicators", "lexicon_score", "lexicon_negation", "daily_sentiment",
+    "panel_driven", "tweet_driven", "benchmark_compare", "correlation_matrix", "return_histogram",
     "return_kde", "minmax_scale", "lookback", "feature_matrix", "ar_forecast", "ar_exog_forecast", "compare_forecast",
     "lookback_linear_forecast",
 ]

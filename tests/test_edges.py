@@ -11,7 +11,7 @@ from tidemark.operators import aggregates, cumulative, features, filling, foreca
 from tidemark.operators.calendar import densify
 from tidemark.operators.indicators import add_indicators, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
-from tidemark.plans.pipeline import panel_driven, tweet_driven
+from tidemark.plans.panels import panel_driven, tweet_driven
 from tidemark.series import PANEL
 
 START = dt.date(2024, 1, 1)
@@ -209,6 +209,29 @@ def test_inputs_explain_the_change(frame):
     assert [r.forecast for r in got] == pytest.approx(list(want), rel=1e-6)
 
 
+def test_all_model_inputs_against_a_direct_solution(spark):
+    import numpy as np
+    from conftest import PANEL_FOLDER
+
+    from tidemark.operators.indicators import MODEL_FEATURES
+    from tidemark.sources import read_panel
+
+    panel = read_panel(spark, f"{PANEL_FOLDER}/BA_processed.csv", "csv")
+    rows = add_indicators(panel, MODEL_FEATURES, series=PANEL).na.fill(0.0)
+    got = forecast.ar_exog_forecast(rows, MODEL_FEATURES, 7, series=PANEL).orderBy("step").toPandas().forecast
+    table = rows.toPandas().sort_values("Date").reset_index(drop=True)
+    change = table.Close.diff()
+    inputs = np.column_stack([np.ones(len(table)), change.shift(1), table[MODEL_FEATURES]])[2:]
+    scale = np.abs(inputs).max(axis=0)
+    weights = np.linalg.lstsq(inputs / scale, change[2:], rcond=None)[0] / scale
+    last, price, want = change.iloc[-1], table.Close.iloc[-1], []
+    for future in table[MODEL_FEATURES].to_numpy()[-7:]:
+        last = weights[0] + weights[1] * last + future @ weights[2:]
+        price += last
+        want.append(price)
+    assert list(got) == pytest.approx(want, rel=1e-6)
+
+
 def test_hold_out_compares_the_same_days(frame):
     older, newest = forecast.hold_out(frame(days(range(1, 31))), 7, PANEL)
     compared = forecast.compare_forecast(newest, forecast.ar_forecast(older, series=PANEL)).collect()

@@ -262,7 +262,7 @@ LISTED = with_tables(
 
 SQL: dict[str, str] = {
     "daily_mean": with_tables(["ticks"], 'SELECT CAST(d AS VARCHAR) AS "Date", k AS "Ticker", ' + shaped("Close", "avg(c)") + ', avg(v) AS "Volume" FROM ticks GROUP BY d, k'),
-    "calendar_days": with_tables(["days"], 'SELECT CAST(d AS VARCHAR) AS "Date" FROM days'),
+    "calendar": with_tables(["days"], 'SELECT CAST(d AS VARCHAR) AS "Date" FROM days'),
     "densify": with_tables(["grid"], panel_rows("grid", PRICE)),
     "densify_listed_keys": LISTED,
     "ffill": with_tables(["dense"], panel_rows("dense", PRICE)),
@@ -288,6 +288,18 @@ SQL: dict[str, str] = {
     "cumsum": with_tables(["panel"], panel_rows("panel", {"Volume_total": f"sum(v) OVER ({FULL} ROWS UNBOUNDED PRECEDING)"})),
     "cumreturn": with_tables(["steps"], panel_rows("steps", {"Cumulative_Return": f"CASE WHEN r IS NOT NULL THEN {CUMULATIVE} END"})),
     "ema_sparse": with_tables(["prices"], panel_rows(f"(SELECT d, k, list(c) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS cs FROM prices)", {"EMA_20": ewm("cs", 20)})),
+    "ema_with_gaps": with_tables(
+        ["grid"],
+        panel_rows(
+            f"(SELECT d, k, last_value(e IGNORE NULLS) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS e FROM placed LEFT JOIN faded USING (d, k))",
+            {"EMA_20": "e"},
+        ),
+        {
+            "placed": f"SELECT d, k, c, row_number() OVER ({FULL}) AS i FROM grid",
+            "seen": f"SELECT d, k, list({{'y': c, 'i': i}}) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS l FROM placed WHERE c IS NOT NULL",
+            "faded": "SELECT d, k, list_reduce(l, lambda a, b: {'y': (pow(1 - 2 / 21, b.i - a.i) * a.y + 2 / 21 * b.y) / (pow(1 - 2 / 21, b.i - a.i) + 2 / 21), 'i': b.i}).y AS e FROM seen",
+        },
+    ),
     "last_n": with_tables(["panel"], panel_rows("(SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS back FROM panel)", {**PRICE, "step": "8 - back"}, "WHERE back <= 7")),
     "horizon": with_tables(["panel"], "SELECT k AS \"Ticker\", CAST(h AS BIGINT) AS step, CAST(CAST(max(d) + CAST(h AS INTEGER) AS DATE) AS VARCHAR) AS \"Date\" FROM panel CROSS JOIN (SELECT unnest(generate_series(1, 7)) AS h) GROUP BY k, h"),
     "sma": plain("SMA_20", "SMA_50"),
@@ -302,7 +314,7 @@ SQL: dict[str, str] = {
     "daily_return": plain("Daily_Return"),
     "volatility": plain("Volatility"),
     "volume_ratio": plain("Volume_MA", "Volume_Ratio"),
-    "rsi_levels": with_tables(["indicators"], """SELECT k AS "Ticker", CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' WHEN rsi IS NOT NULL THEN 'neutral' END AS "RSI_flag", count(*) AS n FROM indicators GROUP BY 1, 2"""),
+    "rsi_flags": with_tables(["indicators"], """SELECT k AS "Ticker", CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' WHEN rsi IS NOT NULL THEN 'neutral' END AS "RSI_flag", count(*) AS n FROM indicators GROUP BY 1, 2"""),
     "sentiment_rolling": plain("Sentiment_7D_Rolling", "Sentiment_14D_Rolling"),
     "sentiment_lagged": plain("Sentiment_7D_Lagged", "Sentiment_14D_Lagged"),
     "indicators_all": with_tables(["indicators", "means"], panel_rows("indicators JOIN means USING (d, k)", everything(ALL_NAMES))),
@@ -319,13 +331,13 @@ SQL: dict[str, str] = {
             },
         ),
     ),
-    "clean_texts": with_tables(["cleaned"], "SELECT doc_id, length(t) AS length, md5(t) AS digest FROM cleaned"),
+    "clean_text": with_tables(["cleaned"], "SELECT doc_id, length(t) AS length, md5(t) AS digest FROM cleaned"),
     "dayfirst_date": with_tables(["tweets"], 'SELECT doc_id, CAST(d AS VARCHAR) AS "Date", k AS "Ticker" FROM tweets'),
-    "lexicon_scores": with_tables(["scored"], f"SELECT doc_id, {shaped('sentiment', 'score')} FROM scored"),
+    "lexicon_score": with_tables(["scored"], f"SELECT doc_id, {shaped('sentiment', 'score')} FROM scored"),
     "lexicon_negation": NEGATED,
     "daily_sentiment": with_tables(["spoken"], panel_rows("spoken", {"sentiment": "s"})),
-    "pipeline_panel_driven": with_tables(["full_panel"], panel_rows("full_panel", {**PRICE, "sentiment": "s"}), instead={"prices": TRADED}),
-    "pipeline_tweet_driven": with_tables(["spoken", "dense"], panel_rows("spoken LEFT JOIN dense USING (d, k)", {**PRICE, "sentiment": "s"}), instead={"prices": TRADED}),
+    "panel_driven": with_tables(["full_panel"], panel_rows("full_panel", {**PRICE, "sentiment": "s"}), instead={"prices": TRADED}),
+    "tweet_driven": with_tables(["spoken", "dense"], panel_rows("spoken LEFT JOIN dense USING (d, k)", {**PRICE, "sentiment": "s"}), instead={"prices": TRADED}),
     "correlation_matrix": correlations(False),
     "correlation_by_key": correlations(True),
     "mean_volatility": with_tables(["indicators"], f"SELECT k AS \"Ticker\", {shaped('mean_Volatility', 'avg(vol)')} FROM indicators GROUP BY k"),

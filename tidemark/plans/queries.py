@@ -18,7 +18,7 @@ from tidemark.operators import aggregates, calendar, cumulative, ewm, features,
 from tidemark.operators.blocks import over_blocks
 from tidemark.operators.indicators import add_indicators, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
-from tidemark.plans import market, pipeline
+from tidemark.plans import market, panels
 from tidemark.series import PANEL
 from tidemark.session import cut_lineage
 from tidemark.sources import read_panel, standardize, union_prices, write_panel
@@ -65,12 +65,19 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*shaped)
 
 
-def query(build: Query) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return comparable(build(spark, folder))
+def named(name: str) -> Callable[[Query], Query]:
+    def register(build: Query) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return comparable(build(spark, folder))
 
-    QUERIES[build.__name__] = run
-    return build
+        QUERIES[name] = run
+        return build
+
+    return register
+
+
+def query(build: Query) -> Query:
+    return named(build.__name__)(build)
 
 
 def indicator_query(name: str, *columns: str) -> None:
@@ -106,7 +113,7 @@ def daily_mean(spark, folder):
     return aggregates.daily_mean(market.ticks(spark, folder))
 
 
-@query
+@named("calendar")
 def calendar_days(spark, folder):
     return calendar.calendar(market.ticks(spark, folder))
 
@@ -259,6 +266,14 @@ def ema_sparse(spark, folder):
     return ewm.ewm_mean(market.prices(spark, folder), "Close", 20, "EMA_20").select("Date", "Ticker", "EMA_20")
 
 
+@query
+def ema_with_gaps(spark, folder):
+    """Days without orders stay NULL: the mean fades over them."""
+    rows = market.ticks(spark, folder)
+    gaps = calendar.densify(market.daily(rows), ("Close",), fill=False, span=calendar.first_and_last_day(rows))
+    return ewm.ewm_mean_with_gaps(gaps, "Close", 20, "EMA_20", PANEL).select("Date", "Ticker", "EMA_20")
+
+
 @query
 def last_n(spark, folder):
     return rolling.last_n(market.panel(spark, folder), 7)
@@ -285,7 +300,7 @@ indicator_query("volatility", "Volatility")
 indicator_query("volume_ratio", "Volume_MA", "Volume_Ratio")
 
 
-@query
+@named("rsi_flags")
 def rsi_levels(spark, folder):
     rows = add_indicators(market.panel(spark, folder), ["RSI"], series=PANEL)
     return rsi_flags(rows).groupBy("Ticker", "RSI_flag").agg(F.count(F.lit(1)).alias("n"))
@@ -337,7 +352,7 @@ def benchmark_compare(spark, folder):
 # -- text -------------------------------------------------------------------------------------
 
 
-@query
+@named("clean_text")
 def clean_texts(spark, folder):
     cleaned = market.tweets(spark, folder).select("doc_id", clean_text("tweet").alias("_text"))
     return cleaned.select("doc_id", F.length("_text").alias("length"), F.md5("_text").alias("digest"))
@@ -348,7 +363,7 @@ def dayfirst_date(spark, folder):
     return market.parsed_tweets(spark, folder).select("doc_id", "Date", "Ticker")
 
 
-@query
+@named("lexicon_score")
 def lexicon_scores(spark, folder):
     return lexicon_score(market.tweets(spark, folder), id="doc_id")
 
@@ -364,19 +379,19 @@ def daily_sentiment(spark, folder):
     return aggregates.daily_sentiment(scored)
 
 
-# -- pipelines --------------------------------------------------------------------------------
+# -- whole panels -----------------------------------------------------------------------------
 
 
 @query
-def pipeline_panel_driven(spark, folder):
-    return pipeline.panel_driven(
+def panel_driven(spark, folder):
+    return panels.panel_driven(
         market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id", accuracy=market.ACCURACY
     )
 
 
 @query
-def pipeline_tweet_driven(spark, folder):
-    return pipeline.tweet_driven(
+def tweet_driven(spark, folder):
+    return panels.tweet_driven(
         market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id", accuracy=market.ACCURACY
     )
 
