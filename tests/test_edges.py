@@ -62,6 +62,14 @@ def test_key_without_data(frame):
     assert listed(dense, "Volume", "Z") == [0, 0, 0]
 
 
+def test_other_columns_stay(frame):
+    rows = frame(days([1, 2, 3])).withColumn("note", F.create_map(F.lit("a"), F.lit("b")))
+    summed = cumulative.cumsum(rows, "Close", "total")
+    assert listed(summed, "total") == [1, 3, 6]
+    assert listed(summed, "note") == [{"a": "b"}] * 3
+    assert "note" in add_indicators(rows, ["OBV", "EMA_20"]).columns
+
+
 def test_one_day_and_no_rows(frame):
     assert densify(frame(days([7]))).collect() == [(START, "A", 7.0, 1.0)]
     assert densify(frame([])).collect() == []

@@ -125,7 +125,8 @@ def with_carry(
     The rows are shuffled once for both uses. The planner shares a shuffle only between uses that
     need the same columns, so the totals read all of them.
     """
-    every = F.max(F.hash(*laid.columns)).alias("_every")
+    hashable = [name for name, kind in laid.dtypes if "map<" not in kind and "variant" not in kind]
+    every = F.max(F.hash(*hashable)).alias("_every")
     per_block = laid.where(~F.col(HALO)).groupBy(series.key, BLOCK).agg(
         *[value.alias(name) for name, value in totals.items()], every
     )
