@@ -1,0 +1,95 @@
+"""Spans against regular expressions over the whole text."""
+
+import hashlib
+import re
+
+import pytest
+from conftest import DATA
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import private
+from tidemark.llm.private import anchor_automaton, find_private_spans, redacted, spans_of
+from tidemark.llm.queries import QUERIES
+
+ANCHORS = anchor_automaton()
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    doubled = [int(d) * 2 if i % 2 else int(d) for i, d in enumerate(digits[::-1])]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def valid(kind, found):
+    digits = re.sub(r"[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, *m.span()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m[0])]
+
+
+def base(text):
+    return [tuple(s.values()) for s in spans_of(text, ANCHORS) if s["kind"] in private.BASE_KINDS]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("ab@.+-% 0127()é\n_", max_size=60))
+def test_any_text(text):
+    assert base(text) == brute(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["4738745156746829", "4738 7451-5674 6829", "+1 (383) 555-6083", "1.22.255.4", "256.1.1.1", ".", " ", "x", "a.b@c-d.ef", "@", "+", "7"])))
+def test_pieces(parts):
+    assert base("".join(parts)) == brute("".join(parts))
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("see https://ex.example.com/a?b=1, now", [("url", 4, 32)]),
+        ("ftp://user:pw@host.example:21", [("email", 11, 26), ("url", 0, 29)]),
+        ("https://nodot/x notascheme://a.b", []),
+        ("IBAN: GB82 WEST 1234 5698 7654 32.", [("account", 6, 33)]),
+        ("IBAN: GB83 WEST 1234 5698 7654 32.", []),
+        ("account no. 12345678 and", [("account", 12, 20)]),
+        ("account 1234567", []),
+    ],
+)
+def test_added_kinds(text, expected):
+    assert [tuple(s.values()) for s in spans_of(text, ANCHORS)] == expected
+
+
+def test_long_runs_are_linear():
+    text = "1" * 300_000 + "." * 1000 + "a" * 300_000 + "@" * 1000
+    assert base(text) == []
+
+
+def test_query_equals_patterns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op4_private_data"](spark, DATA).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for row in rows:
+        want = brute(texts[row.doc_id])
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in want) for k in PATTERNS]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_edges(spark):
+    rows = [(1, None, 5), (2, "", 6), (None, "q a@b.cc +1 234 567 890 x", 7), (3, "a@b.cc", None), (3, "a@b.cc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Private_Spans int")
+    found = find_private_spans(df).withColumn("safe", redacted("text", "private_spans"))
+    got = sorted(((r.doc_id or 0, r.text or "", len(r.private_spans), r.safe) for r in found.collect()), key=repr)
+    assert got == [(0, rows[2][1], 2, "q <email> <phone> x"), (1, "", 0, None), (2, "", 0, ""), (3, "a@b.cc", 1, "<email>"), (3, "a@b.cc", 1, "<email>")]
+    assert find_private_spans(df.limit(0)).count() == 0
