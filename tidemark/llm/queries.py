@@ -11,6 +11,8 @@ from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
 from tidemark.llm.quality import score_quality
+from tidemark.llm.warc import checked_payloads, read_archives, write_archives
+from tidemark.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +91,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+@query
+def op8_warc_archive(spark, folder):
+    """All pages written as WARC records and read back."""
+    path = new_table_path(spark, "warc")
+    write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
+    back = checked_payloads(read_archives(spark, path))
+    return back.select(
+        F.col("page").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+SQL["op8_warc_archive"] = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY html) AS first
+  FROM pages)
+"""
