@@ -11,6 +11,7 @@ from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
 from tidemark.llm.quality import score_quality
+from tidemark.llm.sharding import shard_by_bytes, text_crc32
 from tidemark.llm.warc import checked_payloads, read_archives, write_archives
 from tidemark.session import new_table_path
 
@@ -117,3 +118,18 @@ FROM (
          min(page_id) OVER (PARTITION BY html) AS first
   FROM pages)
 """
+
+
+@query
+def op1_histogram_sharding(spark, folder):
+    """Documents in 16 shards of near equal bytes."""
+    sharded = shard_by_bytes(documents(spark, folder), 16)
+    return sharded.select(
+        "doc_id",
+        "size",
+        text_crc32("text").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
