@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sharding import shard_by_bytes, text_crc32
 from tidemark.llm.warc import checked_payloads, read_archives, write_archives
@@ -133,3 +134,18 @@ def op1_histogram_sharding(spark, folder):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+END_ID = 2
+
+
+@query
+def op7_best_fit_packing(spark, folder):
+    """Documents as tokens in sequences of at most 4096."""
+    return pack_documents(documents(spark, folder), tokenizer_path(), END_ID)
