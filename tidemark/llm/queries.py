@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
+from tidemark.llm.packed_files import read_packed, write_packed
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sharding import shard_by_bytes, text_crc32
@@ -149,3 +150,21 @@ END_ID = 2
 def op7_best_fit_packing(spark, folder):
     """Documents as tokens in sequences of at most 4096."""
     return pack_documents(documents(spark, folder), tokenizer_path(), END_ID)
+
+
+@query
+def op10_packed_token_files(spark, folder):
+    """Documents written as packed id matrices and read back: a row per sequence, matrices as digests."""
+    path = new_table_path(spark, "packed")
+    write_packed(documents(spark, folder), path, tokenizer_path(), END_ID)
+    packed = read_packed(spark, path)
+    return packed.select(
+        "sequence_id",
+        "n_tokens",
+        "n_segments",
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32("positions").alias("positions_crc32"),
+        F.array_join(F.col("cu_seqlens").cast("array<string>"), ",").alias("cu_seqlens"),
+        F.array_join(F.col("segment_docs").cast("array<string>"), ",", "null").alias("segment_docs"),
+        F.array_join(F.col("segment_starts").cast("array<string>"), ",").alias("segment_starts"),
+    )
