@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
+from tidemark.llm.line_runs import remove_repeated_lines
 from tidemark.llm.packed_files import read_packed, write_packed
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
@@ -168,3 +169,11 @@ def op10_packed_token_files(spark, folder):
         F.array_join(F.col("segment_docs").cast("array<string>"), ",", "null").alias("segment_docs"),
         F.array_join(F.col("segment_starts").cast("array<string>"), ",").alias("segment_starts"),
     )
+
+
+@query
+def op9_line_runs(spark, folder):
+    """Lines of each document, those deleted as later copies of repeated runs, and a digest of the rest."""
+    cut = remove_repeated_lines(documents(spark, folder))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", digest)
