@@ -11,6 +11,7 @@ from tidemark.llm import private
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
 from tidemark.llm.line_runs import remove_repeated_lines
+from tidemark.llm.near_duplicates import link_near_duplicates
 from tidemark.llm.packed_files import read_packed, write_packed
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import score_quality
@@ -177,3 +178,32 @@ def op9_line_runs(spark, folder):
     cut = remove_repeated_lines(documents(spark, folder))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", digest)
+
+
+@query
+def op5_odd_sketch_near_duplicates(spark, folder):
+    """Components of documents that share 85 percent of their shingles."""
+    return link_near_duplicates(documents(spark, folder), percent=85)
+
+
+SQL["op5_odd_sketch_near_duplicates"] = r"""
+WITH RECURSIVE seq AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM seq WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+text_class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS rep FROM seq WHERE len(w) > 0),
+own AS (SELECT s, doc_id FROM shingle WHERE doc_id IN (SELECT rep FROM text_class)),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+  UNION SELECT rep, doc_id FROM text_class WHERE rep < doc_id),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM n UNION SELECT node, b FROM reach JOIN step ON a = other),
+part AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN part ON node = doc_id
+"""
