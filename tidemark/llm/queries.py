@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import private
+from tidemark.llm.byte_runs import remove_repeated_bytes
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
 from tidemark.llm.line_runs import remove_repeated_lines
@@ -207,3 +208,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
        coalesce(component_id, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN part ON node = doc_id
 """
+
+
+@query
+def op2_suffix_array_repeats(spark, folder):
+    """Bytes of each document that repeat 50-byte strings of earlier ones, removed."""
+    cut = remove_repeated_bytes(documents(spark, folder))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
