@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.arrays import without
 from tidemark.llm.packing import GROUP_TOKENS, best_fit_decreasing, group_count, sequence_ids, token_pieces, with_group
+from tidemark.llm.tokens import id_bytes
 
 
 def packed_sequences(
@@ -38,7 +39,8 @@ def packed_sequences(
     """
     docs = without(docs.select(id, text), "_group")
     kind = docs.schema[id].dataType
-    pieces = token_pieces(docs, tokenizer, end_id, window, id, text, with_ids=True)
+    width = 2 if max(end_id, pad_id) < 1 << 16 and id_bytes(tokenizer) == 2 else 4  # in the shuffle; files have four
+    pieces = token_pieces(docs, tokenizer, end_id, window, id, text, with_ids=True, id_bytes=width)
     pieces = with_group(pieces, group_count(docs, text, group_tokens), id).select(F.col(id).alias("doc"), "start", "length", "ids", "_group")
     schema = (
         "sequence_id bigint, ids binary, cu_seqlens array<int>, positions binary, "
@@ -71,7 +73,7 @@ def packed_sequences(
             rows.append(
                 {
                     "sequence_id": int(sequence_ids(key[0].as_py(), windows[order[begin]])),
-                    "ids": b"".join(raw[begin:end]) + np.full(window - used, pad_id, "<u4").tobytes(),
+                    "ids": np.frombuffer(b"".join(raw[begin:end]), f"<u{width}").astype("<u4").tobytes() + np.full(window - used, pad_id, "<u4").tobytes(),
                     "cu_seqlens": [0, *ends.tolist()],
                     "positions": positions.tobytes(),
                     "segment_docs": docs_in[begin:end],

@@ -86,11 +86,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id: str = "doc_id", text: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id: str = "doc_id", text: str = "text", with_ids: bool = False, id_bytes: int = 4
 ) -> DataFrame:
     """(id, ``PIECE``): each document's ids and an end id, cut into full windows and a rest.
 
-    With ``with_ids`` the rows also have the ids, as little-endian unsigned 32-bit numbers.
+    With ``with_ids`` the rows also have the ids, as little-endian unsigned numbers of ``id_bytes`` bytes.
     """
     schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, {PIECE}" + (", ids binary" * with_ids)
 
@@ -99,13 +99,13 @@ def token_pieces(
         for batch in batches:
             done = 0
             for part in text_slices(batch.column(1), SLICE_BYTES):
-                yield _pieces(batch.column(0).slice(done, len(part)), id, *encoder.encode(part), end_id, window, with_ids)
+                yield _pieces(batch.column(0).slice(done, len(part)), id, *encoder.encode(part), end_id, window, with_ids * id_bytes)
                 done += len(part)
 
     return docs.select(F.col(id), F.col(text)).mapInArrow(cut, schema)
 
 
-def _pieces(ids_of_docs: pa.Array, id: str, ids: np.ndarray, begins: np.ndarray, end_id: int, window: int, with_ids: bool) -> pa.RecordBatch:
+def _pieces(ids_of_docs: pa.Array, id: str, ids: np.ndarray, begins: np.ndarray, end_id: int, window: int, id_bytes: int) -> pa.RecordBatch:
     place, start, length, crc, tokens, raw = [], [], [], [], [], []
     ending = np.array([end_id], "<u4").tobytes()
     packed = ids.astype("<u4", copy=False).tobytes()
@@ -119,11 +119,11 @@ def _pieces(ids_of_docs: pa.Array, id: str, ids: np.ndarray, begins: np.ndarray,
             length.append(len(piece) // 4)
             crc.append(zlib.crc32(piece))
             tokens.append(n)
-            if with_ids:
-                raw.append(piece)
+            if id_bytes:
+                raw.append(np.frombuffer(piece, "<u4").astype(f"<u{id_bytes}").tobytes())
     columns = [ids_of_docs.take(pa.array(place, pa.int32()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
     names = [id, "start", "length", "ids_crc32", "doc_tokens"]
-    if with_ids:
+    if id_bytes:
         columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and parts of words, that a worker remembers at most: some 200 MB.
-TABLE_WORDS = 1_000_000
+#: Words, and parts of words, that a worker remembers at most: some 150 MB.
+TABLE_WORDS = 700_000
 #: Text that a task encodes at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -32,12 +32,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # The same model for words that are lower-case letters already: nothing to normalise, blanks part them.
-        self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer = normalizers.Sequence([])
+        self.lean = Tokenizer(self.tokenizer.model)
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         vocabulary = self.tokenizer.get_vocab()
@@ -146,3 +145,10 @@ def worker_encoder(path: str) -> WordEncoder:
     if path not in kept:
         kept[path] = WordEncoder(path)
     return kept[path]
+
+
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of a tokenizer: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
