@@ -4,8 +4,8 @@ import random
 import re
 
 import pytest
+from against_sql import differences_to_sql
 from conftest import DATA
-from test_pipeline import differences_to_sql
 
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.queries import QUERIES, SQL

@@ -5,9 +5,9 @@ import gzip
 import hashlib
 
 import pytest
+from against_sql import differences_to_sql
 from conftest import DATA
 from pyspark.sql import functions as F
-from test_pipeline import differences_to_sql
 
 from tidemark.llm.queries import QUERIES, SQL
 from tidemark.llm.warc import checked_payloads, chunk_table, read_archives, write_archives
