@@ -112,6 +112,7 @@ def over_blocks(
 
 
 def with_carry(
+    placed: DataFrame,
     laid: DataFrame,
     totals: dict[str, Column],
     carries: Callable[[WindowSpec, WindowSpec], dict[str, Column]],
@@ -122,21 +123,16 @@ def with_carry(
     ``totals`` are aggregates of a block's own rows. ``carries`` builds columns from them, given
     the window of all earlier blocks and the plain window over the blocks of a key.
 
-    The rows are shuffled once for both uses. The planner shares a shuffle only between uses that
-    need the same columns, so the totals read all of them.
+    ``laid`` has the rows of ``placed`` before the shuffle: totals are summed up there first, from the
+    columns they need alone, and only rows per block travel.
     """
-    hashable = [name for name, kind in laid.dtypes if "map<" not in kind and "variant" not in kind]
-    every = F.max(F.hash(*hashable)).alias("_every")
-    per_block = laid.where(~F.col(HALO)).groupBy(series.key, BLOCK).agg(
-        *[value.alias(name) for name, value in totals.items()], every
-    )
-    per_block = per_block.where(F.col("_every").isNotNull())
+    per_block = laid.where(~F.col(HALO)).groupBy(series.key, BLOCK).agg(*[value.alias(name) for name, value in totals.items()])
     ordered = Window.partitionBy(series.key).orderBy(BLOCK)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     table = per_block.select(
         series.key, BLOCK, *[value.alias(name) for name, value in carries(earlier, ordered).items()]
     )
-    return laid.join(table, [series.key, BLOCK], "left")
+    return placed.join(table, [series.key, BLOCK], "left")
 
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, series: Series, salts: int = 32) -> DataFrame:

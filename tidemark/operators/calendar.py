@@ -60,8 +60,10 @@ def densify(
     defaults = observed_default or {}
     day_series = series.as_daily()
 
+    rows = lay_out(observed, 0, day_series)
     laid = with_carry(
-        place(lay_out(observed, 0, day_series), day_series),
+        place(rows, day_series),
+        rows,
         {
             "_first": F.min(date),
             **{f"_end_{v}": F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(POS))) for v in values},

@@ -17,8 +17,10 @@ from tidemark.series import SERIES, Series
 def ffill(df: DataFrame, columns: list[str], series: Series = SERIES) -> DataFrame:
     """Carry the last known value forward in each column; leading NULLs stay."""
     series = series.as_daily()
+    rows = lay_out(df, 0, series)
     laid = with_carry(
-        place(lay_out(df, 0, series), series),
+        place(rows, series),
+        rows,
         {f"_end_{c}": F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))) for c in columns},
         lambda earlier, _: {f"_carry_{c}": F.last(f"_end_{c}", ignorenulls=True).over(earlier) for c in columns},
         series,
@@ -30,11 +32,15 @@ def ffill(df: DataFrame, columns: list[str], series: Series = SERIES) -> DataFra
     return trim(laid.withColumns(filled)).drop(*[f"_carry_{c}" for c in columns])
 
 
-def running_sum(laid: DataFrame, sums: dict[str, str | Column], series: Series) -> DataFrame:
-    """Running sums over rows that are already laid out; NULL where the input is NULL."""
+def running_sum(placed: DataFrame, sums: dict[str, str | Column], series: Series, laid: DataFrame | None = None) -> DataFrame:
+    """Running sums over placed rows; NULL where the input is NULL.
+
+    ``laid`` has the same rows before they were placed, where the input doesn't depend on that.
+    """
     own = ~F.col(HALO)
     laid = with_carry(
-        laid,
+        placed,
+        placed if laid is None else laid,
         {f"_total_{out}": F.sum(as_column(c)) for out, c in sums.items()},
         lambda earlier, _: {f"_carry_{out}": F.sum(f"_total_{out}").over(earlier) for out in sums},
         series,
@@ -52,14 +58,17 @@ def running_sum(laid: DataFrame, sums: dict[str, str | Column], series: Series)
 
 def cumsum(df: DataFrame, c: str, out: str, series: Series = SERIES) -> DataFrame:
     series = series.as_daily()
-    return trim(running_sum(place(lay_out(df, 0, series), series), {out: c}, series))
+    rows = lay_out(df, 0, series)
+    return trim(running_sum(place(rows, series), {out: c}, series, rows))
 
 
 def cumreturn(df: DataFrame, returns: dict[str, str], series: Series = SERIES) -> DataFrame:
     """Compounded return so far, per entry ``{out: return column}``; NULL returns are skipped."""
     series = series.as_daily()
+    rows = lay_out(df, 0, series)
     laid = with_carry(
-        place(lay_out(df, 0, series), series),
+        place(rows, series),
+        rows,
         {f"_total_{out}": F.product(1 + F.col(r)) for out, r in returns.items()},
         lambda earlier, _: {f"_carry_{out}": F.product(F.col(f"_total_{out}")).over(earlier) for out in returns},
         series,

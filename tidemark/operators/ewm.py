@@ -1,6 +1,8 @@
 """Exponentially weighted mean without recursion: y0 = x0, y = q*y + (1-q)*x, q = 1 - 2/(span+1).
 
-After ``reach(span)`` rows a past value weighs less than 1e-18, below what a double can show.
+After ``reach(span)`` rows a past value weighs less than 1e-18. That is below what a double can show
+unless the old values are larger than the later ones by more than that factor; such a series isn't for
+these functions.
 So a block padded with that many rows gives the full result, and inside it the mean is a running
 sum of x * q^-offset over spans of at least that length, plus the end of the span before.
 """
@@ -67,7 +69,7 @@ def carried_over(means: dict[str, tuple[str, float]], w: WindowSpec) -> dict[str
     for out, (c, span) in means.items():
         x = F.col(c)
         if decay(span) == 0:
-            columns[f"_latest_{out}"] = F.last(x, ignorenulls=True).over(running)
+            columns[f"_held_{out}"] = F.last(x, ignorenulls=True).over(running)
             continue
         is_end = F.pmod(F.col(POS), F.lit(lengths[span])) == lengths[span] - 1
         columns[f"_carried_{out}"] = F.last(F.when(is_end, F.col(f"_local_{out}")), ignorenulls=True).over(before)
@@ -84,7 +86,7 @@ def combined(means: dict[str, tuple[str, float]]) -> dict[str, Column]:
     for out, (c, span) in means.items():
         q = decay(span)
         if q == 0:
-            columns[out] = F.col(f"_latest_{out}")
+            columns[out] = F.col(f"_held_{out}")
             continue
         offset = F.pmod(F.col(POS), F.lit(lengths[span]))
         start, age = F.col(f"_start_{c}"), F.col(POS) - F.col(f"_since_{c}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import attach_per_key
+from tidemark.operators.statistics import lower_median
 from tidemark.series import SERIES, Series
-
-MEDIAN_ACCURACY = 10_000
+from tidemark.session import written
 
 
 def filter_keys(df: DataFrame, keys: list[str] | DataFrame, key: str = "Ticker") -> DataFrame:
@@ -22,37 +22,26 @@ def fill_const(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return df.na.fill(values)
 
 
-def median(c: str, accuracy: int = MEDIAN_ACCURACY) -> Column:
-    """Median with a rank error of at most 1/accuracy, in bounded memory.
-
-    It is the lower median exactly while there are fewer rows than ``accuracy``.
-    """
-    return F.percentile_approx(c, 0.5, accuracy)
-
-
-def median_of(df: DataFrame, c: str, by: str | None = None, accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
-    grouped = df.groupBy(by) if by else df.groupBy()
-    return grouped.agg(median(c, accuracy).alias("median"))
-
-
 def fill_residual(
     df: DataFrame,
     scope: str = "global",
     price: str = "Close",
     volume: str = "Volume",
-    accuracy: int = MEDIAN_ACCURACY,
     series: Series = SERIES,
 ) -> DataFrame:
-    """Fill what is still NULL: the price by a median (``global``, per ``key``, ``none``), volume by 0."""
-    out = df.withColumn(volume, F.coalesce(F.col(volume), F.lit(0)))
+    """Fill what is still NULL: the price by its lower median (``global``, per ``key``, ``none``), volume by 0.
+
+    The median is exact. As finding it takes several readings, ``df`` is written to the shared folder first.
+    """
     if scope == "none":
-        return out
-    if scope == "global":
-        middle = df.select(median(price, accuracy)).scalar()
-        return out.withColumn(price, F.coalesce(F.col(price), middle))
-    if scope != "key":
+        return df.withColumn(volume, F.coalesce(F.col(volume), F.lit(0)))
+    if scope not in ("global", "key"):
         raise ValueError(f"unknown scope {scope!r}")
-    per_key = df.groupBy(series.key).agg(median(price, accuracy).alias("_median"))
+    df = written(df, "unfilled")
+    out = df.withColumn(volume, F.coalesce(F.col(volume), F.lit(0)))
+    if scope == "global":
+        return out.withColumn(price, F.coalesce(F.col(price), lower_median(df, price).scalar()))
+    per_key = lower_median(df, price, series.key).withColumnRenamed("median", "_median")
     return (
         attach_per_key(out, per_key, series)
         .withColumn(price, F.coalesce(F.col(price), F.col("_median")))

@@ -88,19 +88,18 @@ def least_squares(inputs: int) -> Callable[[Column, Column], Column]:
 
         size = inputs + 1
         upper = np.triu_indices(size)
-        rows = []
-        for covariance, average in zip(covariances, averages):
-            full = np.zeros((size, size))
-            full[upper] = np.asarray(covariance, dtype=float)
-            full = np.nan_to_num(full + np.triu(full, 1).T)
-            scale = np.sqrt(np.diag(full))
-            scale[scale == 0] = 1.0
-            unit = full / np.outer(scale, scale)
-            weights, *_ = np.linalg.lstsq(unit[:-1, :-1], unit[:-1, -1], rcond=1e-10)
-            weights = weights * scale[-1] / scale[:-1]
-            means = np.nan_to_num(np.asarray(average, dtype=float))
-            rows.append((weights.tolist(), float(means[-1] - weights @ means[:-1])))
-        return pd.DataFrame(rows, columns=["weights", "drift"])
+        full = np.zeros((len(covariances), size, size))
+        full[:, upper[0], upper[1]] = np.stack([np.asarray(c, dtype=float) for c in covariances])
+        full = np.nan_to_num(full)
+        full += np.swapaxes(np.triu(full, 1), 1, 2)
+        scale = np.sqrt(np.diagonal(full, axis1=1, axis2=2))
+        scale = np.where(scale == 0, 1.0, scale)
+        unit = full / (scale[:, :, None] * scale[:, None, :])
+        inverse = np.linalg.pinv(unit[:, :-1, :-1], rcond=1e-10, hermitian=True)
+        weights = (inverse @ unit[:, :-1, -1:])[:, :, 0] * scale[:, -1:] / scale[:, :-1]
+        means = np.nan_to_num(np.stack([np.asarray(a, dtype=float) for a in averages]))
+        drift = means[:, -1] - (weights * means[:, :-1]).sum(axis=1)
+        return pd.DataFrame({"weights": list(weights), "drift": drift})
 
     return F.pandas_udf(solve, "weights array<double>, drift double")
 
@@ -110,28 +109,30 @@ def ar_exog_forecast(
 ) -> DataFrame:
     """As ``ar_forecast`` with further inputs; their last ``steps`` rows stand in for the future.
 
-    One aggregate with partial sums gives all covariances of a key and its last rows. Only that
-    one row per key reaches Python, where a small linear system is solved.
+    One aggregate with partial sums gives all covariances of a key; only that one row per key
+    reaches Python, where the small linear systems of a batch are solved at once. A key with fewer
+    rows than ``steps`` has its last row's inputs repeated, so there are always ``steps`` forecasts.
     """
     names = ["_d_before", *exog, "_d"]
     inputs = F.array(*[F.col(c).cast("double") for c in exog])
-    rows = over_blocks(
-        df.na.fill(0.0, subset=exog),
-        max(2, steps - 1),
-        lambda w: {"_d": diff(price, w), "_future": F.collect_list(inputs).over(w.rowsBetween(-(steps - 1), 0))},
-        lambda w: {"_d_before": shift("_d", 1, w)},
-        series=series,
+    df = df.na.fill(0.0, subset=exog)
+    rows = changes(df, price, series)
+    newest = last_n(df.select(series.key, series.date, *exog), steps, series).groupBy(series.key).agg(
+        F.sort_array(F.collect_list(F.struct(series.date, inputs.alias("x")))).alias("_newest")
     )
+    known = F.transform("_newest", lambda row: row["x"])
+    future = F.concat(known, F.array_repeat(F.element_at(known, -1), steps - F.size(known)))
+    newest = newest.select(F.col(series.key).alias("_own"), future.alias("_future"))
     complete = {c: F.when(F.col("_d_before").isNotNull(), F.col(c)) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     fit = rows.groupBy(series.key).agg(
         F.array(*[F.covar_pop(complete[a], complete[b]) for a, b in pairs]).alias("_cov"),
         F.array(*[F.avg(complete[a]) for a in names]).alias("_avg"),
         F.max_by("_d", series.date).alias("_d_last"),
-        F.max_by("_future", series.date).alias("_future"),
         F.max_by(price, series.date).alias("_last"),
         F.max(series.date).alias("_last_day"),
     )
+    fit = fit.join(newest, fit[series.key].eqNullSafe(newest["_own"])).drop("_own")
     solved = fit.withColumn("_model", least_squares(len(names) - 1)("_cov", "_avg"))
     weights = F.col("_model.weights")
     exog_weights = F.slice(weights, 2, len(exog))
@@ -178,10 +179,14 @@ def rollout(
         return F.aggregate(products, constant, lambda s, v: s + v)
 
     def advance(state: Column, _: Column) -> Column:
-        value = predict(state["x"])
-        row = F.transform(F.element_at(state["x"], -1), lambda old, at: F.when(at == target_at, value).otherwise(old))
-        moved = F.concat(F.slice(state["x"], 2, F.size(state["x"]) - 1), F.array(row))
-        return F.struct(moved.alias("x"), F.concat(state["path"], F.array(value)).alias("path"))
+        # An array of one prediction, mapped over: so the prediction is made once, not once per use.
+        def moved(value: Column) -> Column:
+            last = F.element_at(state["x"], -1)
+            row = F.concat(F.slice(last, 1, target_at), F.array(value), F.slice(last, target_at + 2, F.size(last)))
+            rows = F.concat(F.slice(state["x"], 2, F.size(state["x"]) - 1), F.array(row))
+            return F.struct(rows.alias("x"), F.concat(state["path"], F.array(value)).alias("path"))
+
+        return F.get(F.transform(F.array(predict(state["x"])), moved), F.lit(0))
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance, lambda state: state["path"])
     return sequences.select(series.key, series.date, F.posexplode(path).alias("_at", "forecast")).select(

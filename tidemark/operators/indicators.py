@@ -161,7 +161,10 @@ MODEL_FEATURES = ["SMA_20", "SMA_50", "EMA_20", "RSI", "MACD", "ATR", "Stochasti
 def add_indicators(
     df: DataFrame, names: list[str] | None = None, inputs: Inputs = Inputs(), series: Series = SERIES
 ) -> DataFrame:
-    """Add the named indicators (all that the columns allow by default)."""
+    """Add the named indicators (all that the columns allow by default).
+
+    Rows without key or date belong to no series and are left out, here as in all windowed operators.
+    """
     if names is None:
         names = list(INDICATORS) if inputs.sentiment in df.columns else PRICE_INDICATORS
     unknown = [name for name in names if name not in INDICATORS]

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text, tokens
 
-# Normalisation and word rules of the published compound score.
+# Normalisation and word rules of the published VADER compound score (Hutto and Gilbert
+# 2014, MIT licence), as words without apostrophes, since cleaning takes those out.
 ALPHA = 15
 DIGITS = 4
 BOOST = 0.293
 BOOST_FADE = (1.0, 0.95, 0.9)
 NEGATION_FACTOR = -0.74
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
-NEGATIONS = ["aint", "cannot", "cant", "didnt", "doesnt", "dont", "isnt", "neither", "never", "no", "none", "nor", "not", "nothing", "nowhere", "rarely", "seldom", "wasnt", "without", "wont", "wouldnt"]
-STRONGER = ["absolutely", "completely", "deeply", "especially", "extremely", "highly", "incredibly", "more", "most", "really", "so", "totally", "utterly", "very"]
-WEAKER = ["almost", "barely", "hardly", "kinda", "less", "little", "marginally", "partly", "scarcely", "slightly", "somewhat"]
-
-# A small word list of our own; pass any (token, valence) DataFrame instead.
+NEGATIONS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "despite", "didnt", "doesnt", "dont", "hadnt", "hasnt",
+    "havent", "isnt", "mightnt", "mustnt", "neednt", "neither", "never", "no", "none", "nope", "nor", "not", "nothing",
+    "nowhere", "oughtnt", "rarely", "seldom", "shant", "shouldnt", "uhuh", "wasnt", "werent", "without", "wont", "wouldnt",
+]
+STRONGER = [
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply", "effing",
+    "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme", "extremely",
+    "fabulously", "flippin", "flipping", "fully", "greatly", "hella", "highly", "hugely", "incredible", "incredibly",
+    "intensely", "major", "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably", "so",
+    "substantially", "thoroughly", "total", "totally", "tremendous", "tremendously", "uber", "unbelievably", "unusually",
+    "utter", "utterly", "very",
+]
+WEAKER = [
+    "almost", "barely", "hardly", "kinda", "kindof", "less", "little", "marginal", "marginally", "occasional",
+    "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sorta", "sortof",
+]
+
+
+@dataclass(frozen=True)
+class Modifiers:
+    """Words that flip, strengthen or weaken the valence of a word up to three places on."""
+
+    negations: tuple[str, ...] = tuple(NEGATIONS)
+    stronger: tuple[str, ...] = tuple(STRONGER)
+    weaker: tuple[str, ...] = tuple(WEAKER)
+
+
+# A short list to try things out with: any (token, valence) DataFrame can take its place. Valences go
+# from -4 to 4, those of common words as in the published VADER lexicon (MIT licence); words of the
+# market and of abuse have values of our own.
 WORDS = {
     "amazing": 2.8, "bad": -2.5, "best": 3.2, "bullish": 2.0, "bearish": -2.0, "clown": -1.2, "crash": -2.4,
     "disgusting": -2.4, "excellent": 2.7, "fail": -2.5, "gain": 2.0, "good": 1.9, "great": 3.1, "happy": 2.7,
@@ -46,20 +75,20 @@ def with_neighbours(source: DataFrame, others: list[str]) -> DataFrame:
     zipped = F.arrays_zip(F.col("_words").alias("token"), *shifted)
     return (
         source.withColumns({"_but": F.array_position("_words", "but"), "_zipped": zipped})
-        .select(*others, "_but", F.posexplode_outer("_zipped").alias("_at", "_word"))
+        .select(*others, "_but", F.posexplode("_zipped").alias("_at", "_word"))
         .select(*others, "_but", "_at", "_word.*")
     )
 
 
-def modified(valence: Column) -> Column:
+def modified(valence: Column, modifiers: Modifiers) -> Column:
     """Valence after intensity words, negation and 'but', from the columns of ``with_neighbours``."""
     back = [F.col("back1"), F.col("back2"), F.col("back3")]
     boost = F.lit(0.0)
     for word, fade in zip(back, BOOST_FADE):
-        boost = boost + F.when(word.isin(STRONGER), BOOST * fade).when(word.isin(WEAKER), -BOOST * fade).otherwise(0.0)
+        boost = boost + F.when(word.isin(*modifiers.stronger), BOOST * fade).when(word.isin(*modifiers.weaker), -BOOST * fade).otherwise(0.0)
     negated = F.lit(False)
     for word in back:
-        negated = negated | F.coalesce(word.isin(NEGATIONS), F.lit(False))
+        negated = negated | F.coalesce(word.isin(*modifiers.negations), F.lit(False))
     scaled = valence + F.signum(valence) * boost
     before = (F.col("_but") > 0) & (F.col("_at") + 1 < F.col("_but"))
     after = (F.col("_but") > 0) & (F.col("_at") + 1 > F.col("_but"))
@@ -75,27 +104,29 @@ def lexicon_score(
     negation: bool = False,
     keep: tuple[str, ...] = (),
     out: str = "sentiment",
+    modifiers: Modifiers = Modifiers(),
 ) -> DataFrame:
     """Compound polarity per text: (id, *keep, out), 0 where no word is known.
 
     Words are joined with the lexicon where they are split, and summed per text before the
     shuffle, so only one small row per text travels. The planner broadcasts the lexicon when its
     size allows. ``keep`` columns must depend on the id. With ``negation`` the three words
-    before a word may flip or scale it, and 'but' shifts the weight to what follows.
+    before a word may flip or scale it (``modifiers``), and 'but' shifts the weight to what follows.
     """
     if lexicon is None:
         lexicon = default_lexicon(df.sparkSession)
     row = id or "_row"
     source = df if id else df.withColumn(row, F.monotonically_increasing_id())
     source = source.select(row, *keep, tokens(clean_text(text)).alias("_words"))
-    # A list of words is never empty; the outer explode keeps the planner from splitting every text
-    # a second time to test for that.
     if negation:
         spread = with_neighbours(source, [row, *keep])
     else:
-        spread = source.select(row, *keep, F.explode_outer("_words").alias("token"))
-    hits = spread.join(lexicon.select("token", "valence"), "token", "left")
-    value = modified(F.col("valence")) if negation else F.col("valence")
-    total = F.coalesce(F.sum(value), F.lit(0.0))
-    scored = hits.groupBy(row, *keep).agg(compound(total).alias(out))
+        spread = source.select(row, *keep, F.explode("_words").alias("token"))
+    # Words that aren't listed go before any shuffle could bring the frequent ones together; texts
+    # without listed words come back by their id.
+    hits = spread.join(lexicon.select("token", "valence"), "token")
+    value = modified(F.col("valence"), modifiers) if negation else F.col("valence")
+    totals = hits.groupBy(row, *keep).agg(F.sum(value).alias("_total"))
+    none = source.select(row, *keep, F.lit(0.0).alias("_total"))
+    scored = totals.union(none).groupBy(row, *keep).agg(compound(F.sum("_total")).alias(out))
     return scored if id else scored.drop(row)

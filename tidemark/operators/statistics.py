@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
+from tidemark.session import written
 
 SALTS = 32
+#: Bandwidths from a value at which its Gaussian kernel is no longer a positive double.
+REACH = 39.0
 
 
 def pearson(a: str, b: str) -> Column:
@@ -37,79 +41,89 @@ def mean_of(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     return grouped.agg(F.avg(c).alias(f"mean_{c}"))
 
 
-def beside(rows: DataFrame, stats: DataFrame, by: str | None, value: str = "_v") -> DataFrame:
+def beside(rows: DataFrame, stats: DataFrame, by: str | None) -> DataFrame:
     """Put the one row of ``stats`` (per key, if ``by`` is given) next to every row.
 
     Overall statistics are a scalar subquery. Those per key are joined over salted copies, so the
-    rows of a large key meet them in many places.
+    rows of a large key meet them in many places, equal values too.
     """
     if by is None:
         names = stats.columns
         return rows.withColumn("_stats", stats.select(F.struct(*names)).scalar()).select(*rows.columns, "_stats.*")
     salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("_salt", F.pmod(F.hash(value), F.lit(SALTS)))
+    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return spread.join(salted, [by, "_salt"]).drop("_salt")
 
 
-def exact_quantiles(
-    df: DataFrame, c: str, shares: list[float], by: str | None = None, bins: int = 1024, passes: int = 2
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column ``q0, q1, ..`` per share.
+def exact_ranks(df: DataFrame, c: str, wanted: Callable[[Column], Column], by: str | None = None, bins: int = 1024) -> DataFrame:
+    """The values at given ranks: (key, ``_all``, ``_at``), a count and a map from rank to value.
 
-    Each pass counts the rows of the value ranges still in question in ``bins`` equal parts, and
-    keeps the parts that hold a wanted rank, narrowed to their smallest and largest value. Only
-    counts are shuffled. The few values left after the last pass are ranked one by one. The input
-    is read ``passes`` + 2 times: give it a table or a written copy (``cut_lineage``).
+    ``wanted`` makes an array of ranks (from 0) out of the number of known values. Each round
+    counts the rows of the value ranges still in question in parts, and keeps the parts that hold a
+    wanted rank, narrowed to their smallest and largest value, until each holds one value only.
+    A range within one power of two is cut in ``bins`` equal parts, any other by powers of two,
+    so a few rounds do for values of any magnitude. Only counts are shuffled, never more than
+    ``bins`` (or, once, the powers of two) per range and task, and nothing is ranked row by row.
     """
     keys = [by] if by else []
-    rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
+    rows = written(df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v")), "values")
     whole = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.lit(0).cast("long").alias("before"))
-    spots = rows.groupBy(*keys).agg(F.count("_v").alias("_all"), whole.alias("_one")).select(
-        *keys, "_all", F.array("_one").alias("_spots")
-    )
-    wanted = F.array(
-        *[F.floor((F.col("_all") - 1) * share).cast("long") + add for share in shares for add in (0, 1)]
-    )
-
-    def inside(upto: Column, n: Column) -> Column:
-        return F.filter(wanted, lambda rank: (rank < upto) & (rank >= upto - n))
-
-    def open_rows() -> DataFrame:
-        value = F.col("_v")
+    spots = rows.groupBy(*keys).agg(F.count("_v").alias("_all"), whole.alias("_spot"))
+    spots = spots.where("_all > 0").select(*keys, "_all", F.array("_spot").alias("_spots"))
+    value = F.col("_v")
+
+    while True:
+        spots = written(spots, "spots")
+        is_open = F.exists("_spots", lambda s: s["lo"] < s["hi"])
+        if spots.where(is_open).isEmpty():
+            break
         holding = F.filter("_spots", lambda s: (value >= s["lo"]) & (value <= s["hi"]))
-        return beside(rows, spots, by).select(*keys, "_all", "_v", F.explode(holding).alias("_s")).select(
-            *keys, "_all", "_v", "_s.*"
-        )
-
-    for _ in range(passes):
-        part = F.floor(F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
-        part = F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 1))
-        counts = open_rows().groupBy(*keys, "_all", "lo", "before", part.alias("_part")).agg(
+        inside = beside(rows, spots, by).select(*keys, "_all", "_v", F.explode(holding).alias("_s")).select(*keys, "_all", "_v", "_s.*")
+        counts = inside.groupBy(*keys, "_all", "lo", "before", _part(bins).alias("_part")).agg(
             F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
         )
         upto = Window.partitionBy(*keys, "lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
         summed = counts.withColumn("_upto", F.col("before") + F.sum("_n").over(upto))
         kept = F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi"), (F.col("_upto") - F.col("_n")).alias("before"))
-        spots = summed.where(F.size(inside(F.col("_upto"), F.col("_n"))) > 0).groupBy(*keys).agg(
-            F.max("_all").alias("_all"), F.collect_set(kept).alias("_spots")
-        )
+        hit = F.exists(wanted(F.col("_all")), lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")))
+        spots = summed.where(hit).groupBy(*keys).agg(F.max("_all").alias("_all"), F.collect_list(kept).alias("_spots"))
 
-    values = open_rows().groupBy(*keys, "_all", "lo", "before", "_v").agg(F.count("_v").alias("_n"))
-    upto = Window.partitionBy(*keys, "lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_upto", F.col("before") + F.sum("_n").over(upto)).withColumn(
-        "_rank", F.explode(F.array_distinct(inside(F.col("_upto"), F.col("_n"))))
-    )
-    at_rank = ranked.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"), F.max("_all").alias("_all")
-    )
+    def at(rank: Column) -> Column:
+        below = F.filter("_spots", lambda s: s["before"] <= rank)
+        return F.array_max(F.transform(below, lambda s: s["lo"]))
+
+    ranks = F.array_distinct(F.filter(wanted(F.col("_all")), lambda r: (r >= 0) & (r < F.col("_all"))))
+    return spots.select(*keys, "_all", F.map_from_arrays(ranks, F.transform(ranks, at)).alias("_at"))
+
+
+def _part(bins: int) -> Column:
+    """Part of a range from ``lo`` to ``hi`` that a value lies in, in the order of values."""
+    value, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    power = lambda v: F.floor(F.log2(F.abs(v)))
+    ordered = F.when(value > 0, 2048 + power(value)).when(value < 0, -2048 - power(value)).otherwise(F.lit(0))
+    alike = (F.signum(lo) == F.signum(hi)) & (F.abs(hi) <= 2 * F.abs(lo)) & (F.abs(lo) <= 2 * F.abs(hi))
+    even = F.least(F.floor(F.try_divide(value - lo, hi - lo) * bins), F.lit(bins - 1))
+    return F.when(lo == hi, F.lit(0)).when(alike, even).otherwise(ordered).cast("long")
+
+
+def exact_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column ``q0, q1, ..`` per share."""
+    low = lambda n, share: F.floor((n - 1) * share).cast("long")
+    found = exact_ranks(df, c, lambda n: F.array(*[low(n, share) + add for share in shares for add in (0, 1)]), by)
     columns = []
     for i, share in enumerate(shares):
-        at = (F.col("_all") - 1) * share
-        low = F.floor(at).cast("long")
-        first = F.try_element_at("_at", low)
-        after = F.coalesce(F.try_element_at("_at", low + 1), first)
-        columns.append((first + (after - first) * (at - low)).alias(f"q{i}"))
-    return at_rank.select(*keys, *columns)
+        place = (F.col("_all") - 1) * share
+        first = F.try_element_at("_at", low(F.col("_all"), share))
+        after = F.coalesce(F.try_element_at("_at", low(F.col("_all"), share) + 1), first)
+        columns.append((first + (after - first) * (place - low(F.col("_all"), share))).alias(f"q{i}"))
+    return found.select(*([by] if by else []), *columns)
+
+
+def lower_median(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
+    """The exact lower median as column ``median``; over no values at all it is NULL (one row), per key there is no row."""
+    found = exact_ranks(df, c, lambda n: F.array(F.floor((n - 1) / 2).cast("long")), by)
+    value = F.try_element_at("_at", F.floor((F.col("_all") - 1) / 2).cast("long"))
+    return found.select(by, value.alias("median")) if by else found.agg(F.max(value).alias("median"))
 
 
 def histogram_bounds(df: DataFrame, c: str, bins: int | str = "auto", by: str | None = None) -> DataFrame:
@@ -156,12 +170,16 @@ def histogram(df: DataFrame, c: str, bins: int | str = "auto", by: str | None =
     )
 
 
-def kde(df: DataFrame, c: str, grid: int = 200, by: str | None = None, cut: float = 3.0) -> DataFrame:
+def kde(
+    df: DataFrame, c: str, grid: int = 200, by: str | None = None, cut: float = 3.0, bins: int | None = None
+) -> DataFrame:
     """Gaussian kernel density on ``grid`` points (point, x, density).
 
-    The bandwidth is s * n^(-1/5), and the grid covers ``cut`` bandwidths beyond the data. Equal
-    values are counted first; each then adds to the fixed number of grid points, and those sums
-    are combined before the shuffle, which carries at most ``grid`` rows per task and key.
+    The bandwidth is s * n^(-1/5), and the grid covers ``cut`` bandwidths beyond the data: with 0 it
+    ends where the data do. With ``bins`` the column ``count_scaled`` has the curve that fits a histogram
+    of so many bins. Equal values are counted first; each then adds to the grid points within ``REACH``
+    bandwidths, beyond which the kernel is 0 as a double, and those sums are combined before the shuffle,
+    which carries at most ``grid`` rows per task and key.
     """
     keys = [by] if by else []
     known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
@@ -173,16 +191,24 @@ def kde(df: DataFrame, c: str, grid: int = 200, by: str | None = None, cut: floa
         *keys,
         "_all",
         "_h",
+        (F.col("_hi") - F.col("_lo")).alias("_range"),
         (F.col("_lo") - cut * F.col("_h")).alias("_from"),
         ((F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (grid - 1)).alias("_step"),
     )
     counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     rows = beside(counted, setup, by)
-    rows = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    place = F.try_divide(F.col("_v") - F.col("_from"), F.col("_step"))
+    span = F.coalesce(F.try_divide(REACH * F.col("_h"), F.col("_step")), F.lit(float(grid)))
+    first = F.greatest(F.ceil(F.coalesce(place, F.lit(0.0)) - span), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.coalesce(place, F.lit(0.0)) + span), F.lit(grid - 1)).cast("int")
+    near = F.when(first <= last, F.sequence(first, last))
     x = F.col("_from") + F.col("point") * F.col("_step")
     z = F.try_divide(x - F.col("_v"), F.col("_h"))
     kernel = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    return rows.groupBy(*keys, "point").agg(
-        F.max(x).alias("x"),
-        F.try_divide(F.sum(F.col("_n") * kernel), F.max(F.col("_all") * F.col("_h"))).alias("density"),
-    )
+    sums = rows.withColumn("point", F.explode(near)).groupBy(*keys, "point").agg(F.sum(F.col("_n") * kernel).alias("_sum"))
+    every = setup.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    joined = every.join(sums, [*keys, "point"], "left")
+    # Where the bandwidth is unknown or 0, so is the density.
+    density = F.try_divide(F.when(F.col("_h") > 0, F.coalesce("_sum", F.lit(0.0))), F.col("_all") * F.col("_h"))
+    scaled = [(density * F.col("_all") * F.col("_range") / bins).alias("count_scaled")] if bins else []
+    return joined.select(*keys, "point", x.alias("x"), density.alias("density"), *scaled)

@@ -13,7 +13,6 @@ from tidemark.functions.dates import parse_date
 from tidemark.operators.calendar import densify, first_and_last_day
 from tidemark.operators.filling import fill_residual
 from tidemark.series import PANEL
-from tidemark.session import spread_small_scan
 
 # The keys and the first day of the order table, and the spread of the texts.
 KEYS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -21,9 +20,6 @@ FIRST_DAY = "1995-01-01"
 TEXT_DAYS = 2405
 TEXTS_PER_DAY = 3
 
-# Exact lower median on the test tables; production code keeps the default.
-ACCURACY = 1_000_000
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -48,6 +44,17 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gappy_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Trades with every third price unknown, all of the first two years among them."""
+    known = (F.col("o_orderkey") % 3 > 0) & (F.year("o_orderdate") > 1996)
+    return table(spark, folder, "orders").select(
+        F.to_date("o_orderdate").alias("Date"),
+        F.col("o_orderpriority").alias("Ticker"),
+        F.when(known, F.col("o_totalprice")).alias("Close"),
+        (F.col("o_custkey") % 100 + 1).alias("Volume"),
+    )
+
+
 def daily(rows: DataFrame) -> DataFrame:
     """Daily mean price, and total volume: the number of ticks."""
     return rows.groupBy("Date", "Ticker").agg(
@@ -59,11 +66,15 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
     return daily(ticks(spark, folder))
 
 
+def shipped(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
+        F.to_date("l_shipdate").alias("Date"), F.col("l_suppkey").cast("string").alias("Ticker"), "l_extendedprice", "l_quantity"
+    )
+
+
 def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
     """A wider panel: mean price and quantity by supplier and shipping day."""
-    return table(spark, folder, "lineitem").groupBy(
-        F.to_date("l_shipdate").alias("Date"), F.col("l_suppkey").cast("string").alias("Ticker")
-    ).agg(F.avg("l_extendedprice").alias("Close"), F.sum("l_quantity").alias("Volume"))
+    return shipped(spark, folder).groupBy("Date", "Ticker").agg(F.avg("l_extendedprice").alias("Close"), F.sum("l_quantity").alias("Volume"))
 
 
 def dense(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,15 +85,14 @@ def dense(spark: SparkSession, folder: str) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """The dense panel with nothing NULL."""
-    return fill_residual(dense(spark, folder), accuracy=ACCURACY, series=PANEL)
+    return fill_residual(dense(spark, folder), series=PANEL)
 
 
 def tweets(spark: SparkSession, folder: str) -> DataFrame:
     key = F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.pmod("doc_id", F.lit(len(KEYS))) + 1).cast("int"))
     day = F.pmod(F.floor(F.col("doc_id") / (len(KEYS) * TEXTS_PER_DAY)), F.lit(TEXT_DAYS)).cast("int")
     written = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day), "dd/MM/yyyy")
-    texts = spread_small_scan(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return texts.select(
+    return table(spark, folder, "documents").select(
         "doc_id", written.alias("date"), key.alias("stock_name"), F.col("text").alias("tweet")
     )
 
@@ -95,5 +105,6 @@ def parsed_tweets(spark: SparkSession, folder: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     """Mean price of the day over all keys, on every day."""
-    daily = ticks(spark, folder).groupBy("Date").agg(F.avg("Close").alias("Close"))
-    return densify(daily.withColumn("Ticker", F.lit("ALL")), values=("Close",)).drop("Ticker")
+    rows = ticks(spark, folder)
+    means = rows.groupBy("Date").agg(F.avg("Close").alias("Close")).withColumn("Ticker", F.lit("ALL"))
+    return densify(means, values=("Close",), span=first_and_last_day(rows)).drop("Ticker")

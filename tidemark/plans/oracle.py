@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators.sentiment import NEGATIONS, STRONGER, WEAKER, WORDS
-from tidemark.plans.queries import CORRELATED, LEVELS, OFF_CENTRE, PLACES
+from tidemark.plans.queries import CORRELATED, LEVELS, PLACES
 
 # -- common tables ----------------------------------------------------------------------------
 
@@ -104,7 +104,7 @@ def with_tables(needed: list[str], body: str, extra: dict[str, str] | None = Non
 
 def shaped(name: str, expression: str) -> str:
     if name in LEVELS:
-        return f"CAST(CAST(({expression}) * {OFF_CENTRE}::DOUBLE AS FLOAT) AS DOUBLE) AS {name}"
+        return f"CAST(round(CAST(({expression}) AS DECIMAL(28, 8)), 4) AS DOUBLE) AS {name}"
     if name in PLACES:
         return f"round({expression}, {PLACES[name]}) AS {name}"
     return f"{expression} AS {name}"
@@ -182,6 +182,27 @@ KDE = with_tables(
     {"setup": "SELECT count(x) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(x), -0.2) AS h FROM known_returns"},
 )
 
+HISTOGRAM_AUTO_BY_KEY = with_tables(
+    ["known_returns"],
+    f"""SELECT e.k AS "Ticker", CAST(e.bin AS BIGINT) AS bin, {shaped('left', 'lo + e.bin * w')}, {shaped('right', 'lo + (e.bin + 1) * w')}, coalesce(n, 0) AS count
+    FROM (SELECT k, lo, w, unnest(generate_series(0, bins - 1)) AS bin FROM sized) AS e LEFT JOIN counted ON counted.k = e.k AND counted.bin = e.bin""",
+    {
+        "stats": "SELECT k, count(x) AS n, min(x) AS lo, max(x) - min(x) AS width, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM known_returns GROUP BY k",
+        "sized": """SELECT k, lo, bins, width / bins AS w FROM (SELECT *, CAST(ceil(width / CASE WHEN iqr > 0
+            THEN least(width / (log2(n) + 1), greatest(2 * iqr / cbrt(n), width / (2 * sqrt(n)))) ELSE width / (log2(n) + 1) END) AS BIGINT) AS bins FROM stats)""",
+        "counted": "SELECT k, CAST(least(floor((x - lo) / w), bins - 1) AS BIGINT) AS bin, count(*) AS n FROM known_returns JOIN sized USING (k) GROUP BY 1, 2",
+    },
+)
+
+KDE_BY_KEY = with_tables(
+    ["known_returns"],
+    f"""SELECT k AS "Ticker", CAST(point AS BIGINT) AS point, {shaped('x', 'g')}, {shaped('density', 'density')}, {shaped('count_scaled', 'density * n * width / 40')}
+    FROM (SELECT k, point, g, any_value(n) AS n, any_value(hi - lo) AS width, sum(exp(-0.5 * ((g - y) / h) ** 2)) / sqrt(2 * pi()) / max(n * h) AS density
+        FROM (SELECT k, point, lo + point * (hi - lo) / 199 AS g, h, n, lo, hi FROM setup CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS point))
+        JOIN (SELECT k, x AS y FROM known_returns) USING (k) GROUP BY k, point, g)""",
+    {"setup": "SELECT k, count(x) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(x), -0.2) AS h FROM known_returns GROUP BY k"},
+)
+
 # -- text -------------------------------------------------------------------------------------
 
 NEGATED = with_tables(
@@ -218,6 +239,16 @@ def autoregression(source: str) -> dict[str, str]:
     }
 
 
+GAPPY = {
+    "gappy": """SELECT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS k, avg(o_custkey % 100 + 1) AS v,
+        avg(CASE WHEN o_orderkey % 3 > 0 AND year(o_orderdate) > 1996 THEN o_totalprice END) AS c FROM orders GROUP BY 1, 2""",
+    "gappy_carried": f"SELECT d, k, v, last_value(c IGNORE NULLS) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS c FROM gappy",
+    "gappy_observed": "SELECT d, k, v, coalesce(c, (SELECT quantile_disc(c, 0.5) FROM gappy_carried)) AS c FROM gappy_carried",
+    "gappy_grid": """SELECT days.d, keys.k, g.c, g.v FROM days CROSS JOIN (SELECT DISTINCT k FROM gappy) AS keys
+        LEFT JOIN gappy_observed AS g ON g.d = days.d AND g.k = keys.k""",
+    "gappy_dense": TABLES["dense"].replace("FROM grid", "FROM gappy_grid"),
+    "gappy_panel": "SELECT d, k, coalesce(c, (SELECT quantile_disc(c, 0.5) FROM gappy_dense)) AS c, coalesce(v, 0) AS v FROM gappy_dense",
+}
 SCALED = {c: f"coalesce(({c} - min({c}) OVER (PARTITION BY k)) / nullif(max({c}) OVER (PARTITION BY k) - min({c}) OVER (PARTITION BY k), 0), 0)" for c in ("c", "v")}
 CUMULATIVE = "c / first_value(c) OVER (PARTITION BY k ORDER BY d) - 1"
 BENCHMARK_CUMULATIVE = "b / first_value(b) OVER (PARTITION BY k ORDER BY d) - 1"
@@ -279,7 +310,13 @@ SQL: dict[str, str] = {
         """SELECT k AS "Ticker", CAST(sum(v) AS BIGINT) AS "Volume", CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day, max(c) AS highest
         FROM (SELECT d, k, c, v FROM ticks UNION ALL SELECT CAST(ts AS DATE), event_type, value, 1 FROM events) GROUP BY k""",
     ),
-    "write_read_roundtrip": with_tables(["panel"], panel_rows("panel", PRICE, "WHERE k IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")),
+    "write_read_roundtrip": with_tables(["panel"], panel_rows("panel", PRICE)),
+    "read_some_keys": with_tables(["panel"], panel_rows("panel", PRICE, "WHERE k IN ('2-HIGH', '5-LOW')")),
+    "csv_roundtrip": with_tables(["panel"], panel_rows("panel", {**PRICE, "nth": "row_number() OVER (PARTITION BY k, (d - DATE '1970-01-01') // 4096 ORDER BY d)"})),
+    "panel_of_gappy_prices": with_tables(["days"], panel_rows("gappy_panel", PRICE), GAPPY),
+    "tweet_driven_gappy_prices": with_tables(["days", "spoken"], panel_rows("spoken LEFT JOIN gappy_dense USING (d, k)", {**PRICE, "sentiment": "s"}), GAPPY),
+    "iso_date": """SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "Date", count(*) AS n FROM orders GROUP BY 1""",
+    "rename_sentiment": with_tables(["full_panel"], panel_rows("full_panel", {**PRICE, "sentiments": "s"})),
     "rolling_minmax": plain("Close_min_14", "Close_max_14"),
     "rolling_std": plain("Close_std_20"),
     "rolling_sparse": with_tables(["prices"], panel_rows("prices", {"SMA_20": rolled("avg", "c", 20)})),
@@ -344,6 +381,8 @@ SQL: dict[str, str] = {
     "return_histogram": HISTOGRAM,
     "return_histogram_by_key": HISTOGRAM_BY_KEY,
     "return_kde": KDE,
+    "return_histogram_auto_by_key": HISTOGRAM_AUTO_BY_KEY,
+    "return_kde_by_key": KDE_BY_KEY,
     "minmax_scale": with_tables(["panel"], panel_rows("panel", {"Close_scaled": SCALED["c"], "Volume_scaled": SCALED["v"]})),
     "minmax_invert": with_tables(["panel"], panel_rows("panel", {"Close": "c"})),
     "lookback": with_tables(

@@ -1,22 +1,18 @@
-"""From prices and texts to one panel by day and key: one lazy plan, nothing collected."""
+"""From prices and texts to one panel by day and key; nothing collected."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import attach_sentiment, daily_mean
 from tidemark.operators.calendar import densify, first_and_last_day
 from tidemark.operators.cumulative import ffill
-from tidemark.operators.filling import MEDIAN_ACCURACY, fill_residual, filter_keys, median
+from tidemark.operators.filling import fill_residual, filter_keys
 from tidemark.operators.sentiment import lexicon_score
+from tidemark.operators.statistics import lower_median
 from tidemark.series import SERIES, Series
-
-
-def as_is(df: DataFrame) -> DataFrame:
-    return df
+from tidemark.session import written
 
 
 def score_tweets(tweets: DataFrame, keys: list[str] | None, lexicon: DataFrame | None, negation: bool, id: str | None, series: Series) -> DataFrame:
@@ -28,25 +24,26 @@ def dense_prices(
     prices: DataFrame,
     keys: list[str] | None = None,
     scope: str = "global",
-    accuracy: int = MEDIAN_ACCURACY,
-    stage: Callable[[DataFrame], DataFrame] = as_is,
     series: Series = SERIES,
 ) -> DataFrame:
     """Daily prices of every key with no day missing and nothing NULL (``scope`` 'none' keeps NULLs).
 
     Known values are carried forward; what has no earlier value takes the median price and volume
-    0, once for observed rows without a price and once for days before a key's first row. ``stage``
-    may write the daily table out (``cut_lineage``), so that medians and panel share one reading.
+    0, once for observed rows without a price and once for days before a key's first row. The daily
+    table is written once, for the medians and the panel to share.
     """
     chosen = prices if keys is None else filter_keys(prices, keys, series.key)
     span = first_and_last_day(chosen, series.date)
-    daily = stage(daily_mean(chosen, series=series))
-    defaults = {}
-    if scope == "global":
-        middle = ffill(daily.drop("Volume"), ["Close"], series).select(median("Close", accuracy)).scalar()
-        defaults = {"Close": middle, "Volume": F.lit(0.0)}
+    daily = written(daily_mean(chosen, series=series), "daily")
+    defaults = observed_defaults(daily, series) if scope == "global" else {}
     dense = densify(daily, keys=keys, observed_default=defaults, span=span, series=series)
-    return dense if scope == "none" else fill_residual(dense, scope, accuracy=accuracy, series=series)
+    return dense if scope == "none" else fill_residual(dense, scope, series=series)
+
+
+def observed_defaults(daily: DataFrame, series: Series) -> dict[str, Column]:
+    """For observed rows without any earlier price: the median of the prices carried forward, and volume 0."""
+    middle = lower_median(ffill(daily.drop("Volume"), ["Close"], series), "Close").scalar()
+    return {"Close": middle, "Volume": F.lit(0.0)}
 
 
 def panel_driven(
@@ -57,12 +54,10 @@ def panel_driven(
     scope: str = "global",
     negation: bool = False,
     tweet_id: str | None = None,
-    accuracy: int = MEDIAN_ACCURACY,
-    stage: Callable[[DataFrame], DataFrame] = as_is,
     series: Series = SERIES,
 ) -> DataFrame:
     """Every day of every key: (Date, Ticker, Close, Volume, sentiment); 0 where nothing was said."""
-    panel = dense_prices(prices, keys, scope, accuracy, stage, series)
+    panel = dense_prices(prices, keys, scope, series)
     scored = score_tweets(tweets, keys, lexicon, negation, tweet_id, series)
     return attach_sentiment(panel, scored, "panel", series=series)
 
@@ -74,18 +69,13 @@ def tweet_driven(
     lexicon: DataFrame | None = None,
     negation: bool = False,
     tweet_id: str | None = None,
-    accuracy: int = MEDIAN_ACCURACY,
-    stage: Callable[[DataFrame], DataFrame] = as_is,
     series: Series = SERIES,
 ) -> DataFrame:
     """Only days with texts. Observed rows without a price take the median, and are averaged by
     day after that; days before a key's first row stay NULL."""
     chosen = prices if keys is None else filter_keys(prices, keys, series.key)
     span = first_and_last_day(chosen, series.date)
-    daily = stage(daily_mean(chosen, series=series))
-    middle = ffill(daily.drop("Volume"), ["Close"], series).select(median("Close", accuracy)).scalar()
-    panel = densify(
-        daily, keys=keys, observed_default={"Close": middle, "Volume": F.lit(0.0)}, span=span, series=series
-    )
+    daily = written(daily_mean(chosen, series=series), "daily")
+    panel = densify(daily, keys=keys, observed_default=observed_defaults(daily, series), span=span, series=series)
     scored = score_tweets(tweets, keys, lexicon, negation, tweet_id, series)
     return attach_sentiment(panel, scored, "tweets", series=series)

@@ -1,44 +1,42 @@
 """One named query per operator, over the given test tables.
 
-Results are shaped for comparison: days as text, prices to single precision (``level``), and
-differences and ratios rounded (``places``).
+Results are shaped for comparison: days as text, prices to four decimals (``level``), and
+differences and ratios rounded (``PLACES``).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean_text
+from tidemark.functions.dates import parse_date
 from tidemark.operators import aggregates, calendar, cumulative, ewm, features, filling, forecast, rolling, statistics
 from tidemark.operators.blocks import over_blocks
 from tidemark.operators.indicators import add_indicators, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market, panels
 from tidemark.series import PANEL
-from tidemark.session import cut_lineage
+from tidemark.session import new_table_path, written
 from tidemark.sources import read_panel, standardize, union_prices, write_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# The price columns compared to single precision, and decimals of the others.
+PANEL_COLUMNS = "Date date, Ticker string, Close double, Volume double"
+
+# The price columns, and decimals of the others.
 LEVELS = [
     "Close", "SMA_20", "SMA_50", "EMA_20", "BB_middle", "BB_upper", "BB_lower", "Close_std_20", "Close_min_14",
     "Close_max_14", "Close_lag_7", "median", "Benchmark_Close", "forecast", "actual", "first_close", "last_close", "y",
     "ATR", "Close_diff",
 ]
-# Averages of decimal prices can fall exactly between two single-precision numbers, where the last
-# bit of a sum decides. This factor moves them off that point, in both engines alike.
-OFF_CENTRE = 1.000000001
 PLACES = {
     "RSI": 4, "MACD": 4, "Signal_Line": 4, "Stochastic_K": 4, "Volatility": 4, "mean_Volatility": 6,
-    "Daily_Return": 6, "Volume_Ratio": 6, "sentiment": 6, "Close_pct": 6, "r": 6, "x": 6,
-    "density": 5, "left": 6, "right": 6, "Stock_Return": 6, "Benchmark_Return": 6, "error": 2,
+    "Daily_Return": 6, "Volume_Ratio": 6, "sentiment": 6, "sentiments": 6, "Close_pct": 6, "r": 6, "x": 6,
+    "density": 5, "count_scaled": 4, "left": 6, "right": 6, "Stock_Return": 6, "Benchmark_Return": 6, "error": 2,
     "Stock_Cumulative_Return": 4, "Benchmark_Cumulative_Return": 4, "Cumulative_Return": 4, 
     "Close_scaled": 6, "Volume_scaled": 6, "Sentiment_7D_Rolling": 6, "Sentiment_14D_Rolling": 6,
     "Sentiment_7D_Lagged": 6, "Sentiment_14D_Lagged": 6,
@@ -46,7 +44,8 @@ PLACES = {
 
 
 def level(c: str) -> Column:
-    return (F.col(c) * OFF_CENTRE).cast("float").cast("double")
+    """Four decimals, halves upwards. Means of prices often end in a half: by way of eight decimals the noise of sums goes first."""
+    return F.round(F.col(c).cast("decimal(28,8)"), 4).cast("double")
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -98,11 +97,7 @@ def returns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for one write, inside the shared checkpoint folder where there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='tidemark-')}/panel-{uuid.uuid4().hex}"
+    return new_table_path(spark, "panel")
 
 
 # -- building the panel ---------------------------------------------------------------------
@@ -128,7 +123,7 @@ def densify(spark, folder):
 def densify_listed_keys(spark, folder):
     keys = ["1-URGENT", "5-LOW", "6-UNKNOWN"]
     dense = calendar.densify(market.prices(spark, folder), keys=keys)
-    return filling.fill_residual(dense, accuracy=market.ACCURACY)
+    return filling.fill_residual(dense)
 
 
 @query
@@ -140,17 +135,17 @@ def ffill(spark, folder):
 
 @query
 def median_fill_global(spark, folder):
-    return filling.fill_residual(market.dense(spark, folder), accuracy=market.ACCURACY)
+    return filling.fill_residual(market.dense(spark, folder))
 
 
 @query
 def median_fill_key(spark, folder):
-    return filling.fill_residual(market.dense(spark, folder), scope="key", accuracy=market.ACCURACY)
+    return filling.fill_residual(market.dense(spark, folder), scope="key")
 
 
 @query
 def median_price(spark, folder):
-    return filling.median_of(market.ticks(spark, folder), "Close", accuracy=market.ACCURACY)
+    return statistics.lower_median(market.ticks(spark, folder), "Close")
 
 
 @query
@@ -201,7 +196,52 @@ def union_sources(spark, folder):
 def write_read_roundtrip(spark, folder):
     path = scratch_folder(spark)
     write_panel(market.panel(spark, folder), path)
-    return read_panel(spark, path, keys=market.KEYS[:3], schema="Date date, Ticker string, Close double, Volume double")
+    return read_panel(spark, path, schema=PANEL_COLUMNS)
+
+
+@query
+def read_some_keys(spark, folder):
+    """Of a written panel, only the folders of two keys are read."""
+    path = scratch_folder(spark)
+    write_panel(market.panel(spark, folder), path)
+    return read_panel(spark, path, keys=["2-HIGH", "5-LOW"], schema=PANEL_COLUMNS)
+
+
+@query
+def csv_roundtrip(spark, folder):
+    """The panel as text files and back, with the place of each row in its file: rows must be in date order."""
+    path = scratch_folder(spark)
+    write_panel(market.panel(spark, folder), path, "csv")
+    back = read_panel(spark, path, "csv", schema=PANEL_COLUMNS)
+    place = F.struct("_metadata.file_path", F.monotonically_increasing_id())
+    rows = back.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    in_file = Window.partitionBy("_file").orderBy("_place")
+    return rows.select("Date", "Ticker", "Close", "Volume", F.row_number().over(in_file).alias("nth"))
+
+
+@query
+def panel_of_gappy_prices(spark, folder):
+    """Prices of which every third is unknown, through both medians: of observed rows, and of days before a key's first."""
+    return panels.dense_prices(market.gappy_trades(spark, folder))
+
+
+@query
+def tweet_driven_gappy_prices(spark, folder):
+    return panels.tweet_driven(market.gappy_trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id")
+
+
+@query
+def iso_date(spark, folder):
+    """Order days as text, year first, of which every seventh isn't a date."""
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    days = market.table(spark, folder, "orders").select(text.alias("day")).select(parse_date("day").alias("Date"))
+    return days.groupBy("Date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rename_sentiment(spark, folder):
+    lower = panel_with_sentiment(spark, folder).withColumnsRenamed({"Close": "close", "Volume": "volume"})
+    return standardize(lower)
 
 
 # -- window primitives ------------------------------------------------------------------------
@@ -328,7 +368,8 @@ def indicators_all(spark, folder):
 @query
 def supplier_indicators(spark, folder):
     """Many keys: every supplier's daily series, laid dense, with the windowed indicators."""
-    dense = calendar.densify(market.supplier_prices(spark, folder))
+    span = calendar.first_and_last_day(market.shipped(spark, folder))
+    dense = calendar.densify(market.supplier_prices(spark, folder), span=span)
     names = ["SMA_20", "RSI", "ATR", "OBV", "Stochastic_K"]
     return add_indicators(dense, names, series=PANEL).drop("Close", "Volume")
 
@@ -339,7 +380,7 @@ def event_indicators(spark, folder):
     events = market.table(spark, folder, "events").select(
         F.to_date("ts").alias("Date"), F.col("event_type").alias("Ticker"), F.col("value").alias("Close"), F.lit(1.0).alias("Volume")
     )
-    dense = calendar.densify(aggregates.daily_mean(events))
+    dense = calendar.densify(aggregates.daily_mean(events), span=calendar.first_and_last_day(events))
     return add_indicators(dense, ["SMA_20", "SMA_50", "RSI", "ATR"], series=PANEL).drop("Close", "Volume")
 
 
@@ -385,14 +426,14 @@ def daily_sentiment(spark, folder):
 @query
 def panel_driven(spark, folder):
     return panels.panel_driven(
-        market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id", accuracy=market.ACCURACY
+        market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id"
     )
 
 
 @query
 def tweet_driven(spark, folder):
     return panels.tweet_driven(
-        market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id", accuracy=market.ACCURACY
+        market.trades(spark, folder), market.parsed_tweets(spark, folder), tweet_id="doc_id"
     )
 
 
@@ -422,7 +463,13 @@ def mean_volatility(spark, folder):
 @query
 def return_histogram(spark, folder):
     # Automatic bins read their input several times: a written copy, not the whole panel job again.
-    return statistics.histogram(cut_lineage(returns(spark, folder).select("Daily_Return")), "Daily_Return")
+    return statistics.histogram(written(returns(spark, folder).select("Daily_Return"), "returns"), "Daily_Return")
+
+
+@query
+def return_histogram_auto_by_key(spark, folder):
+    rows = written(returns(spark, folder).select("Ticker", "Daily_Return"), "returns")
+    return statistics.histogram(rows, "Daily_Return", by="Ticker")
 
 
 @query
@@ -435,6 +482,12 @@ def return_kde(spark, folder):
     return statistics.kde(returns(spark, folder), "Daily_Return")
 
 
+@query
+def return_kde_by_key(spark, folder):
+    """Density per key as drawn over its histogram: within the data, scaled to counts of 40 bins."""
+    return statistics.kde(returns(spark, folder), "Daily_Return", by="Ticker", cut=0.0, bins=40)
+
+
 # -- features and forecasts -------------------------------------------------------------------
 
 
@@ -495,9 +548,10 @@ def compare_forecast(spark, folder):
 def lookback_linear_forecast(spark, folder):
     columns = ["Close", *features.MODEL_FEATURES]
     rows = add_indicators(market.panel(spark, folder), features.MODEL_FEATURES, series=PANEL).na.fill(0.0)
-    limits = features.minmax_stats(rows, columns)
-    # The fit passes over its input several times: it reads a written copy of the scaled panel.
-    scaled = cut_lineage(features.minmax_scale(rows, columns, stats=limits).select("Date", "Ticker", *columns))
+    # The limits and the fit pass over the panel several times: they read written copies.
+    rows = written(rows.select("Date", "Ticker", *columns), "features")
+    limits = written(features.minmax_stats(rows, columns), "limits")
+    scaled = written(features.minmax_scale(rows, columns, stats=limits).select("Date", "Ticker", *columns), "scaled")
     model = forecast.fit_lookback(features.lookback(scaled, columns, "Close", 60, PANEL))
     ahead = forecast.rollout(model, forecast.last_sequence(scaled, columns, 60))
     return features.minmax_invert(ahead, "Close", limits, out="forecast", source="forecast")

@@ -22,17 +22,6 @@ def local_session(cpus: int = 8, name: str = "tidemark") -> SparkSession:
     )
 
 
-def spread_small_scan(scan: DataFrame, id: str) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
-
-    So few splits mean a small input, or a single large row group that one task would read and
-    compute on. A scan with enough splits, as any large table has, is left as it is. Rows go by
-    their unique ``id``, so a later grouping by it needs no further shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, id) if scan.rdd.getNumPartitions() < cores else scan
-
-
 _OWN_FOLDERS: dict[str, str] = {}
 
 

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +13,21 @@ PRICE_SCHEMA = "Date date, Open double, High double, Low double, Close double, `
 PRICES = ["Open", "High", "Low", "Close", "Adj Close"]
 
 
-def file_key(uri: str) -> str:
-    return unquote(uri.rsplit("/", 1)[-1]).removesuffix(".csv")
-
-
 def read_prices(spark: SparkSession, path: str, keys: list[str] | None = None, all_columns: bool = False) -> DataFrame:
     """All price files of a folder as one relation; the key is the file name without ``.csv``.
 
-    ``keys`` keeps the named files and passes over those that are missing; no file at all is an
-    error. Files are read by one scan with a declared schema, and unwanted ones are not opened.
+    ``keys`` keeps the named files and passes over those that are missing; no row at all is an
+    error. Files are read by one scan with a declared schema, and unwanted ones are not opened; their
+    names stay with the scan.
     """
     try:
         scan = spark.read.schema(PRICE_SCHEMA).option("header", True).csv(path)
     except AnalysisException as missing:
         raise ValueError(f"no price data found in {path}") from missing
-    present = {file_key(uri) for uri in scan.inputFiles() if uri.endswith(".csv")}
-    wanted = present if keys is None else present & set(keys)
-    if not wanted:
+    name = F.url_decode("_metadata.file_name")
+    scan = scan.where(name.endswith(".csv") if keys is None else name.isin([f"{key}.csv" for key in keys]))
+    if scan.isEmpty():
         raise ValueError(f"no price data found in {path} for {keys}")
-    if keys is not None:
-        scan = scan.where(F.url_decode("_metadata.file_name").isin([f"{key}.csv" for key in sorted(wanted)]))
     key = F.regexp_replace(F.url_decode("_metadata.file_name"), r"\.csv$", "")
     rows = scan.select("*", key.alias("Ticker")).withColumns({c: nan_to_null(f"`{c}`") for c in PRICES})
     return rows if all_columns else rows.select("Date", "Ticker", "Close", "Volume")
