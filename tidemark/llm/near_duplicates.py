@@ -8,8 +8,10 @@ differ, most precisely where nearly all agree. Candidates far below the limit ar
 the estimate; all others are confirmed on their full sets.
 
 In a band bucket each class is first compared with the smallest one only. Components of those links
-take in nearly all copies. Then pairs in a bucket whose members are still in different components are
-compared as well, so no link between two components is lost, and pairs inside one need no comparison.
+take in nearly all copies. Classes whose buckets still hold several components are then joined on the
+first shingles of their sets in one order, rare ones first, which finds every pair that can be a link;
+pairs inside a component need no comparison. So no link between components is lost, and the copies of
+one text, of which most are linked or else have many shingles of their own, don't meet in pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from tidemark.llm.arrays import text_slices, without
 from tidemark.llm.components import components
@@ -90,17 +93,43 @@ def find_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     links = written(confirmed(compared, candidates, percent), "confirmed")
 
     parts = components(links)
-    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("part"))
+    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("band")
-    apart = written(placed.join(split, "band", "left_semi"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    small = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
-    # Only pairs from different components meet, and not those that the first round compared.
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & small)
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    apart = placed.join(split, "band", "left_semi").select("id", "part").distinct()
+    across = pairs_across(candidates.join(apart, "id"), percent).join(compared, ["a", "b"], "left_anti")
     return links.union(confirmed(across, candidates, percent))
 
 
+def pairs_across(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different ``part`` that can be links: all links are among them.
+
+    All shingles are put in one order: those of one part only, then others by how many documents
+    have them. A document whose set has n shingles shares ``percent`` percent of them with any
+    it is linked with, so the first they share is among the first n - percent * n / 100 + 1 of both. Those
+    alone are joined. A copy with many changes begins with shingles that only it has, and so meets nobody,
+    however many copies there are of what it was made from.
+    """
+    hashes = F.arrow_udf(_shingle_lists, "array<bigint>")(F.col("text"))
+    sets = written(docs.select("id", "part", "n_shingles", hashes.alias("s")), "shingles")
+    rows = sets.select("id", "part", "n_shingles", F.explode("s").alias("s"))
+    spread = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("least"), F.max("part").alias("most"))
+    common = rows.join(spread.where("least < most").select("s", "df"), "s")
+    of_doc = Window.partitionBy("id", "part")
+    places = common.select(
+        "id", "part", "n_shingles", "s", F.count(F.lit(1)).over(of_doc).alias("n"), F.row_number().over(of_doc.orderBy("df", "s")).alias("place")
+    )
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    prefix = written(places.where(F.col("place") + F.col("n_shingles") - F.col("n") <= first).select("s", "id", "part", "n_shingles"), "prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    alike = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & alike
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _shingle_lists(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(text).view(np.int64) for text in texts.to_pylist()], pa.list_(pa.int64()))
+
+
 def confirmed(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: by size and estimate first, then on their full sets."""
     marks = candidates.select("id", "n_shingles", "sketch").distinct()
