@@ -2,9 +2,10 @@
 
 Sorting every suffix of a corpus at once needs many times its size. Here suffixes are sorted bucket by
 bucket. The bucket of a suffix is drawn from its first ``length`` bytes alone, by the smallest hash of
-the ``ANCHOR`` byte strings among them, so equal strings meet in one bucket. Neighbouring suffixes mostly
-have the same smallest hash, and travel as one stretch of text: a bucket gets about three bytes per
-suffix, each stretch once for all copies in a chunk of documents.
+the ``ANCHOR`` byte strings among them, its anchor, so equal strings meet in one bucket. Neighbouring
+suffixes mostly have the same anchor, and travel as one stretch of text: a bucket gets about four bytes
+per suffix, each stretch once for all copies in a chunk of documents. Before that the anchors alone are
+exchanged, as sorted numbers: a stretch whose anchor is in one document only can't repeat, and stays where it is.
 
 Within a bucket, blocks of suffixes are sorted by their first ``COVER`` bytes. Longer ties are resolved
 by a difference cover: for any two suffixes there is a shift below ``COVER`` after which both lie on
@@ -32,10 +33,10 @@ from tidemark.llm.arrays import plain_bytes, text_slices
 from tidemark.session import written
 
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20  # of the whole text; what repeats of it is less
 SLAB = 1 << 20
 BLOCK = 1 << 18
-ANCHOR = 12
+ANCHOR = 20
 LONGEST = 64  # suffixes in a stretch at most: a bit each in a mask
 
 #: Positions modulo 32 such that any two residues are met by some shift of both.
@@ -43,6 +44,8 @@ COVER = 32
 COVER_SAMPLE = (1, 2, 3, 4, 8, 12, 20)
 
 CHUNK = "chunk bigint, ids binary, named binary, sizes binary, data binary"
+ANCHORS = "bucket int, chunk bigint, anchors binary"
+FLAGS = "chunk bigint, bucket int, flags binary"
 STRETCHES = "bucket int, chunk bigint, sizes binary, docs binary, data binary"
 MASKS = "chunk bigint, bucket int, masks binary"
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -66,14 +69,21 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_BYTES))
     chunks = written(_chunk_table(docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))), "chunks")
-    stretches = chunks.mapInArrow(lambda batches: _send(batches, n_buckets, length), STRETCHES)
-    masks = stretches.groupBy("bucket").applyInArrow(lambda table: _masks_of_bucket(table, length), MASKS)
+    anchors = chunks.mapInArrow(lambda batches: _send_anchors(batches, n_buckets, length), ANCHORS)
+    flags = written(anchors.groupBy("bucket").applyInArrow(_flags_of_bucket, FLAGS), "anchor-flags")
+
+    def send(own: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [_stretch_rows(row, answers, n_buckets, length) for row in own.to_pylist()]
+        return pa.Table.from_batches([p for p in parts if p.num_rows], schema=_STRETCHES_ARROW)
 
-    def apply(own: pa.Table, masks: pa.Table) -> pa.Table:
-        parts = [_cut(row, masks, n_buckets, length) for row in own.to_pylist()]
-        return pa.Table.from_batches(parts, schema=_RESULT_ARROW)
+    def cut(own: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_cut(row, answers, n_buckets, length) for row in own.to_pylist()], schema=_RESULT_ARROW)
 
-    return chunks.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(apply, RESULT)
+    stretches = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, STRETCHES)
+    masks = stretches.groupBy("bucket").applyInArrow(lambda table: _masks_of_bucket(table, length), MASKS)
+    nothing = F.lit(None).cast("binary")
+    answers = flags.withColumn("masks", nothing).unionByName(masks.withColumn("flags", nothing))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, RESULT)
 
 
 # -- chunks ---------------------------------------------------------------------------------
@@ -111,33 +121,59 @@ def _chunk_row(chunk: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBat
 
 
 class _Chunk:
-    """A chunk's bytes, documents, and the distinct stretches of its text, in an order anyone rebuilds alike."""
+    """A chunk's bytes and documents, its anchors in the order of buckets, and its stretches, in an order anyone rebuilds alike."""
 
     def __init__(self, row: dict, n_buckets: int, length: int):
+        self.length = length
         self.ids, self.named = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["named"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
         n = int(self.ends[-1])
         raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(n, 1)) if n else b""
         self.data = np.frombuffer(raw + bytes(ANCHOR + 8), np.uint8)
-        starts, counts, buckets = _stretches(self.data, n, self.ends, self.named, n_buckets, length)
-        self.starts, self.counts = starts, counts
-        self.doc_of = np.searchsorted(self.ends, starts, side="right")
-        coded = _binary_array(self.data, starts, counts + length - 1).dictionary_encode()
+        self.starts, self.counts, anchors = _stretches(self.data, n, self.ends, self.named, length)
+        self.doc_of = np.searchsorted(self.ends, self.starts, side="right").astype(np.int32)
+        # Bucket, and 32 bits of the anchor: two anchors taken for one cost a look, not a mistake.
+        key = (anchors % np.uint64(n_buckets)) << np.uint64(32) | (anchors // np.uint64(n_buckets)) & np.uint64(0xFFFFFFFF)
+        self.anchors, self.anchor_of = np.unique(key, return_inverse=True)
+
+    def anchor_blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The sorted anchors of each bucket."""
+        bucket = (self.anchors >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            yield int(bucket[a]), (self.anchors[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def keep_repeated(self, answers: pa.Table) -> None:
+        """Leave the stretches whose anchor is in another document too, and number the distinct ones."""
+        known = answers.filter(answers.column("flags").is_valid()).select(["bucket", "flags"]).to_pylist()
+        unpack = zstandard.ZstdDecompressor().decompress
+        flags = [np.frombuffer(unpack(x["flags"]), bool) for x in sorted(known, key=lambda x: x["bucket"])]
+        flag = np.concatenate([np.zeros(0, bool), *flags])
+        if len(flag) != len(self.anchors):
+            raise ValueError(f"{len(flag)} answers to {len(self.anchors)} anchors")
+        ids = self.ids[self.doc_of]
+        low = np.full(len(flag), np.iinfo(np.int64).max)
+        high = np.full(len(flag), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.anchor_of, ids)
+        np.maximum.at(high, self.anchor_of, ids)
+        chosen = (flag | (low < high))[self.anchor_of]
+        bucket = (self.anchors >> np.uint64(32)).astype(np.int32)[self.anchor_of][chosen]
+        self.starts, self.counts, self.doc_of = self.starts[chosen], self.counts[chosen], self.doc_of[chosen]
+        coded = _binary_array(self.data, self.starts, self.counts + self.length - 1).dictionary_encode()
         self.code = coded.indices.to_numpy()
-        self.distinct = coded.dictionary
-        first = np.full(len(self.distinct), len(starts), np.int64)
-        np.minimum.at(first, self.code, np.arange(len(starts)))
+        first = np.full(len(coded.dictionary), len(self.starts), np.int64)
+        np.minimum.at(first, self.code, np.arange(len(self.starts)))
         self.first = first  # documents are in order, so the first copy is in the smallest
-        self.bucket = buckets[first]
+        self.bucket = bucket[first]
         self.order = np.argsort(self.bucket, kind="stable")
 
     def first_docs(self) -> np.ndarray:
         return self.ids[self.doc_of[self.first]]
 
 
-def _stretches(data: np.ndarray, n: int, ends: np.ndarray, named: np.ndarray, n_buckets: int, length: int):
-    """Start, number of suffixes and bucket of each stretch of suffixes with one smallest anchor."""
+def _stretches(data: np.ndarray, n: int, ends: np.ndarray, named: np.ndarray, length: int):
+    """Start, number of suffixes and anchor of each stretch of suffixes with one anchor."""
     found: list[tuple[np.ndarray, ...]] = []
     begins = np.concatenate([[0], ends[:-1]])
     # The last suffix of each document starts ``length`` bytes before its end; documents without a name have none.
@@ -169,10 +205,9 @@ def _stretches(data: np.ndarray, n: int, ends: np.ndarray, named: np.ndarray, n_
         valid_before = np.concatenate([[0], np.cumsum(valid)])
         nexts = np.append(heads[1:], high - low)
         counts = valid_before[nexts] - valid_before[heads]
-        buckets = (_mix(smallest[heads]) % np.uint64(n_buckets)).astype(np.int32)
-        found.append((heads + low, counts, buckets))
+        found.append((heads + low, counts, _mix(smallest[heads])))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -191,8 +226,9 @@ def _smallest_anchor(data: np.ndarray, low: int, high: int, length: int) -> np.n
     n_anchors = length - ANCHOR + 1
     stop = min(high + n_anchors - 1, len(data) - ANCHOR)
     words = _words(data, "<u8")
-    head, tail = words[low:stop].astype(np.uint64), words[low + ANCHOR - 8 : stop + ANCHOR - 8].astype(np.uint64)
-    hashes = _mix(head * np.uint64(0x9E3779B97F4A7C15) ^ _mix(tail))
+    hashes = np.zeros(stop - low, np.uint64)
+    for at in [*range(0, ANCHOR - 8, 8), ANCHOR - 8]:
+        hashes = _mix(hashes * np.uint64(0x9E3779B97F4A7C15) ^ words[low + at : stop + at].astype(np.uint64))
     least, width = hashes, 1
     while 2 * width <= n_anchors:
         least = np.minimum(least[:-width], least[width:])
@@ -226,31 +262,45 @@ def _flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(ends[-1])) if len(strings) else np.zeros(0, np.uint8), ends
 
 
-def _send(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+def _send_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            chunk = _Chunk(row, n_buckets, length)
-            docs, counts = chunk.first_docs(), chunk.counts[chunk.first]
-            starts = chunk.starts[chunk.first]
-            sent = chunk.bucket[chunk.order]
-            cuts = np.flatnonzero(np.diff(sent, prepend=-1))
-            rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(sent)]):
-                own = chunk.order[a:b]
-                text = _flat(_binary_array(chunk.data, starts[own], counts[own] + length - 1))[0]
-                rows.append(
-                    {
-                        "bucket": int(sent[a]),
-                        "chunk": row["chunk"],
-                        "sizes": pack(counts[own].astype(np.uint8).tobytes()),
-                        "docs": pack(docs[own].tobytes()),
-                        "data": pack(text.tobytes()),
-                    }
-                )
+            rows = [
+                {"bucket": bucket, "chunk": row["chunk"], "anchors": pack(np.diff(anchors, prepend=np.uint32(0)).tobytes())}
+                for bucket, anchors in _Chunk(row, n_buckets, length).anchor_blocks()
+            ]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_STRETCHES_ARROW)
+                yield pa.RecordBatch.from_pylist(rows, schema=_ANCHORS_ARROW)
+
+
+def _flags_of_bucket(table: pa.Table) -> pa.Table:
+    """For each chunk's anchors: whether another chunk has them too."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sent = [np.cumsum(np.frombuffer(unpack(x), np.uint32), dtype=np.uint32) for x in table.column("anchors").to_pylist()]
+    values, counts = np.unique(np.concatenate(sent), return_counts=True)
+    repeated = values[counts > 1]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    flags = [pack(np.isin(x, repeated, assume_unique=True).tobytes()) for x in sent]
+    return pa.table([table.column("chunk"), table.column("bucket"), pa.array(flags, pa.binary())], schema=_FLAGS_ARROW)
+
+
+def _stretch_rows(row: dict, answers: pa.Table, n_buckets: int, length: int) -> pa.RecordBatch:
+    """The chunk's distinct stretches by bucket, each with the smallest document that has it."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    chunk = _Chunk(row, n_buckets, length)
+    chunk.keep_repeated(answers)
+    docs, counts, starts = chunk.first_docs(), chunk.counts[chunk.first], chunk.starts[chunk.first]
+    sent = chunk.bucket[chunk.order]
+    cuts = np.flatnonzero(np.diff(sent, prepend=-1))
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(sent)]):
+        own = chunk.order[a:b]
+        text = _flat(_binary_array(chunk.data, starts[own], counts[own] + length - 1))[0]
+        packed = (counts[own].astype(np.uint8), docs[own], text)
+        rows.append({"bucket": int(sent[a]), "chunk": row["chunk"]} | dict(zip(("sizes", "docs", "data"), (pack(x.tobytes()) for x in packed))))
+    return pa.RecordBatch.from_pylist(rows, schema=_STRETCHES_ARROW)
 
 
 # -- buckets --------------------------------------------------------------------------------
@@ -332,7 +382,7 @@ def _sorted_by_prefix(text: np.ndarray, suffixes: np.ndarray, block: np.ndarray)
     order, group = block, np.zeros(len(block), np.int64)
     for k in range(COVER // 8):
         key = words[suffixes[order] + 8 * k].astype(np.uint64)
-        by = np.argsort(key, kind="stable") if not k else np.lexsort([key, group])
+        by = np.argsort(key) if not k else np.lexsort([key, group])
         order, key, group = order[by], key[by], group[by]
         heads = np.ones(len(order), bool)
         heads[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
@@ -418,8 +468,10 @@ def _same_bytes(text: np.ndarray, left: np.ndarray, right: np.ndarray, length: i
 # -- documents ------------------------------------------------------------------------------
 
 
-def _cut(row: dict, masks: pa.Table, n_buckets: int, length: int) -> pa.RecordBatch:
+def _cut(row: dict, answers: pa.Table, n_buckets: int, length: int) -> pa.RecordBatch:
     chunk = _Chunk(row, n_buckets, length)
+    chunk.keep_repeated(answers)
+    masks = answers.filter(answers.column("masks").is_valid())
     unpack = zstandard.ZstdDecompressor().decompress
     by_bucket = sorted(zip(masks.column("bucket").to_pylist(), masks.column("masks").to_pylist()))
     sent = np.frombuffer(b"".join(unpack(mask) for _, mask in by_bucket), np.uint64)
@@ -447,13 +499,11 @@ def _cut(row: dict, masks: pa.Table, n_buckets: int, length: int) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT_ARROW)], schema=_RESULT_ARROW)
 
 
-def kept_sha256(kept: str = "kept"):
-    return F.sha2(F.col(kept), 256)
-
-
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
 
-_CHUNK_ARROW, _STRETCHES_ARROW, _MASKS_ARROW, _RESULT_ARROW = map(_arrow, (CHUNK, STRETCHES, MASKS, RESULT))
+_CHUNK_ARROW, _ANCHORS_ARROW, _FLAGS_ARROW, _STRETCHES_ARROW, _MASKS_ARROW, _RESULT_ARROW = map(
+    _arrow, (CHUNK, ANCHORS, FLAGS, STRETCHES, MASKS, RESULT)
+)
