@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and parts of words, that a worker remembers at most: some 150 MB.
-TABLE_WORDS = 700_000
+#: Words, and parts of words, that a worker remembers at most: some 100 MB.
+TABLE_WORDS = 500_000
 #: Text that a task encodes at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 class WordEncoder:
