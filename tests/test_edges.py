@@ -185,7 +185,7 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "v double, k string")
     got = statistics.exact_quantiles(df, "v", [0.25, 0.5, 0.9]).collect()[0]
     assert list(got) == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.9])))
-    for row in statistics.exact_quantiles(df, "v", [0.25, 0.75], by="k", bins=8).collect():
+    for row in statistics.exact_quantiles(df, "v", [0.25, 0.75], by="k").collect():
         own = [v for i, v in enumerate(values) if "ab"[i % 2] == row.k]
         assert [row.q0, row.q1] == pytest.approx(list(np.quantile(own, [0.25, 0.75])))
     for few in ([3.0], [1.0, 2.0], [5.0, 5.0, 5.0]):
@@ -194,6 +194,26 @@ def test_exact_quantiles(spark):
         assert list(got) == pytest.approx(list(np.quantile(few, [0.25, 0.75])))
 
 
+def test_quantiles_of_uneven_magnitudes(spark):
+    """Two huge outliers, tiny and negative values, and one value that a third of over a million rows have."""
+    import numpy as np
+
+    rows = spark.range(1_100_000).select(
+        F.when(F.col("id") == 0, 1e300).when(F.col("id") == 1, -1e20).when(F.col("id") % 3 == 0, 0.0)
+        .when(F.col("id") % 7 == 0, -1e-300 * F.col("id")).otherwise(F.sin(F.col("id").cast("double"))).alias("v")
+    )
+    values = np.sort(rows.toPandas().v.to_numpy())
+    got = statistics.exact_quantiles(rows, "v", [0.0, 0.25, 0.4, 0.75, 1.0]).collect()[0]
+    assert list(got) == list(np.quantile(values, [0.0, 0.25, 0.4, 0.75, 1.0]))
+    assert statistics.lower_median(rows, "v").collect()[0].median == values[(len(values) - 1) // 2]
+    assert statistics.lower_median(rows.where("v > 1e301"), "v").collect()[0].median is None
+
+
+def test_short_series_have_all_steps(frame):
+    rows = frame(days([5, 6, 8, 9])).withColumn("x", F.lit(1.0))
+    assert forecast.ar_exog_forecast(rows, ["x"], 7, series=PANEL).count() == 7
+
+
 def test_straight_line_continues_straight(frame):
     rows = forecast.ar_forecast(frame(days(range(10, 40))), series=PANEL).orderBy("step").collect()
     assert [r.forecast for r in rows] == pytest.approx(list(range(40, 47)))
@@ -217,14 +237,13 @@ def test_inputs_explain_the_change(frame):
     assert [r.forecast for r in got] == pytest.approx(list(want), rel=1e-6)
 
 
-def test_all_model_inputs_against_a_direct_solution(spark):
+def test_all_model_inputs_against_a_direct_solution(spark, panel_folder):
     import numpy as np
-    from conftest import PANEL_FOLDER
 
     from tidemark.operators.indicators import MODEL_FEATURES
     from tidemark.sources import read_panel
 
-    panel = read_panel(spark, f"{PANEL_FOLDER}/BA_processed.csv", "csv")
+    panel = read_panel(spark, f"{panel_folder}/BETA_processed.csv", "csv")
     rows = add_indicators(panel, MODEL_FEATURES, series=PANEL).na.fill(0.0)
     got = forecast.ar_exog_forecast(rows, MODEL_FEATURES, 7, series=PANEL).orderBy("step").toPandas().forecast
     table = rows.toPandas().sort_values("Date").reset_index(drop=True)

@@ -1,43 +1,17 @@
-"""Values known for the sample price files."""
-
-import datetime
+"""All indicators, correlations and distributions of invented files, against pandas."""
 
+import numpy as np
+import pandas as pd
 import pytest
-from conftest import PANEL_FOLDER, PRICE_FOLDER
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import densify
 from tidemark.operators.cumulative import cumreturn
-from tidemark.operators.indicators import add_indicators
-from tidemark.operators.statistics import correlation_matrix, histogram_bounds, kde
+from tidemark.operators.indicators import INDICATORS, add_indicators
+from tidemark.operators.statistics import correlation_matrix, histogram, histogram_bounds, kde
 from tidemark.series import PANEL
 from tidemark.sources import read_panel, read_prices
 
-DAY = datetime.date(2020, 12, 31)
-
-# Indicators of the sample panels on their last day.
-LAST_DAY = {
-    "AAPL": {
-        "Sentiment_7D_Rolling": 0.141416666667, "Sentiment_14D_Rolling": 0.115307738095,
-        "Sentiment_7D_Lagged": 0.089198809524, "Sentiment_14D_Lagged": 0.014909880952, "SMA_20": 129.394501113892,
-        "SMA_50": 123.484200134277, "EMA_20": 129.908177921619, "RSI": 61.139051023686, "MACD": 3.213892159972,
-        "Signal_Line": 3.072855821105, "BB_upper": 137.761846925685, "BB_lower": 121.027155302098,
-        "ATR": 0.285000392369, "OBV": 1378259000, "Stochastic_K": 60.119636223122, "Daily_Return": -0.007702653080,
-        "Volatility": 0.261325434445, "Volume_MA": 110985170, "Volume_Ratio": 0.893061658598,
-        "Cumulative": 0.807457928822,
-    },
-    "BA": {
-        "SMA_20": 220.729498291016, "EMA_20": 218.951315446530, "RSI": 14.665381086045, "MACD": -0.745067509383,
-        "Signal_Line": 0.717178876075, "BB_upper": 231.129748353562, "ATR": -0.512857709612, "OBV": 51757500,
-        "Stochastic_K": 0.0, "Volatility": 0.106522774250, "Volume_Ratio": 0.752055359352,
-        "Cumulative": -0.342890498706,
-    },
-    "TSLA": {
-        "SMA_50": 195.594599304199, "EMA_20": 218.549673340317, "RSI": 65.642086290569, "MACD": 8.733260501212,
-        "Signal_Line": 9.071877294408, "ATR": 1.184999738421, "OBV": 10856560200, "Stochastic_K": 100.0,
-        "Volatility": 0.449240405345, "Cumulative": 7.434369946079,
-    },
-}
 # 0-based row of the first defined value.
 FIRST_ROW = {
     "Sentiment_7D_Rolling": 6, "Sentiment_14D_Rolling": 13, "Sentiment_7D_Lagged": 13, "Sentiment_14D_Lagged": 27,
@@ -46,27 +20,41 @@ FIRST_ROW = {
 }
 
 
+def expected(rows: pd.DataFrame) -> pd.DataFrame:
+    close, volume, said = rows.Close, rows.Volume, rows.sentiment
+    change, ema = close.diff(), lambda span: close.ewm(span=span, adjust=False).mean()
+    gain, loss = (change.clip(lower=0).fillna(0).rolling(14).mean(), (-change).clip(lower=0).fillna(0).rolling(14).mean())
+    middle, spread = close.rolling(20).mean(), close.rolling(20).std()
+    low, high = close.rolling(14).min(), close.rolling(14).max()
+    macd, returns = ema(12) - ema(26), close.pct_change()
+    out = {
+        "SMA_20": middle, "SMA_50": close.rolling(50).mean(), "EMA_20": ema(20), "BB_middle": middle,
+        "BB_upper": middle + 2 * spread, "BB_lower": middle - 2 * spread, "RSI": 100 * gain / (gain + loss),
+        "MACD": macd, "Signal_Line": macd.ewm(span=9, adjust=False).mean(), "ATR": change.rolling(14).mean(),
+        "OBV": (np.sign(change).fillna(0) * volume).cumsum(), "Stochastic_K": 100 * (close - low) / (high - low),
+        "Daily_Return": returns, "Volatility": returns.rolling(20).std() * np.sqrt(252),
+        "Volume_MA": volume.rolling(20).mean(), "Volume_Ratio": volume / volume.rolling(20).mean(),
+        "Sentiment_7D_Rolling": said.rolling(7).mean(), "Sentiment_14D_Rolling": said.rolling(14).mean(),
+        "Sentiment_7D_Lagged": said.rolling(7).mean().shift(7), "Sentiment_14D_Lagged": said.rolling(14).mean().shift(14),
+        "Cumulative": (1 + returns).cumprod() - 1,
+    }
+    return pd.DataFrame(out).reset_index(drop=True)
+
+
 @pytest.fixture(scope="module")
-def sample(spark):
-    panel = read_panel(spark, PANEL_FOLDER, "csv")
+def sample(spark, panel_folder):
+    panel = read_panel(spark, panel_folder, "csv")
     rows = cumreturn(add_indicators(panel, series=PANEL), {"Cumulative": "Daily_Return"}, PANEL)
     return rows.toPandas().sort_values(["Ticker", "Date"]).reset_index(drop=True)
 
 
-def test_dense_prices_equal_the_processed_files(spark):
-    keys = ["TSLA", "AAPL", "BA", "DIS", "AMZN"]
-    dense = densify(read_prices(spark, PRICE_FOLDER, keys))
-    known = read_panel(spark, [f"{PANEL_FOLDER}/{k}_processed.csv" for k in ("AAPL", "AMZN", "BA")], "csv")
-    known = known.select("Date", "Ticker", F.col("Close").alias("c"), F.col("Volume").alias("v"))
-    both = dense.join(known, ["Date", "Ticker"], "full").where("Close = c and Volume = v")
-    assert dense.count() == both.count() == 3 * 367
-
-
-@pytest.mark.parametrize("key", LAST_DAY)
-def test_last_day(sample, key):
-    row = sample[(sample.Ticker == key) & (sample.Date == DAY)].iloc[0]
-    for name, value in LAST_DAY[key].items():
-        assert row[name] == pytest.approx(value, rel=1e-6, abs=1e-9), name
+def test_every_indicator(sample, panel_frame):
+    assert set(INDICATORS) <= set(expected(panel_frame).columns)
+    for key, rows in panel_frame.groupby("Ticker"):
+        got = sample[sample.Ticker == key].reset_index(drop=True)
+        assert [str(d) for d in got.Date] == list(rows.Date.dt.strftime("%Y-%m-%d"))
+        for name, want in expected(rows.reset_index(drop=True)).items():
+            np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-7, atol=1e-9 * max(1, want.abs().max()), err_msg=f"{key} {name}")
 
 
 def test_first_defined_row(sample):
@@ -76,34 +64,49 @@ def test_first_defined_row(sample):
             assert rows[name].first_valid_index() == first, name
 
 
-def test_row_positions_by_rank_give_the_same(spark, sample):
-    panel = read_panel(spark, PANEL_FOLDER, "csv")
-    ranked = add_indicators(panel).toPandas().sort_values(["Ticker", "Date"]).reset_index(drop=True)
-    for name in ranked.columns[2:]:
-        assert (ranked[name] - sample[name]).abs().max() < 1e-6 * max(1, sample[name].abs().max())
+def test_dense_prices_equal_the_kept_panel(spark, price_folder, panel_folder):
+    dense = densify(read_prices(spark, price_folder, ["ALFA", "BETA"]))
+    known = read_panel(spark, [f"{panel_folder}/{k}_processed.csv" for k in ("ALFA", "BETA")], "csv")
+    known = known.select("Date", "Ticker", F.col("Close").alias("c"), F.col("Volume").alias("v"))
+    both = dense.join(known, ["Date", "Ticker"], "full").where("Close = c and Volume = v")
+    assert dense.count() == both.count() == 2 * 367
 
 
-def test_correlation(spark):
-    panel = read_panel(spark, PANEL_FOLDER, "csv")
-    rows = add_indicators(panel, ["SMA_20", "SMA_50"], series=PANEL)
-    cells = correlation_matrix(rows, ["Close", "Volume", "SMA_20", "SMA_50", "sentiment"], by="Ticker").collect()
-    r = {(c.Ticker, c.a, c.b): c.r for c in cells}
-    assert r["AAPL", "Close", "Volume"] == pytest.approx(-0.262529, abs=1e-6)
-    assert r["BA", "SMA_20", "SMA_50"] == pytest.approx(0.838445, abs=1e-6)
-    assert r["TSLA", "sentiment", "Volume"] == pytest.approx(0.066129, abs=1e-6)
-    assert r["TSLA", "Close", "Close"] == pytest.approx(1.0)
+def test_row_positions_by_rank_give_the_same(spark, sample, panel_folder):
+    ranked = add_indicators(read_panel(spark, panel_folder, "csv")).toPandas().sort_values(["Ticker", "Date"]).reset_index(drop=True)
+    for name in ranked.columns[2:]:
+        assert (ranked[name] - sample[name]).abs().max() < 1e-6 * max(1, sample[name].abs().max())
 
 
-def test_distribution(spark):
-    panel = read_panel(spark, PANEL_FOLDER, "csv").where("Ticker in ('AAPL', 'BA', 'TSLA')")
-    rows = add_indicators(panel, ["Daily_Return"], series=PANEL)
-    assert {b.Ticker: b.bins for b in histogram_bounds(rows, "Daily_Return", by="Ticker").collect()} == {
-        "AAPL": 39, "BA": 39, "TSLA": 39,
-    }
-    one = rows.where("Ticker = 'AAPL'")
-    assert histogram_bounds(one, "Daily_Return").collect()[0].bins == 39
-    density = kde(one, "Daily_Return", 100).toPandas().sort_values("point")
-    step = density.x.diff().mean()
-    assert density.density.sum() * step == pytest.approx(1.0, abs=0.01)
-    bandwidth = (density.x.max() - one.agg(F.max("Daily_Return")).collect()[0][0]) / 3
-    assert bandwidth == pytest.approx(0.007510815189, rel=1e-6)
+def test_correlation(spark, panel_folder, panel_frame):
+    rows = add_indicators(read_panel(spark, panel_folder, "csv"), ["SMA_20", "SMA_50"], series=PANEL)
+    names = ["Close", "Volume", "SMA_20", "SMA_50", "sentiment"]
+    cells = {(c.Ticker, c.a, c.b): c.r for c in correlation_matrix(rows, names, by="Ticker").collect()}
+    for key, own in panel_frame.groupby("Ticker"):
+        own = own.reset_index(drop=True)
+        want = own.assign(**expected(own)[["SMA_20", "SMA_50"]])[names].corr()
+        for a in names:
+            for b in names:
+                assert cells[key, a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_distribution(spark, panel_folder, sample):
+    rows = add_indicators(read_panel(spark, panel_folder, "csv"), ["Daily_Return"], series=PANEL)
+    bounds = {b.Ticker: b for b in histogram_bounds(rows, "Daily_Return", by="Ticker").collect()}
+    counts = histogram(rows, "Daily_Return", by="Ticker").toPandas()
+    curves = kde(rows, "Daily_Return", 100, by="Ticker", cut=0.0, bins=40).toPandas()
+    for key, own in sample.groupby("Ticker"):
+        values = own.Daily_Return.dropna().to_numpy(float)
+        n, width = len(values), np.ptp(values)
+        quartiles = np.subtract(*np.percentile(values, [75, 25]))
+        floor = max(2 * quartiles / n ** (1 / 3), width / (2 * np.sqrt(n)))
+        assert bounds[key].bins == np.ceil(width / min(width / (np.log2(n) + 1), floor)) if quartiles > 0 else True
+        want, _ = np.histogram(values, bounds[key].bins)
+        assert list(counts[counts.Ticker == key].sort_values("bin")["count"]) == list(want)
+        curve = curves[curves.Ticker == key].sort_values("point")
+        h = values.std(ddof=1) * n**-0.2
+        grid = np.linspace(values.min(), values.max(), 100)
+        density = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
+        np.testing.assert_allclose(curve.x, grid, atol=1e-12)
+        np.testing.assert_allclose(curve.density, density, rtol=1e-9)
+        np.testing.assert_allclose(curve.count_scaled, density * n * width / 40, rtol=1e-9)

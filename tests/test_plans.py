@@ -3,10 +3,11 @@
 import re
 
 import pytest
-from conftest import PANEL_FOLDER, SMALL
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import attach_per_key
+from tidemark.operators.cumulative import cumreturn, cumsum, ffill
 from tidemark.operators.indicators import INDICATORS, PRICE_INDICATORS, add_indicators
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market
@@ -24,8 +25,8 @@ def exchanges(plan: str) -> int:
 
 
 @pytest.fixture(scope="module")
-def panel(spark):
-    return read_panel(spark, PANEL_FOLDER, "csv")
+def panel(spark, panel_folder):
+    return read_panel(spark, panel_folder, "csv")
 
 
 def test_one_shuffle_for_all_windowed_indicators(panel):
@@ -67,8 +68,8 @@ def test_scan_reads_only_needed_columns(spark):
 def test_key_filter_reaches_the_scan_below_windows(panel, spark, tmp_path):
     path = str(tmp_path / "p")
     panel.write.parquet(path)
-    rows = add_indicators(read_panel(spark, path), ["RSI"], series=PANEL).where("Ticker = 'BA'")
-    assert "EqualTo(Ticker,BA)" in plan_of(rows)
+    rows = add_indicators(read_panel(spark, path), ["RSI"], series=PANEL).where("Ticker = 'BETA'")
+    assert "EqualTo(Ticker,BETA)" in plan_of(rows)
 
 
 def test_texts_are_cleaned_once_and_shuffled_as_scores(spark):
@@ -86,3 +87,19 @@ def test_large_key_is_joined_in_many_places(spark):
     joined = attach_per_key(rows, per_key, SERIES)
     assert joined.where("v = 1").count() == 10_000
     assert "_salt" in plan_of(joined)
+
+
+@pytest.mark.parametrize("name", ["cumsum", "obv", "ffill", "cumreturn"])
+def test_running_values_leave_other_columns_alone(spark, tmp_path, panel, name):
+    """An unrelated wide column is in no scan and no exchange."""
+    path = str(tmp_path / "rows")
+    panel.withColumns({"unrelated": F.repeat("Ticker", 500), "Return": F.lit(0.01)}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    made = {
+        "cumsum": lambda: cumsum(rows, "Volume", "out", PANEL),
+        "obv": lambda: add_indicators(rows, ["OBV"], series=PANEL).withColumnRenamed("OBV", "out"),
+        "ffill": lambda: ffill(rows, ["Close"], PANEL).withColumnRenamed("Close", "out"),
+        "cumreturn": lambda: cumreturn(rows, {"out": "Return"}, PANEL),
+    }[name]().select("Date", "Ticker", "out")
+    assert made.count() == panel.count()
+    assert "unrelated" not in plan_of(made)

@@ -4,7 +4,6 @@ import datetime as dt
 import re
 
 import pytest
-from conftest import PANEL_FOLDER, PRICE_FOLDER
 from pyspark.sql import functions as F
 
 from tidemark.series import PANEL
@@ -13,38 +12,37 @@ from tidemark.operators.indicators import add_indicators
 from tidemark.sources import read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
 
 
-def test_all_price_files_in_one_scan(spark):
-    rows = read_prices(spark, PRICE_FOLDER)
-    assert rows.select("Ticker").distinct().count() == 34
+def test_all_price_files_in_one_scan(spark, price_folder, price_files):
+    rows = read_prices(spark, price_folder)
     assert rows.dtypes == [("Date", "date"), ("Ticker", "string"), ("Close", "double"), ("Volume", "bigint")]
-    index = rows.where("Ticker = '^GSPC'").agg(F.count("*"), F.max("Volume")).collect()[0]
-    assert tuple(index) == (254, 9_053_950_000)
+    got = {r.Ticker: (r.n, r.v) for r in rows.groupBy("Ticker").agg(F.count("*").alias("n"), F.max("Volume").alias("v")).collect()}
+    assert got == {key: (len(frame), frame.Volume.max()) for key, frame in price_files.items()}
 
 
-def test_missing_files_are_passed_over(spark):
-    rows = read_prices(spark, PRICE_FOLDER, ["TSLA", "AAPL", "ABNB", "^GSPC"])
+def test_missing_files_are_passed_over(spark, price_folder, price_files):
+    rows = read_prices(spark, price_folder, ["ALFA", "NONE", "LATE", "^IDX"])
     counts = {r.Ticker: r["count"] for r in rows.groupBy("Ticker").count().collect()}
-    assert counts == {"AAPL": 254, "ABNB": 15, "^GSPC": 254}
+    assert counts == {key: len(price_files[key]) for key in ("ALFA", "LATE", "^IDX")}
     with pytest.raises(ValueError):
-        read_prices(spark, PRICE_FOLDER, ["TSLA", "DIS"])
+        read_prices(spark, price_folder, ["NONE", "alfa"])
     with pytest.raises(ValueError):
         read_prices(spark, "/nowhere/at/all")
 
 
-def test_all_price_columns(spark):
-    rows = read_prices(spark, PRICE_FOLDER, ["AAPL"], all_columns=True)
+def test_all_price_columns(spark, price_folder):
+    rows = read_prices(spark, price_folder, ["ALFA"], all_columns=True)
     assert {"Open", "High", "Low", "Adj Close", "Ticker"} <= set(rows.columns)
     assert rows.where("High < Low").count() == 0
 
 
-def test_late_key_and_union(spark):
-    parts = [read_prices(spark, PRICE_FOLDER, [k]) for k in ("AAPL", "ABNB")]
-    parts[1] = parts[1].withColumn("Volume", F.col("Volume").cast("int"))
+def test_late_key_and_union(spark, price_folder):
+    parts = [read_prices(spark, price_folder, [k]) for k in ("ALFA", "LATE")]
+    parts[1] = parts[1].withColumn("Volume", (F.col("Volume") % 1000).cast("int"))
     rows = union_prices(parts)
     assert dict(rows.dtypes)["Volume"] == "bigint"
     dense = densify(rows)
     assert dense.count() == 2 * 367
-    assert dense.where("Ticker = 'ABNB' and Close is null").count() == (dt.date(2020, 12, 10) - dt.date(2019, 12, 31)).days
+    assert dense.where("Ticker = 'LATE' and Close is null").count() == (dt.date(2020, 12, 10) - dt.date(2019, 12, 31)).days
     with pytest.raises(ValueError):
         union_prices([])
 
@@ -61,17 +59,17 @@ def test_tweets(spark, tmp_path):
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
-def test_panel_round_trip(spark, tmp_path, fmt):
+def test_panel_round_trip(spark, tmp_path, fmt, panel_folder):
     path = str(tmp_path / fmt)
-    rows = read_panel(spark, PANEL_FOLDER, "csv")
+    rows = read_panel(spark, panel_folder, "csv")
     write_panel(rows, path, fmt)
     write_panel(rows, path, fmt)
     again = read_panel(spark, path, fmt)
     assert sorted(map(tuple, again.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
-    one = read_panel(spark, path, fmt, keys=["BA"])
+    one = read_panel(spark, path, fmt, keys=["BETA"])
     assert one.count() == 367
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*\(Ticker#\d+ = BA\)", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*\(Ticker#\d+ = BETA\)", plan)
 
 
 def test_names_are_standardised(spark):
@@ -80,11 +78,21 @@ def test_names_are_standardised(spark):
     assert standardize(df.select("volume")).columns == ["Volume"]
 
 
-def test_warmup_and_horizon(spark):
-    panel = read_panel(spark, PANEL_FOLDER, "csv")
+def test_warmup_and_horizon(spark, panel_folder):
+    panel = read_panel(spark, panel_folder, "csv")
     recent = add_indicators(with_warmup(panel, "2020-12-01", 19), ["SMA_20"], series=PANEL).where("Date >= '2020-12-01'")
     whole = add_indicators(panel, ["SMA_20"], series=PANEL).where("Date >= '2020-12-01'")
-    assert recent.count() == 5 * 31
+    assert recent.count() == 3 * 31
     assert recent.exceptAll(whole).count() == 0
-    days = horizon(panel, 7).where("Ticker = 'BA'").orderBy("step").collect()
+    days = horizon(panel, 7).where("Ticker = 'BETA'").orderBy("step").collect()
     assert [d.Date for d in days] == [dt.date(2021, 1, i) for i in range(1, 8)]
+
+
+def test_rows_of_a_file_are_in_date_order(spark, tmp_path, panel_folder):
+    path = tmp_path / "ordered"
+    write_panel(read_panel(spark, panel_folder, "csv").orderBy("Close"), str(path), "csv")
+    files = list(path.glob("Ticker=*/*.csv"))
+    assert len(files) >= 3
+    for file in files:
+        days = [line.split(",")[0] for line in file.read_text().splitlines()[1:]]
+        assert days == sorted(days) and len(days) > 1

@@ -75,7 +75,7 @@ def with_neighbours(source: DataFrame, others: list[str]) -> DataFrame:
     zipped = F.arrays_zip(F.col("_words").alias("token"), *shifted)
     return (
         source.withColumns({"_but": F.array_position("_words", "but"), "_zipped": zipped})
-        .select(*others, "_but", F.posexplode("_zipped").alias("_at", "_word"))
+        .select(*others, "_but", F.posexplode_outer("_zipped").alias("_at", "_word"))
         .select(*others, "_but", "_at", "_word.*")
     )
 
@@ -121,12 +121,12 @@ def lexicon_score(
     if negation:
         spread = with_neighbours(source, [row, *keep])
     else:
-        spread = source.select(row, *keep, F.explode("_words").alias("token"))
-    # Words that aren't listed go before any shuffle could bring the frequent ones together; texts
+        spread = source.select(row, *keep, F.explode_outer("_words").alias("token"))
+    # A list of words is never empty; the outer explode keeps the planner from splitting every text
+    # a second time to test for that. Words that aren't listed go before any shuffle could bring the frequent ones together; texts
     # without listed words come back by their id.
     hits = spread.join(lexicon.select("token", "valence"), "token")
     value = modified(F.col("valence"), modifiers) if negation else F.col("valence")
-    totals = hits.groupBy(row, *keep).agg(F.sum(value).alias("_total"))
-    none = source.select(row, *keep, F.lit(0.0).alias("_total"))
-    scored = totals.union(none).groupBy(row, *keep).agg(compound(F.sum("_total")).alias(out))
+    none = source.select(row, *keep, F.lit(0.0).alias("_value"))
+    scored = hits.select(row, *keep, value.alias("_value")).union(none).groupBy(row, *keep).agg(compound(F.sum("_value")).alias(out))
     return scored if id else scored.drop(row)
