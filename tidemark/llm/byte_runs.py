@@ -33,7 +33,7 @@ from tidemark.llm.arrays import plain_bytes, text_slices
 from tidemark.session import written
 
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 4 << 20  # of the whole text; what repeats of it is less
+BUCKET_BYTES = 2 << 20  # of the whole text; what repeats of it is less
 SLAB = 1 << 20
 BLOCK = 1 << 18
 ANCHOR = 20
@@ -328,18 +328,21 @@ def _masks_of_bucket(table: pa.Table, length: int) -> pa.Table:
     windows = np.diff(ends) - length + 1
     smallest = _smallest_documents(text, ends, windows, first_doc, length)
 
-    begins = np.concatenate([[0], np.cumsum(windows)])[:-1][code]
-    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    covered = smallest[np.repeat(begins, count) + place] < np.repeat(doc, count)
-    bits = np.where(covered, np.uint64(1) << place.astype(np.uint64), np.uint64(0))
-    heads = np.cumsum(count) - count
-    masks = np.bitwise_or.reduceat(bits, heads)
-    pack = zstandard.ZstdCompressor(level=1).compress
+    begins = (np.cumsum(windows) - windows)[code]
     cuts = np.concatenate([[0], np.cumsum(lens)])
-    packed = [pack(masks[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    packed = [_masks(count[a:b], doc[a:b], begins[a:b], smallest) for a, b in zip(cuts, cuts[1:])]
     return pa.table([table.column("chunk"), table.column("bucket"), pa.array(packed, pa.binary())], schema=_MASKS_ARROW)
 
 
+def _masks(count: np.ndarray, doc: np.ndarray, begins: np.ndarray, smallest: np.ndarray) -> bytes:
+    """A chunk's stretches as bits: is the suffix in a document before the stretch's own?"""
+    heads = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(heads, count)
+    covered = smallest[np.repeat(begins, count) + place] < np.repeat(doc, count)
+    masks = np.bitwise_or.reduceat(covered.astype(np.uint64) << place.astype(np.uint64), heads)
+    return zstandard.ZstdCompressor(level=1).compress(masks.tobytes())
+
+
 def _smallest_documents(text: np.ndarray, ends: np.ndarray, windows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """For each suffix (``windows`` of them in each stretch): the smallest document of those with the same first bytes."""
     text = np.concatenate([text, np.zeros(length + 16, np.uint8)])
