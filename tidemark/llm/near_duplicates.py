@@ -106,8 +106,8 @@ def pairs_across(docs: DataFrame, percent: int) -> DataFrame:
     All shingles are put in one order: those of one part only, then others by how many documents
     have them. A document whose set has n shingles shares ``percent`` percent of them with any
     it is linked with, so the first they share is among the first n - percent * n / 100 + 1 of both. Those
-    alone are joined. A copy with many changes begins with shingles that only it has, and so meets nobody,
-    however many copies there are of what it was made from.
+    alone are joined, and only where enough of both sets follows. A copy with many changes begins with
+    shingles that only it has, and so meets nobody, however many copies there are of what it was made from.
     """
     hashes = F.arrow_udf(_shingle_lists, "array<bigint>")(F.col("text"))
     sets = written(docs.select("id", "part", "n_shingles", hashes.alias("s")), "shingles")
@@ -119,10 +119,14 @@ def pairs_across(docs: DataFrame, percent: int) -> DataFrame:
         "id", "part", "n_shingles", "s", F.count(F.lit(1)).over(of_doc).alias("n"), F.row_number().over(of_doc.orderBy("df", "s")).alias("place")
     )
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    prefix = written(places.where(F.col("place") + F.col("n_shingles") - F.col("n") <= first).select("s", "id", "part", "n_shingles"), "prefixes")
+    places = places.withColumn("place", F.col("place") + F.col("n_shingles") - F.col("n"))
+    prefix = written(places.where(F.col("place") <= first).select("s", "id", "part", "n_shingles", "place"), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     alike = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & alike
+    # Where the first shared shingle stands, what follows it must still be enough for a link.
+    left = F.least(F.col("x.n_shingles") - F.col("x.place"), F.col("y.n_shingles") - F.col("y.place")) + 1
+    enough = left * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & alike & enough
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
