@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import plain_bytes, text_slices, without
+from tidemark.llm.arrays import plain_bytes, release_memory, text_slices, without
 
 #: Bytes to normalised bytes. Those of non-ASCII characters stay.
 NORMALISE = bytes(
@@ -74,6 +74,8 @@ def find_benchmark(
             for texts in batches:
                 parts = [_scan(part, automaton) for part in text_slices(texts)]
                 yield pa.concat_arrays(parts) if parts else pa.array([], HITS_ARROW)
+            del automaton
+            release_memory()
 
         return scan
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from tidemark.llm.arrays import text_slices, without
+from tidemark.llm.arrays import release_memory, text_slices, without
 from tidemark.session import written
 
 REMOVED = "struct<text: string, n_lines: bigint, n_removed: bigint, n_runs: bigint>"
@@ -114,6 +114,7 @@ def line_rows(docs: DataFrame, least_words: int) -> DataFrame:
                     columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (ahead, behind)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 done += len(part)
+        release_memory()
 
     declared = f"_doc {kind.simpleString()}, _tag bigint, line int, name binary, ahead int, behind int"
     return docs.select(*KEY, "text").mapInArrow(split, declared)

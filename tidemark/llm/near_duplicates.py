@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from tidemark.llm.arrays import text_slices, without
+from tidemark.llm.arrays import release_memory, text_slices, without
 from tidemark.llm.components import components
 from tidemark.session import written
 
@@ -190,6 +190,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             for part in text_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *_signed(part)], schema=schema)
                 done += len(part)
+        release_memory()
 
     return texts.mapInArrow(sign, f"id {kind.simpleString()}, n_shingles bigint, words binary, bands array<bigint>, sketch binary")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import text_slices, without
+from tidemark.llm.arrays import release_memory, text_slices, without
 from tidemark.llm.tokens import SLICE_BYTES, worker_encoder
 
 #: Tokens of a group at most, on average: a bound on what one task packs at once.
@@ -101,6 +101,8 @@ def token_pieces(
             for part in text_slices(batch.column(1), SLICE_BYTES):
                 yield _pieces(batch.column(0).slice(done, len(part)), id, *encoder.encode(part), end_id, window, with_ids * id_bytes)
                 done += len(part)
+        encoder.clear()
+        release_memory()
 
     return docs.select(F.col(id), F.col(text)).mapInArrow(cut, schema)
 

@@ -19,8 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import plain_bytes, text_slices, without
+from tidemark.llm.arrays import plain_bytes, release_memory, text_slices, without
 
+#: Text judged at once: counting windows takes some 40 bytes a word.
+SLICE_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
@@ -79,8 +81,9 @@ def score_quality(
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         whole = zstandard.ZstdCompressor(level=bands.level)
         for texts in batches:
-            parts = [_score(part, bands, whole, least_words, repeat_percent) for part in text_slices(texts)]
+            parts = [_score(part, bands, whole, least_words, repeat_percent) for part in text_slices(texts, SLICE_BYTES)]
             yield pa.concat_arrays(parts) if parts else pa.array([], RESULT_ARROW)
+        release_memory()
 
     kept = without(df, "_quality", *RESULT_NAMES)
     return kept.withColumn("_quality", scored(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], "_quality.*")

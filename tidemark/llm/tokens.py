@@ -2,8 +2,8 @@
 
 Encoding is by far the dearest step, and words recur. A tokenizer that drops white space and splits
 at it gives the same ids word by word, so each task encodes only words it hasn't met, in one batch
-per slice of texts, and looks the others up. The table of words lives as long as the Python worker
-and is emptied when it is full, so its memory is bounded.
+per slice of texts, and looks the others up. The table of words is emptied when it is full and when the
+task ends, so its memory is bounded; the tokenizer itself stays with the Python worker.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and parts of words, that a worker remembers at most: some 100 MB.
+#: Words, and parts of words, that a task remembers at most: some 100 MB.
 TABLE_WORDS = 500_000
 #: Text that a task encodes at once.
 SLICE_BYTES = 3 << 20
@@ -42,9 +42,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.words: dict[str, int] = {"": 0}  # place of the first part, times SECOND, plus place of the second
         self.parts: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -65,7 +65,7 @@ class WordEncoder:
 
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.words) + self.n_parts + 2 * len(words) > TABLE_WORDS:
-            self._clear()
+            self.clear()
         known = self.words
         places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(places < 0).tolist()
