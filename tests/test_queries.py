@@ -15,7 +15,7 @@ spec.loader.exec_module(entry_module)
 # Operators for training data have tests of their own.
 QUERIES = {name: q for name, q in entry_module.queries().items() if not name.startswith(("op", "pipeline"))}
 SQL = {name: sql for name, sql in entry_module.oracle_sql().items() if name in QUERIES}
-WITHOUT_SQL = {"ar_exog_forecast", "lookback_linear_forecast"}
+WITHOUT_SQL = {"lookback_linear_forecast"}
 
 
 @pytest.fixture(scope="module")

