@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrays import small_batches
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.line_runs import remove_repeated_lines
 from tidemark.llm.near_duplicates import without_near_duplicates
@@ -20,6 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and the compression bands."""
+    small_batches(spark)
     return score_quality(docs).where("kept").select(*docs.columns)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an operator works on at once in a task; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -42,6 +42,11 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(plain_bytes(texts)), np.uint8), starts
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers 8 MB at a time. By default a batch may take 64 MB, on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker goes on to other tasks, beside an executor's heap."""
     gc.collect()

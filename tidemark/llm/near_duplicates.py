@@ -131,7 +131,9 @@ def pairs_across(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingle_lists(texts: pa.Array) -> pa.Array:
-    return pa.array([shingle_set(text).view(np.int64) for text in texts.to_pylist()], pa.list_(pa.int64()))
+    sets = pa.array([shingle_set(text.as_py()).view(np.int64) for text in texts], pa.list_(pa.int64()))
+    release_memory()
+    return sets
 
 
 def confirmed(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -146,8 +148,11 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
     both = likely.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        of = lru_cache(8)(lambda text: shingle_set(text))
-        return pa.array([_similar(of(x.as_py()), of(y.as_py()), percent) for x, y in zip(left, right)], pa.bool_())
+        of = lru_cache(8)(shingle_set)
+        found = [_similar(of(x.as_py()), of(y.as_py()), percent) for x, y in zip(left, right)]
+        of.cache_clear()
+        release_memory()
+        return pa.array(found, pa.bool_())
 
     return both.where(F.arrow_udf(similar, "boolean")("text_a", "text_b")).select("a", "b").distinct()
 

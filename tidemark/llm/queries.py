@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import private
+from tidemark.llm.arrays import small_batches
 from tidemark.llm.byte_runs import remove_repeated_bytes
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
@@ -31,6 +32,7 @@ def query(build: Query) -> Query:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
