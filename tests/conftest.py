@@ -10,8 +10,6 @@ sys.path.insert(0, str(ROOT))
 
 from tidemark.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import attach_per_key

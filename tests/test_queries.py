@@ -5,7 +5,7 @@ import pathlib
 
 import pytest
 from compare import connect, differences
-from conftest import SMALL
+from paths import SMALL
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 spec = importlib.util.spec_from_file_location("spark_entry", ROOT / "__spark_entry__.py")
