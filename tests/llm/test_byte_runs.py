@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 
 from tidemark.llm import byte_runs
 from tidemark.llm.byte_runs import remove_repeated_bytes

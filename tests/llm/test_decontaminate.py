@@ -5,7 +5,7 @@ import re
 
 import pytest
 from against_sql import differences_to_sql
-from conftest import DATA
+from llm_paths import DATA
 
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.queries import QUERIES, SQL

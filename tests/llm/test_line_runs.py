@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 
 from tidemark.llm.line_runs import remove_repeated_lines
 from tidemark.llm.queries import QUERIES

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from against_sql import differences_to_sql
-from conftest import DATA
+from llm_paths import DATA
 
 from tidemark.llm import near_duplicates as nd
 from tidemark.llm.components import components

@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from conftest import DATA
+from llm_paths import DATA
 from test_packing import ids_of
 
 from tidemark.llm.packed_files import packed_sequences, read_packed, write_packed

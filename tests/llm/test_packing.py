@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

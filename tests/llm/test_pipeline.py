@@ -5,7 +5,7 @@ import pathlib
 
 import corpus_pipeline
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 from test_decontaminate import brute as hits
 from test_line_runs import brute_by_words
 from test_near_duplicates import brute as near

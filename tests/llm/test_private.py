@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import zstandard
-from conftest import DATA
+from llm_paths import DATA
 
 from tidemark.llm.quality import CompressionBands, score_quality
 from tidemark.llm.queries import QUERIES

@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import QUERIES

@@ -6,7 +6,7 @@ import hashlib
 
 import pytest
 from against_sql import differences_to_sql
-from conftest import DATA
+from llm_paths import DATA
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import QUERIES, SQL
