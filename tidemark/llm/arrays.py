@@ -60,3 +60,48 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under these names (case ignored)."""
     taken = {name.lower() for name in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+class Words:
+    """The words of an array of texts: what lies between blanks and cuts.
+
+    ``table`` maps each byte to itself, to a blank (32) or to a cut (10). ``words`` is an array of
+    binary values, ``starts`` has the first word of each text (with the end of the last), and ``cut`` tells of each word
+    whether a cut or the beginning of its text lies before it.
+    """
+
+    def __init__(self, texts: pa.Array, table: bytes):
+        raw = plain_bytes(texts)
+        data = np.frombuffer(b"\n".join([*raw, b""]).translate(table), np.uint8)
+        solid = (data != 32) & (data != 10)
+        edges = np.diff(solid.view(np.int8), prepend=0)  # every text ends with a cut
+        begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        offsets = np.zeros(len(begins) + 1, np.int32)
+        np.cumsum(ends - begins, out=offsets[1:])
+        self.words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+        texts_at = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        self.starts = np.searchsorted(begins, texts_at)
+        cuts = np.cumsum(data == 10, dtype=np.int32)[begins]
+        self.cut = np.diff(cuts, prepend=-1) > 0
+
+    def ids(self) -> np.ndarray:
+        """A number for each word, equal for equal words of this array."""
+        return self.words.dictionary_encode().indices.to_numpy()
+
+
+def byte_table(blanks: bytes, cuts: bytes = b"", lower: bool = False) -> bytes:
+    """The table of ``Words``; ``lower`` also maps A-Z to a-z."""
+    table = bytearray(range(256))
+    if lower:
+        table[65:91] = bytes(range(97, 123))
+    for byte in blanks:
+        table[byte] = 32
+    for byte in cuts:
+        table[byte] = 10
+    return bytes(table)
+
+
+def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the stretches of so many from each beginning, one behind the other."""
+    stops = np.cumsum(sizes)
+    return np.repeat(begins - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)

@@ -16,6 +16,7 @@ from tidemark.llm.line_runs import remove_repeated_lines
 from tidemark.llm.near_duplicates import link_near_duplicates
 from tidemark.llm.packed_files import read_packed, write_packed
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.periodic_runs import find_periodic_runs
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sharding import shard_by_bytes, text_crc32
 from tidemark.llm.warc import checked_payloads, read_archives, write_archives
@@ -217,3 +218,41 @@ def op2_suffix_array_repeats(spark, folder):
     """Bytes of each document that repeat 50-byte strings of earlier ones, removed."""
     cut = remove_repeated_bytes(documents(spark, folder))
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a digest of its identifier, with the words behind a drawn place repeated from there."""
+    drawn = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(drawn / 10).cast("bigint")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    n = F.size("_words").cast("bigint")
+    begin, period = F.try_mod(F.col("_g"), n).cast("int"), F.lit(1) + F.floor((n - F.col("_begin")) / (3 + F.col("_g") % 8)).cast("int")
+    rest = n.cast("int") - F.col("_begin")
+    times = F.ceil(rest / F.col("_period")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_begin") + 1, F.col("_period")), times)), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_begin")), tail), " ")
+    chosen = docs.withColumns({"_g": g, "_words": F.when(drawn % 10 == 0, words)})
+    placed = chosen.withColumn("_begin", begin).withColumn("_period", period)
+    return placed.select("doc_id", F.when(F.size("_words") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    """Runs of each document: their number, the longest, and digests of all of them and of the text without repetitions."""
+    found = find_periodic_runs(with_periodic_tails(documents(spark, folder)))
+    ranked = F.transform("runs", lambda run: F.struct(-run.length, run.start, run.period))
+    longest = F.array_min(ranked)
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run.start.cast("string"), run.length.cast("string"), run.period.cast("string")))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    found = found.withColumn("_longest", longest)
+    start, length, period = F.col("_longest.start"), -F.col("_longest.col1"), F.col("_longest.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
