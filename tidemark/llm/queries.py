@@ -19,6 +19,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.periodic_runs import find_periodic_runs
 from tidemark.llm.quality import score_quality
 from tidemark.llm.sharding import shard_by_bytes, text_crc32
+from tidemark.llm.toxicity import learn_toxicity, score_toxicity
 from tidemark.llm.warc import checked_payloads, read_archives, write_archives
 from tidemark.session import new_table_path
 
@@ -256,3 +257,13 @@ def op12_periodic_runs(spark, folder):
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_toxicity(spark, folder):
+    """A toxicity score of each document, learned from four fifths of the labels."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    model = learn_toxicity(docs, labels.where(~held_out))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
