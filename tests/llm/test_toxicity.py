@@ -21,7 +21,7 @@ def invented(n, seed=1):
     for i in range(n):
         words = ["".join(rng.choices("abcdeilnorst", k=rng.randint(2, 8))) for _ in range(rng.randint(5, 40))]
         if i % 4 == 0:
-            words[rng.randrange(len(words))] = "grum" + rng.choice(["pel", "ble", "fy"])
+            words[rng.randrange(len(words))] = "grum" + "".join(rng.choices("aeilnrst", k=3))
         rows.append((i, " ".join(words)))
     return rows
 
