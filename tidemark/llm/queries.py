@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import private
 from tidemark.llm.arrays import small_batches
 from tidemark.llm.byte_runs import remove_repeated_bytes
+from tidemark.llm.collocations import mine_collocations
 from tidemark.llm.decontaminate import find_benchmark
 from tidemark.llm.private import find_private_spans
 from tidemark.llm.line_runs import remove_repeated_lines
@@ -38,6 +39,36 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def collocation_sql(least: int, top: int) -> str:
+    return rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+  FROM documents),
+word AS (SELECT lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM word, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+total AS (SELECT lang, sum(len(w)) AS n FROM word GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= {least}),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, c.cut, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidate) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 :], ' ')
+  JOIN total ON total.lang = c.lang),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_part AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, a
+  FROM (SELECT lang, w, a, k, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM candidate WHERE k > 2))),
+kept AS (SELECT * FROM lowest ANTI JOIN inner_part USING (lang, phrase, a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= {top}
+"""
+
+
 @query
 def op3_quality_rules(spark, folder):
     """Counts and verdict of each document."""
@@ -267,3 +298,12 @@ def op13_toxicity(spark, folder):
     model = learn_toxicity(docs, labels.where(~held_out))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_collocations(spark, folder):
+    """The best 2000 phrases of each language."""
+    return mine_collocations(documents(spark, folder, "lang", "text"))
+
+
+SQL["op11_collocations"] = collocation_sql(100, 2000)
