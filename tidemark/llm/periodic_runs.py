@@ -36,6 +36,9 @@ LONG_BYTES = 1 << 16
 #: Words from one tile to the next in the low octaves: a power of two.
 TILE_WORDS = 1 << 13
 
+#: Bytes of texts that a task solves in one go.
+SLICE_BYTES = 1 << 20
+
 BLANKS = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -164,12 +167,12 @@ def find_periodic_runs(
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in text_slices(batch.column(1)):
+            for part in text_slices(batch.column(1), SLICE_BYTES):
                 words = Words(part, BLANKS)
                 found = runs_of_units(words.ids(), words.starts[:-1], np.diff(words.starts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), _listed(found, len(part)), collapsed(words, found)], names)
                 done += len(part)
-        release_memory()
+            release_memory()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

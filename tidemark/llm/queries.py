@@ -256,7 +256,8 @@ def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """Every tenth document, by a digest of its identifier, with the words behind a drawn place repeated from there."""
     drawn = F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(drawn / 10).cast("bigint")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    trimmed = F.trim("text", F.lit("\x20\x09\x0a\x0b\x0c\x0d"))
+    words = F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+"))
     n = F.size("_words").cast("bigint")
     begin, period = F.try_mod(F.col("_g"), n).cast("int"), F.lit(1) + F.floor((n - F.col("_begin")) / (3 + F.col("_g") % 8)).cast("int")
     rest = n.cast("int") - F.col("_begin")
