@@ -11,7 +11,7 @@ from tidemark.operators import aggregates, cumulative, features, filling, foreca
 from tidemark.operators.calendar import densify
 from tidemark.operators.indicators import add_indicators, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
-from tidemark.plans.panels import panel_driven, tweet_driven
+from tidemark.plans.panels import dense_prices, panel_driven, tweet_driven
 from tidemark.series import PANEL
 
 START = dt.date(2024, 1, 1)
@@ -209,6 +209,83 @@ def test_quantiles_of_uneven_magnitudes(spark):
     assert statistics.lower_median(rows.where("v > 1e301"), "v").collect()[0].median is None
 
 
+def test_ranks_of_odd_numbers(spark):
+    """Both zeros, the smallest and largest numbers, infinities, and NaN, which counts as unknown."""
+    import random
+
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, math.inf, -math.inf, 1.0, 1 - 2.0**-53, 2.0, -1e-310]
+    values += [math.ldexp(1.0, e) for e in range(-1074, 1024, 37)] + [math.nextafter(math.ldexp(1.0, e), 0) for e in range(-1070, 1024, 41)]
+    random.Random(2).shuffle(values)
+    df = spark.createDataFrame([(v,) for v in [*values, math.nan, None]], "v double").repartition(3)
+    ranks = F.sequence(F.lit(0).cast("bigint"), F.lit(len(values) - 1).cast("bigint"))
+    found = statistics.ranked_values(df, [statistics.Measure(F.col("v"), lambda n: ranks)])
+    listed = found.frame.select(F.explode(ranks).alias("rank"), "*").select("rank", found.at(F.col("rank")).alias("v")).orderBy("rank").collect()
+    assert [row.v for row in listed] == sorted(values)
+    bits = [row[0] for row in df.where("v is not null and not isnan(v)").orderBy("v").select(statistics.ordered_bits(F.col("v"))).collect()]
+    assert bits == sorted(bits)
+    got = statistics.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).first()
+    assert (got.q0, got.q2) == (-math.inf, math.inf)
+    between = spark.createDataFrame([(-math.inf,), (math.inf,)], "v double")
+    assert statistics.exact_quantiles(between, "v", [0.5]).first().q0 is None
+    assert statistics.lower_median(spark.createDataFrame([(math.nan,)], "v double"), "v").first().median is None
+
+
+def test_weighted_ranks_of_several_columns(spark):
+    rows = [("a", float(i % 7), float(-i), i % 4) for i in range(200)] + [("b", 1.0, None, 2), ("b", None, 3.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, w int")
+    half = lambda n: F.array(F.floor(n / 2).cast("bigint"))
+    measures = [statistics.Measure(F.col("x"), lambda n, m: half(n), F.col("w")), statistics.Measure(F.col("y"), lambda n, m: half(m))]
+    found = statistics.ranked_values(df, measures, by="k")
+    n, m = found.totals
+    got = {r.k: (r.x, r.y) for r in found.frame.select("k", found.at(F.floor(n / 2)).alias("x"), found.at(F.floor(m / 2), 1).alias("y")).collect()}
+    for key in "ab":
+        x = sorted(v for k, v, _, w in rows if k == key and v is not None for _ in range(w or 0))
+        y = sorted(v for k, _, v, _ in rows if k == key and v is not None)
+        assert got[key] == (x[len(x) // 2], y[len(y) // 2])
+
+
+def test_no_job_runs_before_a_median_is_asked_for(spark):
+    """A written table's median is four readings inside the plan."""
+    rows = spark.range(1000).select((F.col("id") * 1.5).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    median = statistics.lower_median(rows, "v", stored=True)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert median.first().median == 499 * 1.5
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_both_medians_of_a_panel(spark, seed):
+    """Against lists: the first of carried rows, the second of days, with the first in place of what is unknown."""
+    import random
+
+    rng = random.Random(seed)
+    days_of = {key: sorted(rng.sample(range(1, 40), rng.randint(1, 12))) for key in "ABC"}
+    share = rng.choice([0.3, 0.8, 1.0])
+    prices = {key: {day: rng.choice([None, float("nan")]) if rng.random() < share else float(rng.randint(1, 9)) for day in days} for key, days in days_of.items()}
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(day), key, price, 1.0) for key, own in prices.items() for day, price in own.items()]
+    frame = spark.createDataFrame(rows, "Date date, Ticker string, Close double, Volume double")
+    carried = {}
+    for key, own in prices.items():
+        last = None
+        for day in days_of[key]:
+            last = own[day] if own[day] is not None and own[day] == own[day] else last
+            carried[key, day] = last
+    middle = lambda values: sorted(values)[(len(values) - 1) // 2] if values else None
+    first = middle([v for v in carried.values() if v is not None])
+    low, high = min(d[0] for d in days_of.values()), max(d[-1] for d in days_of.values())
+    panel = {}
+    for key in "ABC":
+        last = None
+        for day in range(low, high + 1):
+            if (key, day) in carried:
+                last = first if carried[key, day] is None else carried[key, day]
+            panel[key, day] = last
+    second = middle([v for v in panel.values() if v is not None])
+    got = {(r.Ticker, (r.Date - dt.date(2020, 1, 1)).days): r.Close for r in dense_prices(frame).collect()}
+    assert got == {at: second if v is None else v for at, v in panel.items()}
+
+
 def test_short_series_have_all_steps(frame):
     rows = frame(days([5, 6, 8, 9])).withColumn("x", F.lit(1.0))
     assert forecast.ar_exog_forecast(rows, ["x"], 7, series=PANEL).count() == 7

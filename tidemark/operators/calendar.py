@@ -53,11 +53,26 @@ def densify(
     of observed rows that have no earlier value to carry. ``span`` gives the first and last day
     when the caller knows a cheaper way to them.
     """
+    return spread_days(stretch(df, values, keys, fill, span, series), values, keys, fill, observed_default, series)
+
+
+def stretch(
+    df: DataFrame,
+    values: tuple[str, ...] = ("Close", "Volume"),
+    keys: list[str] | None = None,
+    fill: bool = True,
+    span: tuple[Column, Column] | None = None,
+    series: Series = SERIES,
+) -> DataFrame:
+    """One row per observed row and key, with the days it stands for: from ``_from`` until the day before ``_until``.
+
+    With ``fill`` values are carried forward. ``_low`` and ``_high`` have the first and last day of all. A listed key
+    without rows has one row with no date and no values.
+    """
     key, date = series.key, series.date
     observed = df.where(F.col(date).isNotNull()).select(date, key, *values)
     observed = observed.where(F.col(key).isin(keys) if keys is not None else F.col(key).isNotNull())
     low, high = span or first_and_last_day(observed, date)
-    defaults = observed_default or {}
     day_series = series.as_daily()
 
     rows = lay_out(observed, 0, day_series)
@@ -77,10 +92,7 @@ def densify(
     )
     w = block_window(day_series)
     carried = {
-        v: F.coalesce(
-            *([F.last(v, ignorenulls=True).over(so_far(w)), F.col(f"_carry_{v}")] if fill else [F.col(v)]),
-            *([defaults[v]] if v in defaults else []),
-        )
+        v: F.coalesce(*([F.last(v, ignorenulls=True).over(so_far(w)), F.col(f"_carry_{v}")] if fill else [F.col(v)]))
         for v in values
     }
     stretched = laid.withColumns(
@@ -90,23 +102,38 @@ def densify(
             "_from": F.when(F.col("_opens") & F.lag(date).over(w).isNull(), low).otherwise(F.col(date)),
         }
     )
-    days = trim(stretched).withColumn(
-        "_day", F.explode_outer(F.sequence("_from", F.date_sub("_until", 1), F.expr("interval 1 day")))
-    )
-    holds = F.col("_day") >= F.col(date) if fill else F.col("_day") == F.col(date)
-    dense = days.select(
-        F.col("_day").alias(date), key, *[F.when(holds, F.col(v)).alias(v) for v in values]
-    )
+    rows = trim(stretched).select(date, key, *values, "_from", "_until")
     if keys is None:
-        return dense
-    spark = df.sparkSession
-    absent = keys_df(spark, keys, key).distinct().join(observed.select(key).distinct(), key, "left_anti")
+        return rows
+    absent = keys_df(df.sparkSession, keys, key).distinct().join(observed.select(key).distinct(), key, "left_anti")
+    kinds = dict(rows.dtypes)
     empty = absent.select(
-        F.explode(F.sequence(low, high, F.expr("interval 1 day"))).alias(date),
+        F.lit(None).cast(kinds[date]).alias(date),
         key,
-        *[F.lit(None).cast(observed.schema[v].dataType).alias(v) for v in values],
+        *[F.lit(None).cast(kinds[v]).alias(v) for v in values],
+        low.cast(kinds["_from"]).alias("_from"),
+        F.date_add(high, 1).alias("_until"),
     )
-    return dense.unionByName(empty)
+    return rows.unionByName(empty)
+
+
+def spread_days(
+    stretched: DataFrame,
+    values: tuple[str, ...] = ("Close", "Volume"),
+    keys: list[str] | None = None,
+    fill: bool = True,
+    observed_default: dict[str, Column] | None = None,
+    series: Series = SERIES,
+) -> DataFrame:
+    """One row per day out of what ``stretch`` returns (``keys`` and ``fill`` as there)."""
+    key, date = series.key, series.date
+    defaults = observed_default or {}
+    known = stretched.withColumns({v: F.when(F.col(date).isNotNull(), F.coalesce(F.col(v), default)) for v, default in defaults.items()})
+    days = known.where(F.col("_from") < F.col("_until")).withColumn(
+        "_day", F.explode(F.sequence("_from", F.date_sub("_until", 1), F.expr("interval 1 day")))
+    )
+    holds = F.col("_day") >= F.col(date) if fill else F.col("_day") == F.col(date)
+    return days.select(F.col("_day").alias(date), key, *[F.when(holds, F.col(v)).alias(v) for v in values])
 
 
 def with_warmup(df: DataFrame, start: str, rows: int, series: Series = SERIES) -> DataFrame:

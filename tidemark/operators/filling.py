@@ -40,8 +40,8 @@ def fill_residual(
     df = written(df, "unfilled")
     out = df.withColumn(volume, F.coalesce(F.col(volume), F.lit(0)))
     if scope == "global":
-        return out.withColumn(price, F.coalesce(F.col(price), lower_median(df, price).scalar()))
-    per_key = lower_median(df, price, series.key).withColumnRenamed("median", "_median")
+        return out.withColumn(price, F.coalesce(F.col(price), lower_median(df, price, stored=True).scalar()))
+    per_key = lower_median(df, price, series.key, stored=True).withColumnRenamed("median", "_median")
     return (
         attach_per_key(out, per_key, series)
         .withColumn(price, F.coalesce(F.col(price), F.col("_median")))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import ratio
+from tidemark.functions.numbers import nan_to_null, ratio
 from tidemark.session import written
 
 SALTS = 32
 #: Bandwidths from a value at which its Gaussian kernel is no longer a positive double.
 REACH = 39.0
+# Fixed values of 64-bit floating point numbers.
+MANTISSA = 1 << 52
+LEAST_NORMAL, LEAST_DOUBLE = 2.0**-1022, 2.0**-1074
 
 
 def pearson(a: str, b: str) -> Column:
@@ -55,75 +59,107 @@ def beside(rows: DataFrame, stats: DataFrame, by: str | None) -> DataFrame:
     return spread.join(salted, [by, "_salt"]).drop("_salt")
 
 
-def exact_ranks(df: DataFrame, c: str, wanted: Callable[[Column], Column], by: str | None = None, bins: int = 1024) -> DataFrame:
-    """The values at given ranks: (key, ``_all``, ``_at``), a count and a map from rank to value.
+@dataclass(frozen=True)
+class Measure:
+    """Values of which some ranks are wanted. ``wanted`` makes an array of ranks (from 0) out of the total weights of all measures.
 
-    ``wanted`` makes an array of ranks (from 0) out of the number of known values. Each round
-    counts the rows of the value ranges still in question in parts, and keeps the parts that hold a
-    wanted rank, narrowed to their smallest and largest value, until each holds one value only.
-    A range within one power of two is cut in ``bins`` equal parts, any other by powers of two,
-    so a few rounds do for values of any magnitude. Only counts are shuffled, never more than
-    ``bins`` (or, once, the powers of two) per range and task, and nothing is ranked row by row.
+    A row counts ``weight`` times (once by default). Unknown values, NULL or NaN, and rows of weight 0 don't count.
     """
-    keys = [by] if by else []
-    rows = written(df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v")), "values")
-    whole = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.lit(0).cast("long").alias("before"))
-    spots = rows.groupBy(*keys).agg(F.count("_v").alias("_all"), whole.alias("_spot"))
-    spots = spots.where("_all > 0").select(*keys, "_all", F.array("_spot").alias("_spots"))
-    value = F.col("_v")
-
-    while True:
-        spots = written(spots, "spots")
-        is_open = F.exists("_spots", lambda s: s["lo"] < s["hi"])
-        if spots.where(is_open).isEmpty():
-            break
-        holding = F.filter("_spots", lambda s: (value >= s["lo"]) & (value <= s["hi"]))
-        inside = beside(rows, spots, by).select(*keys, "_all", "_v", F.explode(holding).alias("_s")).select(*keys, "_all", "_v", "_s.*")
-        counts = inside.groupBy(*keys, "_all", "lo", "before", _part(bins).alias("_part")).agg(
-            F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
-        )
-        upto = Window.partitionBy(*keys, "lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-        summed = counts.withColumn("_upto", F.col("before") + F.sum("_n").over(upto))
-        kept = F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi"), (F.col("_upto") - F.col("_n")).alias("before"))
-        hit = F.exists(wanted(F.col("_all")), lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")))
-        spots = summed.where(hit).groupBy(*keys).agg(F.max("_all").alias("_all"), F.collect_list(kept).alias("_spots"))
 
-    def at(rank: Column) -> Column:
-        below = F.filter("_spots", lambda s: s["before"] <= rank)
-        return F.array_max(F.transform(below, lambda s: s["lo"]))
+    value: Column
+    wanted: Callable[..., Column] = lambda *totals: F.array().cast("array<bigint>")
+    weight: Column | None = None
+
+
+def ordered_bits(x: Column) -> Column:
+    """A double as a whole number of 64 bits in the same order: its own bits, negated below zero. Both zeros are 0.
+
+    The power of two is taken from a logarithm, which may be off by one, and set right by comparison. All
+    multiplications are with powers of two, and so exact, for the smallest numbers and infinity too.
+    """
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")
+    near = F.pow(F.lit(2.0), guess)
+    power = guess + F.when(size >= 2 * near, 1).when(size < near, -1).otherwise(0)
+    mantissa = size / F.pow(F.lit(2.0), power) - 1
+    normal = (power + 1023).cast("bigint") * F.lit(MANTISSA) + (mantissa * F.lit(float(MANTISSA))).cast("bigint")
+    tiny = (size / F.lit(LEAST_DOUBLE)).cast("bigint")
+    bits = F.when(size == math.inf, F.lit(2047 * MANTISSA)).when(size >= LEAST_NORMAL, normal).otherwise(tiny)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+class Ranked:
+    """Result of ``ranked_values``: ``frame`` has the keys, and ``at`` makes a column of the value at a rank."""
 
-    ranks = F.array_distinct(F.filter(wanted(F.col("_all")), lambda r: (r >= 0) & (r < F.col("_all"))))
-    return spots.select(*keys, "_all", F.map_from_arrays(ranks, F.transform(ranks, at)).alias("_at"))
+    def __init__(self, frame: DataFrame, measures: int):
+        self.frame = frame
+        self.totals = [F.col(f"_t{i}") for i in range(measures)]
 
+    def at(self, rank: Column, measure: int = 0) -> Column:
+        below = F.filter("_spots", lambda s: (s["m"] == measure) & (s["before"] <= rank))
+        return F.when((rank >= 0) & (rank < self.totals[measure]), F.array_max(F.transform(below, lambda s: s["x"])))
 
-def _part(bins: int) -> Column:
-    """Part of a range from ``lo`` to ``hi`` that a value lies in, in the order of values."""
-    value, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
-    power = lambda v: F.floor(F.log2(F.abs(v)))
-    ordered = F.when(value > 0, 2048 + power(value)).when(value < 0, -2048 - power(value)).otherwise(F.lit(0))
-    alike = (F.signum(lo) == F.signum(hi)) & (F.abs(hi) <= 2 * F.abs(lo)) & (F.abs(lo) <= 2 * F.abs(hi))
-    even = F.least(F.floor(F.try_divide(value - lo, hi - lo) * bins), F.lit(bins - 1))
-    return F.when(lo == hi, F.lit(0)).when(alike, even).otherwise(ordered).cast("long")
 
+def ranked_values(df: DataFrame, measures: list[Measure], by: str | None = None, stored: bool = False) -> Ranked:
+    """The values at wanted ranks of some measures, all found in the same four readings, per key if ``by`` is given.
 
-def exact_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column ``q0, q1, ..`` per share."""
-    low = lambda n, share: F.floor((n - 1) * share).cast("long")
-    found = exact_ranks(df, c, lambda n: F.array(*[low(n, share) + add for share in shares for add in (0, 1)]), by)
-    columns = []
+    Values are taken as ordered numbers of 64 bits, and each reading settles the next 16 bits of the wanted ranks' values: it
+    counts the rows that agree in the bits settled so far. Only counts are shuffled, at most 65,536 per wanted rank and task;
+    no job runs before the result is asked for, but for the copy of the values that is written unless ``df`` is ``stored`` anyway.
+    """
+    keys = [by] if by else []
+    each = [F.struct(F.lit(i).alias("_m"), m.value.cast("double").alias("_x"), (F.lit(1) if m.weight is None else m.weight).cast("bigint").alias("_w")) for i, m in enumerate(measures)]
+    rows = df.select(*keys, F.inline(F.array(*each))).where(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.col("_w") > 0))
+    rows = rows if stored else written(rows, "values")
+    names = [f"_t{i}" for i in range(len(measures))]
+    totals = [F.coalesce(F.sum(F.when(F.col("_m") == i, F.col("_w"))), F.lit(0)).alias(name) for i, name in enumerate(names)]
+    whole = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("before")) for i in range(len(measures))])
+    spots = rows.groupBy(*keys).agg(*totals).withColumn("_spots", whole)
+    coded = rows.withColumn("_bits", ordered_bits(F.col("_x")))
+    for shift in (48, 32, 16, 0):
+        digits = F.shiftright("_bits", shift)
+        settled = F.lit(0).cast("bigint") if shift == 48 else F.shiftright("_bits", shift + 16)
+        placed = beside(coded.withColumns({"_at": digits, "_above": settled}).drop("_bits"), spots, by)
+        held = F.filter("_spots", lambda s: (s["m"] == F.col("_m")) & (s["prefix"] == F.col("_above")))
+        inside = placed.select(*keys, "_m", "_x", "_w", "_at", *names, F.explode(held).alias("_s"))
+        counts = inside.groupBy(*keys, "_m", "_s.prefix", "_s.before", "_at").agg(
+            F.sum("_w").alias("_n"), F.min("_x").alias("_x"), *[F.max(name).alias(name) for name in names]
+        )
+        upto = Window.partitionBy(*keys, "_m", "prefix").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        summed = counts.withColumn("_upto", F.col("before") + F.sum("_n").over(upto))
+        ranks = F.lit(None).cast("array<bigint>")
+        for i, measure in enumerate(measures):
+            ranks = F.when(F.col("_m") == i, measure.wanted(*[F.col(name) for name in names]).cast("array<bigint>")).otherwise(ranks)
+        hit = F.exists(ranks, lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")))
+        spot = F.struct(F.col("_m").alias("m"), F.col("_at").alias("prefix"), (F.col("_upto") - F.col("_n")).alias("before"), F.col("_x").alias("x"))
+        spots = summed.where(hit).groupBy(*keys).agg(*[F.max(name).alias(name) for name in names], F.collect_list(spot).alias("_spots"))
+    return Ranked(spots, len(measures))
+
+
+def exact_quantiles(df: DataFrame, c: str, shares: list[float], by: str | None = None, stored: bool = False) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column ``q0, q1, ..`` per share; NULL between infinities of both signs."""
+    low = lambda n, share: F.floor((n - 1) * share).cast("bigint")
+    wanted = lambda n: F.array(*[low(n, share) + add for share in shares for add in (0, 1)])
+    found = ranked_values(df, [Measure(F.col(c), wanted)], by, stored)
+    n, columns = found.totals[0], []
     for i, share in enumerate(shares):
-        place = (F.col("_all") - 1) * share
-        first = F.try_element_at("_at", low(F.col("_all"), share))
-        after = F.coalesce(F.try_element_at("_at", low(F.col("_all"), share) + 1), first)
-        columns.append((first + (after - first) * (place - low(F.col("_all"), share))).alias(f"q{i}"))
-    return found.select(*([by] if by else []), *columns)
-
-
-def lower_median(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
-    """The exact lower median as column ``median``; over no values at all it is NULL (one row), per key there is no row."""
-    found = exact_ranks(df, c, lambda n: F.array(F.floor((n - 1) / 2).cast("long")), by)
-    value = F.try_element_at("_at", F.floor((F.col("_all") - 1) / 2).cast("long"))
-    return found.select(by, value.alias("median")) if by else found.agg(F.max(value).alias("median"))
+        first = found.at(low(n, share))
+        after = F.coalesce(found.at(low(n, share) + 1), first)
+        part = (n - 1) * share - low(n, share)
+        between = F.when((first == after) | (part == 0), first).otherwise(first + (after - first) * part)
+        columns.append(nan_to_null(between).alias(f"q{i}"))
+    return found.frame.select(*([by] if by else []), *columns)
+
+
+def middle(n: Column) -> Column:
+    """Rank of the lower median of ``n`` values."""
+    return F.floor((n - 1) / 2).cast("bigint")
+
+
+def lower_median(df: DataFrame, c: str, by: str | None = None, stored: bool = False) -> DataFrame:
+    """The exact lower median as column ``median``; over no known values it is NULL (one row), per key there is no row."""
+    found = ranked_values(df, [Measure(F.col(c), lambda n: F.array(middle(n)))], by, stored)
+    return found.frame.select(*([by] if by else []), found.at(middle(found.totals[0])).alias("median"))
 
 
 def histogram_bounds(df: DataFrame, c: str, bins: int | str = "auto", by: str | None = None) -> DataFrame:

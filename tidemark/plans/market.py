@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_date
 from tidemark.operators.calendar import densify, first_and_last_day
-from tidemark.operators.filling import fill_residual
-from tidemark.series import PANEL
+from tidemark.plans.panels import filled_panel
 
 # The keys and the first day of the order table, and the spread of the texts.
 KEYS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -85,7 +84,8 @@ def dense(spark: SparkSession, folder: str) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """The dense panel with nothing NULL."""
-    return fill_residual(dense(spark, folder), series=PANEL)
+    rows = ticks(spark, folder)
+    return filled_panel(daily(rows), span=first_and_last_day(rows))
 
 
 def tweets(spark: SparkSession, folder: str) -> DataFrame:

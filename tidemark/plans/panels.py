@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import attach_sentiment, daily_mean
-from tidemark.operators.calendar import densify, first_and_last_day
-from tidemark.operators.cumulative import ffill
+from tidemark.operators.calendar import densify, first_and_last_day, spread_days, stretch
 from tidemark.operators.filling import fill_residual, filter_keys
 from tidemark.operators.sentiment import lexicon_score
-from tidemark.operators.statistics import lower_median
+from tidemark.operators.statistics import Measure, middle, ranked_values
 from tidemark.series import SERIES, Series
 from tidemark.session import written
 
@@ -29,21 +28,54 @@ def dense_prices(
     """Daily prices of every key with no day missing and nothing NULL (``scope`` 'none' keeps NULLs).
 
     Known values are carried forward; what has no earlier value takes the median price and volume
-    0, once for observed rows without a price and once for days before a key's first row. The daily
-    table is written once, for the medians and the panel to share.
+    0, once for observed days without a price and once for days before a key's first.
     """
     chosen = prices if keys is None else filter_keys(prices, keys, series.key)
     span = first_and_last_day(chosen, series.date)
-    daily = written(daily_mean(chosen, series=series), "daily")
-    defaults = observed_defaults(daily, series) if scope == "global" else {}
-    dense = densify(daily, keys=keys, observed_default=defaults, span=span, series=series)
-    return dense if scope == "none" else fill_residual(dense, scope, series=series)
+    return filled_panel(daily_mean(chosen, series=series), keys, scope, span, series)
 
 
-def observed_defaults(daily: DataFrame, series: Series) -> dict[str, Column]:
-    """For observed rows without any earlier price: the median of the prices carried forward, and volume 0."""
-    middle = lower_median(ffill(daily.drop("Volume"), ["Close"], series), "Close").scalar()
-    return {"Close": middle, "Volume": F.lit(0.0)}
+def filled_panel(
+    daily: DataFrame, keys: list[str] | None = None, scope: str = "global", span: tuple[Column, Column] | None = None, series: Series = SERIES
+) -> DataFrame:
+    """``dense_prices`` of a table with one row per day and key.
+
+    The stretched rows are written once, for the medians and the panel to share; both medians come from the same readings of it.
+    """
+    if scope != "global":
+        dense = densify(daily, keys=keys, span=span, series=series)
+        return dense if scope == "none" else fill_residual(dense, scope, series=series)
+    stretched = written(stretch(daily, keys=keys, span=span, series=series), "stretched")
+    observed, leading = panel_medians(stretched, series)
+    dense = spread_days(stretched, keys=keys, observed_default={"Close": observed, "Volume": F.lit(0.0)}, series=series)
+    return dense.withColumns({"Close": F.coalesce("Close", leading), "Volume": F.coalesce("Volume", F.lit(0))})
+
+
+def panel_medians(stretched: DataFrame, series: Series) -> tuple[Column, Column]:
+    """The two medians of a panel: of the observed rows' prices carried forward, and of the days' prices.
+
+    The second is over each price as often as it is carried, and over the first median for the days of observed rows that have
+    nothing to carry, ``unknown`` many. Being one value many times, that is the median itself wherever it
+    lies between the prices at the middle rank without and with those days below it.
+    """
+    price, is_row = F.col("Close"), F.col(series.date).isNotNull()
+    days = F.when(is_row, F.datediff("_until", series.date))
+    found = ranked_values(
+        stretched,
+        [
+            Measure(F.when(is_row, price), lambda n, *_: F.array(middle(n))),
+            Measure(price, lambda _, n, unknown: F.array(middle(n + unknown), middle(n + unknown) - unknown), days),
+            Measure(F.when(is_row & (price.isNull() | F.isnan(price)), 0.0), weight=days),
+        ],
+        stored=True,
+    )
+    n, known, unknown = found.totals
+    first = found.at(middle(n))
+    last = middle(known + unknown)
+    second = F.greatest(F.least(first, found.at(last, 1)), found.at(last - unknown, 1))
+    second = F.when(unknown > 0, second).otherwise(found.at(last, 1))
+    both = found.frame.select(F.struct(first.alias("observed"), second.alias("days")).alias("both")).scalar()
+    return both["observed"], both["days"]
 
 
 def panel_driven(
@@ -75,7 +107,8 @@ def tweet_driven(
     day after that; days before a key's first row stay NULL."""
     chosen = prices if keys is None else filter_keys(prices, keys, series.key)
     span = first_and_last_day(chosen, series.date)
-    daily = written(daily_mean(chosen, series=series), "daily")
-    panel = densify(daily, keys=keys, observed_default=observed_defaults(daily, series), span=span, series=series)
+    stretched = written(stretch(daily_mean(chosen, series=series), keys=keys, span=span, series=series), "stretched")
+    defaults = {"Close": panel_medians(stretched, series)[0], "Volume": F.lit(0.0)}
+    panel = spread_days(stretched, keys=keys, observed_default=defaults, series=series)
     scored = score_tweets(tweets, keys, lexicon, negation, tweet_id, series)
     return attach_sentiment(panel, scored, "tweets", series=series)
