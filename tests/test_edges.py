@@ -10,7 +10,7 @@ from tidemark.functions import clean_text, parse_date
 from tidemark.operators import aggregates, cumulative, features, filling, forecast, statistics
 from tidemark.operators.calendar import densify
 from tidemark.operators.indicators import add_indicators, rsi_flags
-from tidemark.operators.sentiment import lexicon_score
+from tidemark.operators.sentiment import WORDS, lexicon_score
 from tidemark.plans.panels import dense_prices, panel_driven, tweet_driven
 from tidemark.series import PANEL
 
@@ -178,6 +178,32 @@ def test_first_prices_missing_take_the_median(frame, tweets):
     assert listed(rows, "Close") == [4, 4, 6]
 
 
+WORDS_AND_MODIFIERS = [
+    "good day", "not good", "very good but bad", "", None, "good good bad", "it is never very terrible", "but good but bad",
+    "kinda weak, hardly a win", "nothing here", "don't win", "best BEST best"
+]
+
+
+@pytest.mark.parametrize("negation", [False, True])
+def test_scores_do_not_depend_on_ids_or_shuffles(spark, negation):
+    """One row per text after a shuffle, without any id; a lexicon that is joined gives what a held one does."""
+    rows = [(t,) for t in WORDS_AND_MODIFIERS] * 5
+    texts = spark.createDataFrame(rows, "tweet string").repartition(7)
+    plain = sorted(r.sentiment for r in lexicon_score(texts, negation=negation).collect())
+    assert len(plain) == len(rows)
+    lexicon = spark.createDataFrame([*WORDS.items(), ("o'clock\\", 1.0), (None, 1.0), ("odd", None)], "token string, valence double")
+    held = sorted(r.sentiment for r in lexicon_score(texts, lexicon=lexicon, negation=negation).collect())
+    joined = sorted(r.sentiment for r in lexicon_score(texts, lexicon=lexicon, negation=negation, held_entries=3).collect())
+    assert plain == held == joined
+    assert sum(score != 0 for score in plain) == 5 * sum("here" not in (t or "here") and t != "" for t in WORDS_AND_MODIFIERS)
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    texts = spark.createDataFrame([(1, "good"), (1, "bad"), (None, "good")], "n int, tweet string")
+    rows = lexicon_score(texts, id="n").collect()
+    assert sorted(r.sentiment > 0 for r in rows) == [False, True, True]
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 

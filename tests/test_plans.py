@@ -72,11 +72,12 @@ def test_key_filter_reaches_the_scan_below_windows(panel, spark, tmp_path):
     assert "EqualTo(Ticker,BETA)" in plan_of(rows)
 
 
-def test_texts_are_cleaned_once_and_shuffled_as_scores(spark):
+@pytest.mark.parametrize("negation", [False, True])
+def test_texts_are_read_once_and_scored_where_they_stand(spark, negation):
     texts = market.table(spark, SMALL, "documents").select("doc_id", F.col("text").alias("tweet"))
-    plan = plan_of(lexicon_score(texts, id="doc_id"))
-    assert plan.count("regexp_replace") == 1
-    assert exchanges(plan) == 1 and "BroadcastExchange" in plan  # of scores, and of the word list
+    plan = plan_of(lexicon_score(texts, negation=negation))
+    assert plan.count("regexp_replace") == 1 and plan.count("FileScan") == 1
+    assert exchanges(plan) == 0 and "Python" not in plan
 
 
 def test_large_key_is_joined_in_many_places(spark):

@@ -1,13 +1,15 @@
-"""Lexicon sentiment of short texts, as a join of words with a table of valences."""
+"""Lexicon sentiment of texts, as a fold over the words of each."""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text, tokens
+from tidemark.session import written
 
 # Normalisation and word rules of the published VADER compound score (Hutto and Gilbert
 # 2014, MIT licence), as words without apostrophes, since cleaning takes those out.
@@ -57,6 +59,15 @@ WORDS = {
 }
 
 
+#: Entries, modifiers included, of a lexicon that every task holds; a longer one is joined.
+HELD_ENTRIES = 20_000
+#: Slots of the table of held entries, by checksum of the word.
+SLOTS = 4096
+
+ENTRY = "struct<token:string,valence:double,boost:double,negates:boolean>"
+ENTRY_FIELDS = ("token", "valence", "boost", "negates")
+
+
 def default_lexicon(spark: SparkSession) -> DataFrame:
     listed = F.array(*[F.struct(F.lit(w).alias("token"), F.lit(v).alias("valence")) for w, v in WORDS.items()])
     return spark.range(1).select(F.inline(listed))
@@ -67,33 +78,74 @@ def compound(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + ALPHA), DIGITS)
 
 
-def with_neighbours(source: DataFrame, others: list[str]) -> DataFrame:
-    """One row per word of ``_words``: the word, the three words before it, its place, and the place
-    of the first 'but'. Shifted copies of the word list are zipped, so no window and no shuffle."""
-    nothing = F.array(F.lit("").cast("string"))
-    shifted = [F.concat(*([nothing] * k), F.col("_words")).alias(f"back{k}") for k in (1, 2, 3)]
-    zipped = F.arrays_zip(F.col("_words").alias("token"), *shifted)
-    return (
-        source.withColumns({"_but": F.array_position("_words", "but"), "_zipped": zipped})
-        .select(*others, "_but", F.posexplode_outer("_zipped").alias("_at", "_word"))
-        .select(*others, "_but", "_at", "_word.*")
-    )
-
-
-def modified(valence: Column, modifiers: Modifiers) -> Column:
-    """Valence after intensity words, negation and 'but', from the columns of ``with_neighbours``."""
-    back = [F.col("back1"), F.col("back2"), F.col("back3")]
-    boost = F.lit(0.0)
-    for word, fade in zip(back, BOOST_FADE):
-        boost = boost + F.when(word.isin(*modifiers.stronger), BOOST * fade).when(word.isin(*modifiers.weaker), -BOOST * fade).otherwise(0.0)
-    negated = F.lit(False)
-    for word in back:
-        negated = negated | F.coalesce(word.isin(*modifiers.negations), F.lit(False))
-    scaled = valence + F.signum(valence) * boost
-    before = (F.col("_but") > 0) & (F.col("_at") + 1 < F.col("_but"))
-    after = (F.col("_but") > 0) & (F.col("_at") + 1 > F.col("_but"))
-    side = F.when(before, BEFORE_BUT).when(after, AFTER_BUT).otherwise(1.0)
-    return F.when(valence.isNotNull(), F.when(negated, scaled * NEGATION_FACTOR).otherwise(scaled) * side)
+def entries_of(valences: dict[str, float], modifiers: Modifiers | None) -> list[tuple]:
+    """(token, valence or None, boost, negates) of every word that matters."""
+    tokens_ = set(valences)
+    stronger, weaker, negations = (set(), set(), set()) if modifiers is None else map(set, (modifiers.stronger, modifiers.weaker, modifiers.negations))
+    tokens_ |= stronger | weaker | negations
+    boost = lambda w: BOOST if w in stronger else -BOOST if w in weaker else 0.0
+    return [(w, valences.get(w), boost(w), w in negations) for w in sorted(tokens_)]
+
+
+def held_table(entries: list[tuple]) -> tuple[Column, int]:
+    """The entries as one constant, and its number of slots: each slot has the entries whose token's checksum falls there."""
+    slots = max(1, min(SLOTS, 2 * len(entries)))
+    table: list[list[str]] = [[] for _ in range(slots)]
+    for token, valence, boost, negates in entries:
+        quoted = "'" + token.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        value = "null" if valence is None else f"{float(valence)!r}D"
+        fields = ", ".join(f"'{name}', {field}" for name, field in zip(ENTRY_FIELDS, (quoted, f"cast({value} as double)", f"{boost!r}D", str(negates).lower())))
+        table[zlib.crc32(token.encode()) % slots].append(f"named_struct({fields})")
+    return F.expr("array(" + ", ".join(f"cast(array({', '.join(slot)}) as array<{ENTRY}>)" for slot in table) + ")"), slots
+
+
+def looked_up(words: Column, entries: list[tuple]) -> Column:
+    """For each word its entry, or NULL."""
+    table, slots = held_table(entries)
+
+    def entry(word: Column) -> Column:
+        slot = F.get(table, (F.crc32(word.cast("binary")) % slots).cast("int"))
+        return F.get(F.filter(slot, lambda e: e["token"] == word), F.lit(0))
+
+    return F.transform(words, entry)
+
+
+def folded(entries: Column, but_at: Column | None, negation: bool) -> Column:
+    """Sum of the valences of a text from the entries of its words, in order."""
+    if not negation:
+        return F.aggregate(entries, F.lit(0.0), lambda total, e: total + F.coalesce(e["valence"], F.lit(0.0)))
+    nothing = F.struct(F.lit(0.0).alias("boost"), F.lit(False).alias("negates"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(1).alias("at"), nothing.alias("b1"), nothing.alias("b2"), nothing.alias("b3"))
+
+    def advance(state: Column, e: Column) -> Column:
+        before = [state["b1"], state["b2"], state["b3"]]
+        boost = sum((b["boost"] * fade for b, fade in zip(before, BOOST_FADE)), F.lit(0.0))
+        negated = before[0]["negates"] | before[1]["negates"] | before[2]["negates"]
+        scaled = e["valence"] + F.signum(e["valence"]) * boost
+        side = F.when(but_at == 0, 1.0).when(state["at"] < but_at, BEFORE_BUT).when(state["at"] > but_at, AFTER_BUT).otherwise(1.0)
+        value = F.when(e["valence"].isNotNull(), F.when(negated, scaled * NEGATION_FACTOR).otherwise(scaled) * side).otherwise(0.0)
+        own = F.struct(F.coalesce(e["boost"], F.lit(0.0)).alias("boost"), F.coalesce(e["negates"], F.lit(False)).alias("negates"))
+        return F.struct(
+            (state["total"] + value).alias("total"), (state["at"] + 1).alias("at"), own.alias("b1"), state["b1"].alias("b2"), state["b2"].alias("b3")
+        )
+
+    return F.aggregate(entries, start, advance, lambda state: state["total"])
+
+
+def joined_entries(rows: DataFrame, lexicon: DataFrame, modifiers: Modifiers | None) -> DataFrame:
+    """Rows of (``_row``, ``_words``) with ``_entries``, for a lexicon of any length: a join by word over written rows.
+
+    Only words that are listed come back to their text, each with its places.
+    """
+    spark = rows.sparkSession
+    listed = lexicon.groupBy("token").agg(F.sum(F.col("valence").cast("double")).alias("valence"))
+    changing = spark.createDataFrame([e for e in entries_of({}, modifiers)], "token string, valence double, boost double, negates boolean")
+    table = listed.join(changing.drop("valence"), "token", "full")
+    words = rows.select("_row", F.posexplode("_words").alias("_place", "token"))
+    hits = words.join(table, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_place", F.struct(*ENTRY_FIELDS)))).alias("_hits"))
+    both = rows.join(hits, "_row", "left")
+    entries = F.transform("_words", lambda _, i: F.try_element_at("_hits", i))
+    return both.withColumn("_entries", F.when(F.col("_hits").isNotNull(), entries).otherwise(F.array().cast(f"array<{ENTRY}>")))
 
 
 def lexicon_score(
@@ -105,28 +157,31 @@ def lexicon_score(
     keep: tuple[str, ...] = (),
     out: str = "sentiment",
     modifiers: Modifiers = Modifiers(),
+    held_entries: int = HELD_ENTRIES,
 ) -> DataFrame:
-    """Compound polarity per text: (id, *keep, out), 0 where no word is known.
+    """Compound polarity per text: (id, *keep, out), 0 where no word is known; one row per row of ``df``.
 
-    Words are joined with the lexicon where they are split, and summed per text before the
-    shuffle, so only one small row per text travels. The planner broadcasts the lexicon when its
-    size allows. ``keep`` columns must depend on the id. With ``negation`` the three words
-    before a word may flip or scale it (``modifiers``), and 'but' shifts the weight to what follows.
+    A text is read once and scored where it stands, by a fold over its words; nothing is shuffled. Each task holds the
+    lexicon as a constant, up to ``held_entries`` entries. A longer one is joined by word with a written copy of the rows. With
+    ``negation`` the three words before a word may flip or scale it (``modifiers``), and 'but' shifts the weight to
+    what follows. Valences of a token listed twice add up.
     """
+    kept = [*([id] if id else []), *keep]
+    words = tokens(clean_text(text))
+    used = modifiers if negation else None
     if lexicon is None:
-        lexicon = default_lexicon(df.sparkSession)
-    row = id or "_row"
-    source = df if id else df.withColumn(row, F.monotonically_increasing_id())
-    source = source.select(row, *keep, tokens(clean_text(text)).alias("_words"))
-    if negation:
-        spread = with_neighbours(source, [row, *keep])
+        valences: dict[str, float] | None = dict(WORDS)
+    else:
+        listed = lexicon.select("token", F.col("valence").cast("double").alias("valence")).na.drop().limit(held_entries + 1).collect()
+        valences = {}
+        for row in listed:
+            valences[row.token] = valences.get(row.token, 0.0) + row.valence
+        valences = valences if len(listed) <= held_entries else None
+    if valences is not None:
+        rows = df.select(*kept, words.alias("_words"))
+        entries = looked_up(F.col("_words"), entries_of(valences, used))
     else:
-        spread = source.select(row, *keep, F.explode_outer("_words").alias("token"))
-    # A list of words is never empty; the outer explode keeps the planner from splitting every text
-    # a second time to test for that. Words that aren't listed go before any shuffle could bring the frequent ones together; texts
-    # without listed words come back by their id.
-    hits = spread.join(lexicon.select("token", "valence"), "token")
-    value = modified(F.col("valence"), modifiers) if negation else F.col("valence")
-    none = source.select(row, *keep, F.lit(0.0).alias("_value"))
-    scored = hits.select(row, *keep, value.alias("_value")).union(none).groupBy(row, *keep).agg(compound(F.sum("_value")).alias(out))
-    return scored if id else scored.drop(row)
+        rows = written(df.select(*kept, words.alias("_words")).withColumn("_row", F.monotonically_increasing_id()), "words")
+        rows, entries = joined_entries(rows, lexicon.select("token", "valence").na.drop(), used), F.col("_entries")
+    total = folded(entries, F.array_position("_words", "but") if negation else None, negation)
+    return rows.select(*kept, compound(total).alias(out))
