@@ -371,6 +371,6 @@ def test_hold_out_compares_the_same_days(frame):
 
 def test_recursive_prediction(spark, frame):
     rows = frame(days(range(1, 101)))
-    model = forecast.fit_lookback(features.lookback(rows, ["Close"], "Close", 5, PANEL))
+    model = forecast.fit_lookback(rows, ["Close"], "Close", 5, series=PANEL)
     got = forecast.rollout(model, forecast.last_sequence(rows, ["Close"], 5), 3).orderBy("step").collect()
     assert [r.forecast for r in got] == pytest.approx([101, 102, 103], rel=1e-3)

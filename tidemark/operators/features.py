@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.blocks import attach_per_key, over_blocks
+from tidemark.operators.blocks import BLOCK, POS, attach_per_key, lay_out
 from tidemark.operators.indicators import MODEL_FEATURES
 from tidemark.series import SERIES, Series
 
@@ -52,13 +52,34 @@ def minmax_invert(df: DataFrame, c: str, stats: DataFrame, out: str | None = Non
     return joined.withColumn(out or c, F.col(source or c) * (high - low) + low).drop(f"min_{c}", f"max_{c}")
 
 
-def lookback(df: DataFrame, columns: list[str], target: str, length: int = 60, series: Series = SERIES) -> DataFrame:
-    """Rows with ``X`` = the ``length`` rows before (oldest first) and ``y`` = the target now."""
+def lookback_blocks(df: DataFrame, columns: list[str], target: str, length: int = 60, series: Series = SERIES) -> DataFrame:
+    """The rows of each block, and the ``length`` rows before it, as arrays: (key, block, ``_dates``, ``_x``, ``_y``).
+
+    What is shuffled, and may be kept, has each row once, but for those copied into the next block: windows of any length
+    share these arrays, and are cut out of them where they are used.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    row = F.struct(F.col(POS), F.col(series.date).alias("date"), values, F.col(target).cast("double").alias("y"))
+    laid = lay_out(df, length, series).select(series.key, BLOCK, row.alias("_row"))
+    # Windows multiply what follows: with a number of its own, small blocks aren't merged into few tasks.
+    laid = laid.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), series.key, BLOCK)
+    blocks = laid.groupBy(series.key, BLOCK).agg(F.sort_array(F.collect_list("_row")).alias("_rows")).where(F.size("_rows") > length)
+    each = {"_dates": "date", "_x": "x", "_y": "y"}
+    return blocks.select(series.key, BLOCK, *[F.col(f"_rows.{field}").alias(name) for name, field in each.items()])
+
 
-    def windows(w):
-        before = w.rowsBetween(-length, -1)
-        values = F.array(*[F.col(c).cast("double") for c in columns])
-        return {"X": F.collect_list(values).over(before), "y": F.col(target).cast("double")}
+def windows_of(blocks: DataFrame, length: int, series: Series = SERIES) -> DataFrame:
+    """(date, key, X, y) from the arrays of ``lookback_blocks``."""
 
-    rows = over_blocks(df, length, windows, series=series)
-    return rows.where(F.size("X") == length).select(series.date, series.key, "X", "y")
+    def window(at: Column) -> Column:
+        # Not a slice: that would go through the whole array for each window.
+        rows = F.transform(F.sequence(at - length, at - 1), lambda i: F.get("_x", i))
+        return F.struct(F.get("_dates", at).alias(series.date), rows.alias("X"), F.get("_y", at).alias("y"))
+
+    every = F.transform(F.sequence(F.lit(length), F.size("_x") - 1), window)
+    return blocks.select(series.key, F.inline(every)).select(series.date, series.key, "X", "y")
+
+
+def lookback(df: DataFrame, columns: list[str], target: str, length: int = 60, series: Series = SERIES) -> DataFrame:
+    """Rows with ``X`` = the ``length`` rows before (oldest first) and ``y`` = the target now."""
+    return windows_of(lookback_blocks(df, columns, target, length, series), length, series)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import attach_per_key, over_blocks
+from tidemark.operators.features import lookback_blocks, windows_of
 from tidemark.operators.rolling import diff, last_n, shift
 from tidemark.series import SERIES, Series
 
@@ -145,10 +146,78 @@ def ar_exog_forecast(
     return stepped(solved, path, F.col("_last"), steps, series)
 
 
-def fit_lookback(sequences: DataFrame, regularisation: float = 1e-6) -> LinearRegressionModel:
-    """One linear model over the look-back rows of all keys (``X``, ``y``)."""
-    flat = sequences.select(array_to_vector(F.flatten("X")).alias("features"), F.col("y").alias("label"))
-    return LinearRegression(regParam=regularisation, standardization=False).fit(flat)
+@dataclass(frozen=True)
+class LookbackModel:
+    """Weights of the flattened look-back rows, oldest row first, and a constant."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+
+def fit_lookback(
+    df: DataFrame, columns: list[str], target: str, length: int = 60, regularisation: float = 1e-6, series: Series = SERIES
+) -> LookbackModel:
+    """One linear model over the look-back rows of all keys, by least squares with a small weight on the squared coefficients.
+
+    The windows of a block overlap, so their products are lagged ones: the products of a window's oldest row with each later one
+    are summed up over all windows, and those of its other rows differ from these at the two ends of the block only. So
+    each window adds ``length`` small products instead of one for every pair of its ``length * columns`` values.
+    One row of sums per lag and column, and edges of as many rows as a window has pairs of rows, reach the driver, whatever the data.
+    """
+    size = len(columns)
+    blocks = lookback_blocks(df, columns, target, length, series)
+    products = lambda a, v: [F.sum(F.col(a) * F.get(v, F.lit(b))).alias(f"_p{b}") for b in range(size)]
+    lagged = windows_of(blocks, length, series).select("y", F.get("X", F.lit(0)).alias("_old"), F.posexplode("X").alias("_lag", "_v"))
+    lagged = lagged.select("y", "_lag", "_v", F.posexplode("_old").alias("_c", "_u"))
+    own = F.get("_v", F.col("_c"))
+    sums = lagged.groupBy(F.lit(-1).alias("_i"), "_lag", "_c").agg(
+        *products("_u", "_v"), F.sum(own * F.col("y")).alias("_xy"), F.sum(own).alias("_x"), F.sum("y").alias("_y"), F.count("y").alias("_n")
+    )
+
+    def edge(i: Column) -> Column:
+        count = F.lit(length - 1) - i
+        return F.struct(i.alias("_i"), F.slice("_x", i + 1, count).alias("first"), F.slice("_x", F.size("_x") - length + i + 1, count).alias("last"))
+
+    if length > 1:
+        ends = blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(length - 2)), edge)))
+        both = F.array(F.struct(F.lit(-1.0).alias("sign"), F.col("first").alias("rows")), F.struct(F.lit(1.0).alias("sign"), F.col("last").alias("rows")))
+        ends = ends.select("_i", F.inline(both)).select("_i", "sign", F.get("rows", F.lit(0)).alias("_old"), F.posexplode("rows").alias("_lag", "_v"))
+        ends = ends.select("_i", "_lag", "_v", F.posexplode(F.transform("_old", lambda u: u * F.col("sign"))).alias("_c", "_u"))
+        none = {name: F.lit(None) for name in ("_xy", "_x", "_y", "_n")}
+        sums = sums.unionByName(ends.groupBy("_i", "_lag", "_c").agg(*products("_u", "_v")).withColumns(none))
+    return _solved(sums.toPandas(), size, length, regularisation)
+
+
+def _solved(sums: pd.DataFrame, size: int, length: int, regularisation: float) -> LookbackModel:
+    """The normal equations put together from the sums of ``fit_lookback``, and their solution."""
+    cells = np.zeros((length, length, size, size))  # oldest row of the pair less one, lag, column of each
+    cells[(sums["_i"] + 1).to_numpy(), sums["_lag"].to_numpy(), sums["_c"].to_numpy()] = sums[[f"_p{b}" for b in range(size)]].to_numpy(float)
+    cells = np.cumsum(cells, axis=0)
+    whole = np.zeros((length, size, length, size))
+    for i in range(length):
+        for lag in range(length - i):
+            whole[i, :, i + lag, :] = cells[i, lag]
+            whole[i + lag, :, i, :] = cells[i, lag].T
+    main = sums[sums["_i"] < 0].sort_values(["_lag", "_c"])
+    n = int(main["_n"].iloc[0]) if len(main) else 0
+    if not n:
+        return LookbackModel(np.zeros(length * size), 0.0)
+    mean_x, mean_y = main["_x"].to_numpy(float) / n, float(main["_y"].iloc[0]) / n
+    covariance = whole.reshape(length * size, length * size) / n - np.outer(mean_x, mean_x)
+    with_target = main["_xy"].to_numpy(float) / n - mean_x * mean_y
+    weights = np.linalg.lstsq(covariance + regularisation * np.eye(length * size), with_target, rcond=None)[0]
+    return LookbackModel(weights, mean_y - float(weights @ mean_x))
+
+
+def lookback_residuals(model: LookbackModel, windows: DataFrame, length: int = 60) -> DataFrame:
+    """(lag, column, mean): mean product of the model's residual with each input; all near 0 if it is a least-squares fit."""
+    weights = F.array(*[F.lit(float(v)) for v in model.coefficients])
+    products = F.zip_with(F.flatten("X"), weights, lambda value, weight: value * weight)
+    residual = F.col("y") - F.aggregate(products, F.lit(float(model.intercept)), lambda s, v: s + v)
+    size = len(model.coefficients) // length
+    rows = windows.select(residual.alias("_r"), F.posexplode("X").alias("lag", "_row"))
+    means = rows.groupBy("lag").agg(F.array(*[F.avg(F.col("_r") * F.get("_row", F.lit(b))) for b in range(size)]).alias("_means"))
+    return means.select("lag", F.posexplode("_means").alias("column", "mean"))
 
 
 def last_sequence(df: DataFrame, columns: list[str], length: int = 60, series: Series = SERIES) -> DataFrame:
@@ -164,7 +233,7 @@ def last_sequence(df: DataFrame, columns: list[str], length: int = 60, series: S
 
 
 def rollout(
-    model: LinearRegressionModel, sequences: DataFrame, steps: int = STEPS, target_at: int = 0, series: Series = SERIES
+    model: LookbackModel, sequences: DataFrame, steps: int = STEPS, target_at: int = 0, series: Series = SERIES
 ) -> DataFrame:
     """Predict ``steps`` ahead from the last sequence of each key, feeding predictions back.
 

