@@ -312,6 +312,33 @@ def test_both_medians_of_a_panel(spark, seed):
     assert got == {at: second if v is None else v for at, v in panel.items()}
 
 
+def test_dependent_inputs_have_no_weight(frame):
+    """The same input twice, in other units and constant: forecasts as with it alone."""
+    import random
+
+    rng = random.Random(1)
+    prices = [100.0]
+    for _ in range(60):
+        prices.append(prices[-1] + rng.gauss(0, 1))
+    rows = frame(days(prices)).withColumn("x", F.col("Close") % 7)
+    alone = [r.forecast for r in forecast.ar_exog_forecast(rows, ["x"], 5, series=PANEL).orderBy("step").collect()]
+    doubled = rows.withColumns({"y": 1e6 * F.col("x") - 3, "z": F.lit(4.0)})
+    both = [r.forecast for r in forecast.ar_exog_forecast(doubled, ["x", "y", "z"], 5, series=PANEL).orderBy("step").collect()]
+    assert both == pytest.approx(alone, rel=1e-9)
+
+
+def test_swept_systems_equal_a_solver(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (1, 4, 9):
+        a = rng.normal(size=(30, size))
+        system, right = a.T @ a / 30, rng.normal(size=size)
+        rows = [[*map(float, row), float(b)] for row, b in zip(system, right)]
+        got = spark.createDataFrame([(rows,)], "m array<array<double>>").select(forecast.swept(F.col("m"), size).alias("w")).first().w
+        np.testing.assert_allclose(got, np.linalg.solve(system, right), rtol=1e-8)
+
+
 def test_short_series_have_all_steps(frame):
     rows = frame(days([5, 6, 8, 9])).withColumn("x", F.lit(1.0))
     assert forecast.ar_exog_forecast(rows, ["x"], 7, series=PANEL).count() == 7

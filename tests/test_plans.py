@@ -43,7 +43,7 @@ def test_running_totals_add_only_the_block_table(panel):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["densify", "panel", "panel_driven", "tweet_driven", "return_kde", "return_histogram", "horizon", "compare_forecast"])
+@pytest.mark.parametrize("name", ["densify", "panel", "panel_driven", "tweet_driven", "return_kde", "return_histogram", "horizon", "compare_forecast", "ar_exog_forecast"])
 def test_no_cross_joins(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

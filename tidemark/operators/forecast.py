@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,32 +76,59 @@ def ar_forecast(df: DataFrame, steps: int = STEPS, price: str = "Close", series:
     return stepped(fit, path, F.col("_last"), steps, series)
 
 
-def least_squares(inputs: int) -> Callable[[Column, Column], Column]:
-    """Column function from covariances and means to coefficients: one small system per row.
+#: A pivot of the unit-variance system below this is none: the input depends on those already taken.
+DEPENDENT = 1e-10
 
-    The covariances are the upper triangle over the inputs and then the target. Inputs are scaled
-    to unit variance first; inputs that depend on each other share their effect.
+
+def swept(system: Column, size: int) -> Column:
+    """Weights that solve a symmetric system of ``size`` rows, each with its right side behind it, by a fold over arrays.
+
+    Each step takes the unused input with the largest remaining diagonal, and eliminates it from all other rows. Inputs
+    whose diagonal is used up depend on the others, and get weight 0.
     """
+    start = F.struct(system.alias("rows"), F.array_repeat(F.lit(False), size).alias("used"))
+
+    def step(state: Column, _: Column) -> Column:
+        left = F.transform(state["rows"], lambda row, i: F.struct(F.when(F.get(state["used"], i), -1.0).otherwise(F.get(row, i)).alias("d"), (-i).alias("i")))
+
+        def eliminate(best: Column) -> Column:
+            at = -best["i"]
+            pivot = F.transform(F.get(state["rows"], at), lambda v: v / best["d"])
+
+            def reduced(row: Column, i: Column) -> Column:
+                return F.when(i == at, pivot).otherwise(F.zip_with(row, pivot, lambda v, p: v - F.get(row, at) * p))
 
-    def solve(covariances: pd.Series, averages: pd.Series) -> pd.DataFrame:
-        import numpy as np
+            used = F.transform(state["used"], lambda u, i: u | (i == at))
+            done = F.struct(F.transform(state["rows"], reduced).alias("rows"), used.alias("used"))
+            return F.when(best["d"] > DEPENDENT, done).otherwise(state)
 
-        size = inputs + 1
-        upper = np.triu_indices(size)
-        full = np.zeros((len(covariances), size, size))
-        full[:, upper[0], upper[1]] = np.stack([np.asarray(c, dtype=float) for c in covariances])
-        full = np.nan_to_num(full)
-        full += np.swapaxes(np.triu(full, 1), 1, 2)
-        scale = np.sqrt(np.diagonal(full, axis1=1, axis2=2))
-        scale = np.where(scale == 0, 1.0, scale)
-        unit = full / (scale[:, :, None] * scale[:, None, :])
-        inverse = np.linalg.pinv(unit[:, :-1, :-1], rcond=1e-10, hermitian=True)
-        weights = (inverse @ unit[:, :-1, -1:])[:, :, 0] * scale[:, -1:] / scale[:, :-1]
-        means = np.nan_to_num(np.stack([np.asarray(a, dtype=float) for a in averages]))
-        drift = means[:, -1] - (weights * means[:, :-1]).sum(axis=1)
-        return pd.DataFrame({"weights": list(weights), "drift": drift})
+        # An array of one pivot, mapped over: so it is sought once, not once per use.
+        return F.get(F.transform(F.array(F.array_max(left)), eliminate), F.lit(0))
 
-    return F.pandas_udf(solve, "weights array<double>, drift double")
+    def weights(state: Column) -> Column:
+        return F.transform(state["rows"], lambda row, i: F.when(F.get(state["used"], i), F.element_at(row, -1)).otherwise(0.0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step, weights)
+
+
+def with_least_squares(fit: DataFrame, inputs: int) -> DataFrame:
+    """Add ``_weights`` and ``_drift`` from ``_cov``, the upper triangle of covariances over the inputs and then the target, and the means ``_avg``.
+
+    Inputs are scaled to unit variance first, so the size of their units doesn't matter.
+    """
+    size = inputs + 1
+    place = {pair: n for n, pair in enumerate((i, j) for i in range(size) for j in range(i, size))}
+    known = lambda i, j: F.coalesce(F.get("_cov", F.lit(place[min(i, j), max(i, j)])), F.lit(0.0))
+    spreads = [F.when(known(i, i) > 0, F.sqrt(known(i, i))).otherwise(1.0) for i in range(size)]
+    fit = fit.withColumn("_spread", F.array(*spreads))
+    cell = lambda i, j: known(i, j) / (F.get("_spread", F.lit(i)) * F.get("_spread", F.lit(j)))
+    fit = fit.withColumn("_system", F.array(*[F.array(*[cell(i, j) for j in range(size)]) for i in range(inputs)]))
+    unit = F.transform(swept(F.col("_system"), inputs), lambda w, i: w * F.element_at("_spread", -1) / F.get("_spread", i))
+    fit = fit.withColumn("_weights", unit)
+    mean = lambda c: F.coalesce(c, F.lit(0.0))
+    told = F.zip_with("_weights", F.slice("_avg", 1, inputs), lambda w, m: w * mean(m))
+    drift = mean(F.element_at("_avg", -1)) - F.aggregate(told, F.lit(0.0), lambda s, v: s + v)
+    return fit.withColumn("_drift", drift).drop("_system", "_spread")
 
 
 def ar_exog_forecast(
@@ -110,9 +136,9 @@ def ar_exog_forecast(
 ) -> DataFrame:
     """As ``ar_forecast`` with further inputs; their last ``steps`` rows stand in for the future.
 
-    One aggregate with partial sums gives all covariances of a key; only that one row per key
-    reaches Python, where the small linear systems of a batch are solved at once. A key with fewer
-    rows than ``steps`` has its last row's inputs repeated, so there are always ``steps`` forecasts.
+    One aggregate with partial sums gives all covariances of a key, and its small linear system is solved in the row. Of
+    inputs that depend on each other, those taken later have no weight. A key with fewer rows than ``steps`` has its
+    last row's inputs repeated, so there are always ``steps`` forecasts.
     """
     names = ["_d_before", *exog, "_d"]
     inputs = F.array(*[F.col(c).cast("double") for c in exog])
@@ -134,12 +160,12 @@ def ar_exog_forecast(
         F.max(series.date).alias("_last_day"),
     )
     fit = fit.join(newest, fit[series.key].eqNullSafe(newest["_own"])).drop("_own")
-    solved = fit.withColumn("_model", least_squares(len(names) - 1)("_cov", "_avg"))
-    weights = F.col("_model.weights")
+    solved = with_least_squares(fit, len(names) - 1)
+    weights = F.col("_weights")
     exog_weights = F.slice(weights, 2, len(exog))
     effect = F.transform(
         "_future",
-        lambda future: F.col("_model.drift")
+        lambda future: F.col("_drift")
         + F.aggregate(F.zip_with(exog_weights, future, lambda g, x: g * x), F.lit(0.0), lambda s, v: s + v),
     )
     path = summed_path(effect, F.get(weights, F.lit(0)), F.coalesce(F.col("_d_last"), F.lit(0.0)), steps)
