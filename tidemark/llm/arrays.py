@@ -103,5 +103,7 @@ def byte_table(blanks: bytes, cuts: bytes = b"", lower: bool = False) -> bytes:
 
 def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Numbers of the stretches of so many from each beginning, one behind the other."""
-    stops = np.cumsum(sizes)
-    return np.repeat(begins - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
+    stops = np.cumsum(sizes, dtype=begins.dtype)
+    at = np.repeat(begins - (stops - sizes), sizes)
+    at += np.arange(len(at), dtype=at.dtype)
+    return at

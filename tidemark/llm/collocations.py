@@ -45,7 +45,7 @@ MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def digests(values: pa.Array) -> np.ndarray:
     """64 bits for each of the binary values, told by their bytes alone."""
     coded = values.dictionary_encode()
-    listed = np.array(coded.dictionary.to_pylist() + [b""], dtype=object)[:-1]
+    listed = coded.dictionary.to_numpy(zero_copy_only=False)
     made = pd.util.hash_array(listed, categorize=False) if len(listed) else np.zeros(0, np.uint64)
     return made[coded.indices.to_numpy()]
 

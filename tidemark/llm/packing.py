@@ -101,8 +101,7 @@ def token_pieces(
             for part in text_slices(batch.column(1), SLICE_BYTES):
                 yield _pieces(batch.column(0).slice(done, len(part)), id, *encoder.encode(part), end_id, window, with_ids * id_bytes)
                 done += len(part)
-        encoder.clear()
-        release_memory()
+            release_memory()
 
     return docs.select(F.col(id), F.col(text)).mapInArrow(cut, schema)
 
