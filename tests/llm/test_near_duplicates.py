@@ -86,3 +86,12 @@ def test_edges(spark):
     assert got == sorted(want, key=repr)
     assert sorted(r.doc_id or -1 for r in nd.without_near_duplicates(docs).collect()) == [-1, -1, -1, 5, 6]
     assert nd.link_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """A text that shares its id with a copy isn't lost, and rows without id or text stay."""
+    a, b = "one two three four five six seven", "quite another text of some more words"
+    rows = [(0, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "w"), (None, a, "n"), (3, None, "e"), (4, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
+    left = without_near_duplicates(docs)
+    assert sorted(r.words for r in left.collect()) == ["e", "f", "n", "x", "y", "z"]

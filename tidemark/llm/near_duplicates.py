@@ -75,8 +75,13 @@ def link_near_duplicates(docs: DataFrame, percent: int = 80, id: str = "doc_id",
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which ``link_near_duplicates`` keeps the row: one of each component."""
-    dropped = link_near_duplicates(docs, percent, id, text).where("not kept").select(F.col(id).alias("_dropped")).distinct()
+    """One document of each component of ``link_near_duplicates``.
+
+    Edge cases are as there. Rows with equal identifiers are one document: all of them stay if any one of them is kept, so no text is
+    lost whose like isn't kept. Rows without text, words or identifier stay. Other columns pass through.
+    """
+    linked = link_near_duplicates(docs, percent, id, text).where(F.col(id).isNotNull())
+    dropped = linked.groupBy(F.col(id).alias("_dropped")).agg(F.bool_or("kept").alias("_any")).where("not _any").select("_dropped")
     return docs.join(dropped, docs[id] == dropped["_dropped"], "left_anti")
 
 

@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds the places where personal data can be: at-signs, schemes, plus
-signs, digits, and words that announce an account number. From each such anchor a small
+signs, digits, words that announce an account number, and words and prefixes that announce a secret. From each such anchor a small
 deterministic parser walks outwards to the exact limits and checks what it found. All parsers are
 linear in the characters they walk over, and none walks over the same stretch twice, so long runs of
 digits or of local parts cost no more than any other text.
@@ -23,7 +23,7 @@ from tidemark.llm.arrays import text_slices, without
 
 #: The base kinds, in the order in which spans are listed, and the kinds the anchors add.
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("url", "account")
+ADDED_KINDS = ("url", "account", "secret")
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -32,9 +32,34 @@ PHONE_BODY = frozenset(DIGITS + " ().-")
 SCHEMES = frozenset(["http", "https", "ftp", "ftps", "sftp", "ssh"])
 ACCOUNT_CUES = ("iban", "Iban", "IBAN", "account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "konto", "Konto", "KONTO")
 
+SECRET_WORDS = ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key", "client_key", "auth_key")
+SECRET_CUES = tuple(form for word in SECRET_WORDS for form in (word, word.capitalize(), word.upper()))
+# How secrets of well-known services begin, and what follows, by its characters and length.
+SECRET_FORMS = {
+    "AKIA": r"[A-Z0-9]{16}",
+    "ASIA": r"[A-Z0-9]{16}",
+    "ghp_": r"[A-Za-z0-9]{36}",
+    "gho_": r"[A-Za-z0-9]{36}",
+    "glpat-": r"[A-Za-z0-9_-]{20}",
+    "AIza": r"[A-Za-z0-9_-]{35}",
+    "xoxb-": r"[A-Za-z0-9-]{20,80}",
+    "xoxp-": r"[A-Za-z0-9-]{20,80}",
+    "eyJ": r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+}
+#: Characters of a secret behind a cue, and how many at least; fewer letters and digits of both kinds are a common word.
+LEAST_SECRET, MOST_SECRET = 8, 512
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_HOST = re.compile(r"(?:[^/?#@]*@)?((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z0-9-]{2,63})(?::[0-9]{1,5})?(?=[/?#]|$)")
+# A host with a dot, perhaps behind a name and before a port, then a path or what ends a URL. No more is read than up to the next slash.
+_HOST = re.compile(
+    r"(?:[^\s<>\"'`{}|\\^/?#@]*@)?(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z0-9-]{2,63}(?::[0-9]{1,5})?"
+    r"(?=[/?#]|[.,;:!?)\]]*(?:[\s<>\"'`{}|\\^]|$))"
+)
+_AFTER_CUE = re.compile(r"[A-Za-z0-9_]{0,16}[\"']?\s{0,2}(?::=|=>|[=:])\s{0,2}[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9+/_\-.=~!@#$%^&*]" + f"{{{LEAST_SECRET},{MOST_SECRET}}}")
+_FORMS = {prefix: re.compile(rest) for prefix, rest in SECRET_FORMS.items()}
+_WORD_SIGN = re.compile(r"[A-Za-z0-9_-]")
 _IBAN = re.compile(r"[ :=#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?: (?:number|num|no|nr)\b\.?)?[ :=#.]{0,3}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])")
 
@@ -87,8 +112,10 @@ def redacted(text: str | Column, spans: str | Column) -> Column:
 
 def anchor_automaton() -> ahocorasick.Automaton:
     anchors = ahocorasick.Automaton()
-    for word, kind in [("@", "@"), ("://", ":"), ("+", "+")] + [(d, "0") for d in DIGITS] + [(c, "a") for c in ACCOUNT_CUES]:
+    for word, kind in [("@", "@"), ("://", ":"), ("+", "+")] + [(d, "0") for d in DIGITS] + [(c, "a") for c in ACCOUNT_CUES] + [(c, "s") for c in SECRET_CUES]:
         anchors.add_word(word, kind)
+    for prefix in SECRET_FORMS:
+        anchors.add_word(prefix, prefix)
     anchors.make_automaton()
     return anchors
 
@@ -122,6 +149,13 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[dict]:
             span = _account(text, last + 1)
             free["account"] = span[1] if span else free["account"]
             add("account", span)
+        elif anchor == "s" and last >= free["secret"]:
+            span, free["secret"] = _secret(text, last + 1)
+            add("secret", span)
+        elif anchor in _FORMS and last - len(anchor) + 1 >= free["secret"]:
+            span = _known_form(text, last - len(anchor) + 1, anchor)
+            free["secret"] = span[1] if span else free["secret"]
+            add("secret", span)
     return [{"kind": kind, "start": start, "end": end} for kind, spans in found.items() for start, end in spans]
 
 
@@ -205,11 +239,34 @@ def _url(text: str, colon: int, rest: int) -> tuple[int, int] | None:
     start = colon
     while start > 0 and colon - start < 6 and text[start - 1] in LETTERS:
         start -= 1
-    body = _URL_REST.match(text, rest)
-    if text[start:colon].lower() not in SCHEMES or body is None:
+    if text[start:colon].lower() not in SCHEMES or _HOST.match(text, rest) is None:
+        return None
+    kept = _URL_REST.match(text, rest)[0].rstrip(".,;:!?)]")
+    return start, rest + len(kept)
+
+
+def _secret(text: str, after: int) -> tuple[tuple[int, int] | None, int]:
+    """What is assigned to a word for a secret: letters and digits, both, or letters of both cases and signs; and how far was read.
+
+    Where the characters read aren't mixed enough, those from a later cue on aren't either.
+    """
+    assigned = _AFTER_CUE.match(text, after)
+    value = assigned and _SECRET.match(text, assigned.end())
+    if not value:
+        return None, after
+    kept = value[0].rstrip(".,;:!?")
+    has = [any(c in kind for c in kept) for kind in (DIGITS, LETTERS[:26], LETTERS[26:])]
+    other = any(c not in LETTERS and c not in DIGITS for c in kept)
+    mixed = (has[0] and (has[1] or has[2])) or (has[1] and has[2] and other)
+    return ((value.start(), value.start() + len(kept)) if len(kept) >= LEAST_SECRET and mixed else None), value.end()
+
+
+def _known_form(text: str, start: int, prefix: str) -> tuple[int, int] | None:
+    """A secret told by its beginning, that stands alone and has the right length."""
+    if start and _WORD_SIGN.match(text[start - 1]):
         return None
-    kept = body[0].rstrip(".,;:!?)]")
-    return (start, rest + len(kept)) if _HOST.match(kept) else None
+    rest = _FORMS[prefix].match(text, start + len(prefix))
+    return (start, rest.end()) if rest and not _WORD_SIGN.match(text[rest.end() : rest.end() + 1]) else None
 
 
 def _account(text: str, after: int) -> tuple[int, int] | None:
