@@ -93,5 +93,5 @@ def test_rows_of_one_id_are_one_document(spark):
     a, b = "one two three four five six seven", "quite another text of some more words"
     rows = [(0, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "w"), (None, a, "n"), (3, None, "e"), (4, "", "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
-    left = without_near_duplicates(docs)
+    left = nd.without_near_duplicates(docs)
     assert sorted(r.words for r in left.collect()) == ["e", "f", "n", "x", "y", "z"]
