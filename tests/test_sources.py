@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.series import PANEL
 from tidemark.operators.calendar import densify, horizon, with_warmup
 from tidemark.operators.indicators import add_indicators
-from tidemark.sources import read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
+from tidemark.sources import missing_keys, read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
 
 
 def test_all_price_files_in_one_scan(spark, price_folder, price_files):
@@ -29,6 +30,19 @@ def test_missing_files_are_passed_over(spark, price_folder, price_files):
         read_prices(spark, "/nowhere/at/all")
 
 
+def test_many_keys_and_odd_names(spark, price_folder, price_files, tmp_path):
+    """Fifty thousand keys are a table that the file list is joined with; missing ones are told; names are no patterns."""
+    keys = [f"none-{i}" for i in range(50_000)] + ["BETA", "^IDX"]
+    start = time.perf_counter()
+    rows = read_prices(spark, price_folder, spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert time.perf_counter() - start < 20
+    assert {r.Ticker for r in rows.select("Ticker").distinct().collect()} == {"BETA", "^IDX"}
+    assert sorted(r.key for r in missing_keys(spark, price_folder, ["ALFA", "NONE", "alfa"]).collect()) == ["NONE", "alfa"]
+    for name in ("A[b]", "Ab", "A{b,c}", "A*"):
+        price_files["ALFA"].head(2).to_csv(tmp_path / f"{name}.csv", index=False)
+    assert {r.Ticker for r in read_prices(spark, str(tmp_path), ["A[b]", "A{b,c}", "A*"]).collect()} == {"A[b]", "A{b,c}", "A*"}
+
+
 def test_all_price_columns(spark, price_folder):
     rows = read_prices(spark, price_folder, ["ALFA"], all_columns=True)
     assert {"Open", "High", "Low", "Adj Close", "Ticker"} <= set(rows.columns)

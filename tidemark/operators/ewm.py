@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, number_rows, place, so_far, trim
+from tidemark.functions.numbers import nan_to_null
+from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, number_rows, place, so_far, trim, whole_div
 from tidemark.operators.cumulative import ffill
 from tidemark.series import SERIES, Series
 
@@ -153,6 +154,78 @@ def ewm_mean_with_gaps(df: DataFrame, c: str, span: float, out: str, series: Ser
     return ffill(df.join(means, [key, date], "left").select(*df.columns, out), [out], series)
 
 
+def ewm_means_over_gaps(df: DataFrame, means: dict[str, tuple[str, float]], series: Series = SERIES) -> DataFrame:
+    """Add exponentially weighted means of series with NULLs anywhere, by the recursion itself, per entry ``{out: (column, span)}``.
+
+    After a gap the old mean has faded by q per row passed, and both weights are scaled to sum to one; rows without a
+    value repeat the mean before. So each row changes the mean y to a * y + b, and so does a block as a whole: blocks are
+    summed up to their (a, b) first, these are put together in order, at most 892 per key, and each block then
+    starts from the mean it is handed. Nothing before a block is copied into it, and no old value is cut off. NaN counts as NULL.
+    """
+    key, rates = series.key, [decay(span) for _, span in means.values()]
+    values = F.array(*[nan_to_null(F.col(c).cast("double")) for c, _ in means.values()])
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in means])
+    rows = number_rows(df, series).select(F.col(key).alias("_key"), whole_div(F.col(POS), series.block_rows).alias(BLOCK), F.struct(F.col(POS).alias("pos"), values.alias("v"), kept.alias("row")).alias("_r"))
+    in_order = lambda c: F.array_sort(c, lambda a, b: (a["pos"] - b["pos"]).cast("int"))
+    blocks = rows.groupBy("_key", BLOCK).agg(in_order(F.collect_list("_r")).alias("_rows"))
+    unknown, nowhere = F.lit(None).cast("double"), F.lit(None).cast("bigint")
+
+    def faded(q: float, gap: Column) -> Column:
+        f = F.pow(F.lit(q), gap)
+        return f / (f + (1 - q))
+
+    def moved(q: float, y: Column, at: Column, x: Column, pos: Column) -> Column:
+        """The mean after one more row: (y, at)."""
+        a = faded(q, pos - at)
+        new = F.when(y.isNull(), x).otherwise(a * y + (1 - a) * x)
+        return F.struct(F.coalesce(new, y).alias("y"), F.when(x.isNotNull(), pos).otherwise(at).alias("at"))
+
+    def summed(state: Column, r: Column) -> Column:
+        parts = []
+        for i, q in enumerate(rates):
+            s, x = state[f"m{i}"], F.get(r["v"], F.lit(i))
+            a = faded(q, r["pos"] - s["at"])
+            begun = s["first"].isNotNull()
+            new = F.struct(
+                F.coalesce(s["first"], r["pos"]).alias("first"),
+                F.coalesce(s["x"], x).alias("x"),
+                F.when(begun, a * s["a"]).otherwise(1.0).alias("a"),
+                F.when(begun, a * s["b"] + (1 - a) * x).otherwise(0.0).alias("b"),
+                r["pos"].alias("at"),
+            )
+            parts.append(F.when(x.isNull(), s).otherwise(new).alias(f"m{i}"))
+        return F.struct(*parts)
+
+    empty = F.struct(nowhere.alias("first"), unknown.alias("x"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), nowhere.alias("at"))
+    whole = F.aggregate("_rows", F.struct(*[empty.alias(f"m{i}") for i in range(len(rates))]), summed)
+    start = F.struct(*[F.struct(unknown.alias("y"), nowhere.alias("at")).alias(f"m{i}") for i in range(len(rates))])
+
+    def handed_on(state: Column, block: Column) -> Column:
+        parts = []
+        for i, q in enumerate(rates):
+            s, b = state["now"][f"m{i}"], block["s"][f"m{i}"]
+            first = moved(q, s["y"], s["at"], b["x"], b["first"])["y"]
+            after = F.struct((b["a"] * first + b["b"]).alias("y"), b["at"].alias("at"))
+            parts.append(F.when(b["first"].isNull(), s).otherwise(after).alias(f"m{i}"))
+        told = F.concat(state["told"], F.array(F.struct(block["pos"].alias(BLOCK), state["now"].alias("_in"))))
+        return F.struct(F.struct(*parts).alias("now"), told.alias("told"))
+
+    summaries = blocks.select("_key", F.struct(F.col(BLOCK).alias("pos"), whole.alias("s")).alias("_b")).groupBy("_key").agg(in_order(F.collect_list("_b")).alias("_bs"))
+    kind = F.array().cast(f"array<struct<{BLOCK}:bigint,_in:struct<{','.join(f'm{i}:struct<y:double,at:bigint>' for i in range(len(rates)))}>>>")
+    told = F.aggregate("_bs", F.struct(start.alias("now"), kind.alias("told")), handed_on, lambda state: state["told"])
+    entries = summaries.select("_key", F.inline(told))
+
+    def walked(state: Column, r: Column) -> Column:
+        parts = [moved(q, state["now"][f"m{i}"]["y"], state["now"][f"m{i}"]["at"], F.get(r["v"], F.lit(i)), r["pos"]).alias(f"m{i}") for i, q in enumerate(rates)]
+        now = F.struct(*parts)
+        return F.struct(now.alias("now"), F.concat(state["ys"], F.array(F.array(*[p["y"] for p in [now[f"m{i}"] for i in range(len(rates))]]))).alias("ys"))
+
+    ys = F.aggregate("_rows", F.struct(F.col("_in").alias("now"), F.array().cast("array<array<double>>").alias("ys")), walked, lambda state: state["ys"])
+    done = blocks.join(entries, ["_key", BLOCK]).select(F.col("_rows.row").alias("_rows"), ys.alias("_ys"))
+    each = done.select(F.inline(F.arrays_zip("_rows", "_ys")))
+    return each.select("_rows.*", *[F.get("_ys", F.lit(i)).alias(out) for i, out in enumerate(means)])
+
+
 def chained(outer: float, inner: float, mean_outer: Column, mean_inner: Column) -> Column:
     """ewm(outer) applied to ewm(inner), from the two single means of the same input.
 

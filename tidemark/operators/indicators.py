@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import ratio
 from tidemark.operators.blocks import block_window, lay_out, place, trim
 from tidemark.operators.cumulative import running_sum
-from tidemark.operators.ewm import carried_over, chained, combined, local_sums, reach
+from tidemark.operators.ewm import carried_over, chained, combined, ewm_means_over_gaps, local_sums, reach
 from tidemark.operators.rolling import diff, rolling_max, rolling_mean, rolling_min, rolling_std, shift
 from tidemark.series import SERIES, Series
 
@@ -158,6 +158,18 @@ PRICE_INDICATORS = [name for name in INDICATORS if not name.startswith("Sentimen
 MODEL_FEATURES = ["SMA_20", "SMA_50", "EMA_20", "RSI", "MACD", "ATR", "Stochastic_K", "OBV"]
 
 
+def exponential_over_gaps(df: DataFrame, inputs: Inputs = Inputs(), series: Series = SERIES) -> DataFrame:
+    """Add EMA_20, MACD and Signal_Line of prices with NULLs anywhere, as the recursion gives them.
+
+    A day without a price repeats its means, so the signal line has no gaps once there is a price. This takes two shuffles;
+    ``add_indicators`` takes one, for prices without gaps.
+    """
+    first = {"EMA_20": (inputs.price, MIDDLE), "_mean_fast": (inputs.price, MACD_FAST), "_mean_slow": (inputs.price, MACD_SLOW)}
+    rows = ewm_means_over_gaps(df, first, series).withColumn("MACD", F.col("_mean_fast") - F.col("_mean_slow"))
+    rows = ewm_means_over_gaps(rows.drop("_mean_fast", "_mean_slow"), {"Signal_Line": ("MACD", MACD_SIGNAL)}, series)
+    return rows.select(*[c for c in df.columns if c not in ("EMA_20", "MACD", "Signal_Line")], "EMA_20", "MACD", "Signal_Line")
+
+
 def add_indicators(
     df: DataFrame, names: list[str] | None = None, inputs: Inputs = Inputs(), series: Series = SERIES
 ) -> DataFrame:

@@ -319,6 +319,22 @@ def short_lookback(length: int, steps: int) -> str:
     return with_tables(["panel"], panel_rows("ahead", {"step": "step", "forecast": "forecast"}), tables)
 
 
+def over_gaps() -> str:
+    """Exponential indicators of a grid with NULL prices: a recursion over the known days, repeated over the others."""
+    tables = {"placed": f"SELECT *, row_number() OVER ({FULL}) AS p FROM grid"}
+    joined = "placed"
+    for span in (12, 20, 26):
+        q = f"{1 - 2 / (span + 1)!r}"
+        a = f"(pow({q}, x.p - s.p) / (pow({q}, x.p - s.p) + (1 - {q})))"
+        fold = f"list_reduce(xs, lambda s, x: {{'p': x.p, 'c': {a} * s.c + (1 - {a}) * x.c}}).c"
+        tables[f"e{span}"] = f"SELECT d, k, {fold} AS e{span} FROM (SELECT d, k, list({{'p': p, 'c': c}}) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS xs FROM placed WHERE c IS NOT NULL)"
+        joined += f" LEFT JOIN e{span} USING (d, k)"
+    held = ", ".join(f"last_value(e{span} IGNORE NULLS) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS e{span}" for span in (12, 20, 26))
+    tables["held"] = f"SELECT d, k, {held} FROM {joined}"
+    tables["lines"] = f"SELECT *, e12 - e26 AS macd, list(e12 - e26) FILTER (e12 IS NOT NULL) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS ms FROM held"
+    return with_tables(["grid"], panel_rows("lines", {"EMA_20": "e20", "MACD": "macd", "Signal_Line": ewm("ms", 9)}), tables)
+
+
 def exogenous() -> str:
     """Autoregression of the changes with the model's inputs: normal equations by elimination, one step per input."""
     names = ["before", *[everything(FEATURES)[f] for f in FEATURES], "dc"]
@@ -378,6 +394,10 @@ SQL: dict[str, str] = {
     "write_read_roundtrip": with_tables(["panel"], panel_rows("panel", PRICE)),
     "read_some_keys": with_tables(["panel"], panel_rows("panel", PRICE, "WHERE k IN ('2-HIGH', '5-LOW')")),
     "csv_roundtrip": with_tables(["panel"], panel_rows("panel", {**PRICE, "nth": "row_number() OVER (PARTITION BY k, (d - DATE '1970-01-01') // 4096 ORDER BY d)"})),
+    "price_files": with_tables(["ticks", "prices"], panel_rows("prices WHERE k IN ('1-URGENT', '5-LOW')", {"Close": "c", "Volume": "CAST(v AS BIGINT)"})),
+    "price_files_missing": "SELECT unnest(['6-UNKNOWN', 'no [such] key']) AS key",
+    "tweet_files": f"""SELECT strftime(CAST(DATE '1995-01-01' + CAST(doc_id // 15 % 2405 AS INTEGER) AS DATE), '%Y-%m-%d') AS "Date", {KEY_CASE} AS "Ticker",
+        count(*) AS n, md5(string_agg(md5(text), ',' ORDER BY md5(text))) AS digest FROM documents WHERE doc_id % 5 IN (0, 3) GROUP BY 1, 2""",
     "panel_of_gappy_prices": with_tables(["days"], panel_rows("gappy_panel", PRICE), GAPPY),
     "tweet_driven_gappy_prices": with_tables(["days", "spoken"], panel_rows("spoken LEFT JOIN gappy_dense USING (d, k)", {**PRICE, "sentiment": "s"}), GAPPY),
     "iso_date": """SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "Date", count(*) AS n FROM orders GROUP BY 1""",
@@ -390,6 +410,7 @@ SQL: dict[str, str] = {
     "cumsum": with_tables(["panel"], panel_rows("panel", {"Volume_total": f"sum(v) OVER ({FULL} ROWS UNBOUNDED PRECEDING)"})),
     "cumreturn": with_tables(["steps"], panel_rows("steps", {"Cumulative_Return": f"CASE WHEN r IS NOT NULL THEN {CUMULATIVE} END"})),
     "ema_sparse": with_tables(["prices"], panel_rows(f"(SELECT d, k, list(c) OVER ({FULL} ROWS UNBOUNDED PRECEDING) AS cs FROM prices)", {"EMA_20": ewm("cs", 20)})),
+    "indicators_over_gaps": over_gaps(),
     "ema_with_gaps": with_tables(
         ["grid"],
         panel_rows(

@@ -15,12 +15,12 @@ from tidemark.functions import clean_text
 from tidemark.functions.dates import parse_date
 from tidemark.operators import aggregates, calendar, cumulative, ewm, features, filling, forecast, rolling, statistics
 from tidemark.operators.blocks import over_blocks
-from tidemark.operators.indicators import add_indicators, rsi_flags
+from tidemark.operators.indicators import add_indicators, exponential_over_gaps, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market, panels
 from tidemark.series import PANEL
 from tidemark.session import new_table_path, written
-from tidemark.sources import read_panel, standardize, union_prices, write_panel
+from tidemark.sources import missing_keys, read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,6 +219,43 @@ def csv_roundtrip(spark, folder):
     return rows.select("Date", "Ticker", "Close", "Volume", F.row_number().over(in_file).alias("nth"))
 
 
+def written_price_files(spark: SparkSession, folder: str) -> str:
+    """A folder with a price file per key, named by it, as price files come: all columns, days with orders only."""
+    root = scratch_folder(spark)
+    rows = market.prices(spark, folder).select("Ticker", "Date", *[F.col("Close").alias(c) for c in ("Open", "High", "Low", "Close", "Adj Close")], F.col("Volume").cast("bigint").alias("Volume"))
+    parts = rows.repartition("Ticker").sortWithinPartitions("Ticker", "Date")
+    parts.write.option("header", True).partitionBy("Ticker").csv(f"{root}/parts")
+    files = spark._jvm.org.apache.hadoop.fs
+    for row in spark.read.format("binaryFile").load(f"{root}/parts").select("path", "Ticker").collect():
+        source, target = files.Path(row.path), files.Path(f"{root}/{row.Ticker}.csv")
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+    return root
+
+
+@query
+def price_files(spark, folder):
+    """Price files of three keys, one of which has none, read out of a folder of all."""
+    return read_prices(spark, written_price_files(spark, folder), ["1-URGENT", "5-LOW", "6-UNKNOWN"])
+
+
+@query
+def price_files_missing(spark, folder):
+    """Customers' order priorities and two keys more: those without a price file."""
+    root = written_price_files(spark, folder)
+    keys = market.table(spark, folder, "orders").select(F.col("o_orderpriority").alias("key"))
+    more = spark.createDataFrame([("6-UNKNOWN",), ("no [such] key",)], "key string")
+    return missing_keys(spark, root, keys.union(more))
+
+
+@query
+def tweet_files(spark, folder):
+    """Texts with blanks, quotes and line breaks written as CSV and read back: days, keys and digests."""
+    path = scratch_folder(spark)
+    market.tweets(spark, folder).drop("doc_id").write.option("header", True).option("escape", '"').csv(path)
+    rows = read_tweets(spark, path, keys=["1-URGENT", "4-NOT SPECIFIED"], multiline=True)
+    return rows.groupBy("Date", "Ticker").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list(F.md5("tweet"))), ",")).alias("digest"))
+
+
 @query
 def panel_of_gappy_prices(spark, folder):
     """Prices of which every third is unknown, through both medians: of observed rows, and of days before a key's first."""
@@ -316,6 +353,14 @@ def ema_with_gaps(spark, folder):
     return rows.select("Date", "Ticker", F.round(F.col("EMA_20").cast("decimal(28,6)"), 1).cast("double").alias("EMA_20"))
 
 
+@query
+def indicators_over_gaps(spark, folder):
+    """Exponential indicators where days without orders stay NULL."""
+    rows = market.ticks(spark, folder)
+    gaps = calendar.densify(market.daily(rows), ("Close",), fill=False, span=calendar.first_and_last_day(rows))
+    return exponential_over_gaps(gaps, series=PANEL).drop("Close")
+
+
 @query
 def last_n(spark, folder):
     return rolling.last_n(market.panel(spark, folder), 7)
