@@ -103,8 +103,8 @@ def tweet_driven(
     tweet_id: str | None = None,
     series: Series = SERIES,
 ) -> DataFrame:
-    """Only days with texts. Observed rows without a price take the median, and are averaged by
-    day after that; days before a key's first row stay NULL."""
+    """Only days with texts. Prices are averaged by day first; observed days without a price to carry take the
+    median, and days before a key's first row stay NULL."""
     chosen = prices if keys is None else filter_keys(prices, keys, series.key)
     span = first_and_last_day(chosen, series.date)
     stretched = written(stretch(daily_mean(chosen, series=series), keys=keys, span=span, series=series), "stretched")

@@ -1,4 +1,4 @@
-"""Session settings for local runs, and reliable lineage cuts."""
+"""Session settings for local runs, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -55,11 +55,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder and continue from the copy."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
