@@ -13,8 +13,10 @@ from tidemark.functions.numbers import nan_to_null, ratio
 from tidemark.session import written
 
 SALTS = 32
-#: Bandwidths from a value at which its Gaussian kernel is no longer a positive double.
-REACH = 39.0
+#: Bandwidths from a value beyond which its Gaussian kernel, below 3e-18 of its height, is left out of a density.
+REACH = 9.0
+#: Terms of the Hermite series of a cell; with cells of 1/sqrt(2) bandwidths what is left out is below 2e-14 of a kernel's height.
+TERMS = 16
 # Fixed values of 64-bit floating point numbers.
 MANTISSA = 1 << 52
 LEAST_NORMAL, LEAST_DOUBLE = 2.0**-1022, 2.0**-1074
@@ -206,6 +208,23 @@ def histogram(df: DataFrame, c: str, bins: int | str = "auto", by: str | None =
     )
 
 
+def power(x: Column, m: int) -> Column:
+    """``x`` to a small whole power, by products."""
+    if m == 0:
+        return F.lit(1.0)
+    half = power(x, m // 2)
+    return half * half * x if m % 2 else half * half if m > 1 else x
+
+
+def hermite_sum(factors: Column, z: Column) -> Column:
+    """The sum of ``factors[m]`` times the m-th Hermite polynomial, times exp(-z^2), from the last term down."""
+    start = F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("after"), F.lit(TERMS).alias("above"))
+    step = lambda s, a: F.struct(
+        (a + 2 * z * s["b"] - 2 * s["above"] * s["after"]).alias("b"), s["b"].alias("after"), (s["above"] - 1).alias("above")
+    )
+    return F.exp(-z * z) * F.aggregate(F.reverse(factors), start, step, lambda s: s["b"])
+
+
 def kde(
     df: DataFrame, c: str, grid: int = 200, by: str | None = None, cut: float = 3.0, bins: int | None = None
 ) -> DataFrame:
@@ -213,12 +232,16 @@ def kde(
 
     The bandwidth is s * n^(-1/5), and the grid covers ``cut`` bandwidths beyond the data: with 0 it
     ends where the data do. With ``bins`` the column ``count_scaled`` has the curve that fits a histogram
-    of so many bins. Equal values are counted first; each then adds to the grid points within ``REACH``
-    bandwidths, beyond which the kernel is 0 as a double, and those sums are combined before the shuffle,
-    which carries at most ``grid`` rows per task and key.
+    of so many bins.
+
+    A fast Gauss transform: values are put into cells of 1/sqrt(2) bandwidths, of which only ``TERMS``
+    moments about the middle are kept, summed up before the shuffle. The Hermite series of a cell then
+    gives its part of every grid point within ``REACH`` bandwidths. The work is a moment vector per
+    value and a grid per cell; errors are below 2e-14 of the height of one value's kernel. Unknown
+    values don't count, and where the bandwidth is unknown or 0, the density is NULL.
     """
     keys = [by] if by else []
-    known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_v"))
+    known = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("_v"))
     stats = known.groupBy(*keys).agg(
         F.count("_v").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_s")
     )
@@ -227,24 +250,31 @@ def kde(
         *keys,
         "_all",
         "_h",
+        "_lo",
         (F.col("_hi") - F.col("_lo")).alias("_range"),
         (F.col("_lo") - cut * F.col("_h")).alias("_from"),
         ((F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (grid - 1)).alias("_step"),
     )
-    counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    rows = beside(counted, setup, by)
-    place = F.try_divide(F.col("_v") - F.col("_from"), F.col("_step"))
-    span = F.coalesce(F.try_divide(REACH * F.col("_h"), F.col("_step")), F.lit(float(grid)))
-    first = F.greatest(F.ceil(F.coalesce(place, F.lit(0.0)) - span), F.lit(0)).cast("int")
-    last = F.least(F.floor(F.coalesce(place, F.lit(0.0)) + span), F.lit(grid - 1)).cast("int")
+    placed = beside(known, setup.select(*keys, "_lo", "_h"), by).where("_h > 0")
+    place = (F.col("_v") - F.col("_lo")) / (F.col("_h") / math.sqrt(2))
+    cells = placed.select(*keys, F.floor(place).alias("_cell"), (place - F.floor(place) - 0.5).alias("_u"))
+    moments = cells.groupBy(*keys, "_cell").agg(*[F.sum(power(F.col("_u"), m)).alias(f"_m{m}") for m in range(TERMS)])
+    # Moments by half cells, of width h / sqrt(2), become factors of the series in h * sqrt(2).
+    factors = F.array(*[F.col(f"_m{m}") / (2.0**m * math.factorial(m)) for m in range(TERMS)])
+    rows = beside(moments.select(*keys, "_cell", factors.alias("_factors")), setup, by)
+    middle_of = F.col("_lo") + (F.col("_cell") + 0.5) * F.col("_h") / math.sqrt(2)
+    spot = (middle_of - F.col("_from")) / F.col("_step")
+    span = (REACH + 1) * F.col("_h") / F.col("_step")
+    first = F.greatest(F.ceil(spot - span), F.lit(0)).cast("int")
+    last = F.least(F.floor(spot + span), F.lit(grid - 1)).cast("int")
     near = F.when(first <= last, F.sequence(first, last))
     x = F.col("_from") + F.col("point") * F.col("_step")
-    z = F.try_divide(x - F.col("_v"), F.col("_h"))
-    kernel = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    sums = rows.withColumn("point", F.explode(near)).groupBy(*keys, "point").agg(F.sum(F.col("_n") * kernel).alias("_sum"))
+    z = (x - middle_of) / (F.col("_h") * math.sqrt(2))
+    part = hermite_sum(F.col("_factors"), F.col("_z")) / math.sqrt(2 * math.pi)
+    near_cells = rows.withColumn("point", F.explode(near)).select(*keys, "point", "_factors", z.alias("_z"))
+    sums = near_cells.groupBy(*keys, "point").agg(F.sum(part).alias("_sum"))
     every = setup.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     joined = every.join(sums, [*keys, "point"], "left")
-    # Where the bandwidth is unknown or 0, so is the density.
-    density = F.try_divide(F.when(F.col("_h") > 0, F.coalesce("_sum", F.lit(0.0))), F.col("_all") * F.col("_h"))
+    density = F.try_divide(F.when(F.col("_h") > 0, F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(0.0))), F.col("_all") * F.col("_h"))
     scaled = [(density * F.col("_all") * F.col("_range") / bins).alias("count_scaled")] if bins else []
     return joined.select(*keys, "point", x.alias("x"), density.alias("density"), *scaled)
