@@ -7,10 +7,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.series import PANEL
+from tidemark.series import PANEL, Series
 from tidemark.operators.calendar import densify, horizon, with_warmup
 from tidemark.operators.indicators import add_indicators
-from tidemark.sources import missing_keys, read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
+from tidemark.sources import (
+    missing_keys, numbered_panel, panel_files, read_panel, read_panel_dates, read_prices, read_tweets, standardize, union_prices, write_panel,
+)
 
 
 def test_all_price_files_in_one_scan(spark, price_folder, price_files):
@@ -110,3 +112,41 @@ def test_rows_of_a_file_are_in_date_order(spark, tmp_path, panel_folder):
     for file in files:
         days = [line.split(",")[0] for line in file.read_text().splitlines()[1:]]
         assert days == sorted(days) and len(days) > 1
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_files_of_a_key_have_an_order(spark, tmp_path, panel_folder, fmt):
+    """Ranges of files don't overlap, and a range of dates opens those alone that hold some; odd keys and dates too."""
+    path = str(tmp_path / "panel with space")
+    rows = read_panel(spark, panel_folder, "csv").repartition(7)
+    odd = [(dt.date(2020, 3, 1), k, 1.0, 2.0, 0.0) for k in ("A/B", "50% + x", "^[1]")] + [(None, "BETA", 5.0, 6.0, 0.0)]
+    rows = rows.union(spark.createDataFrame(odd, rows.schema))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_panel(rows, path, fmt, Series(block_rows=16))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = panel_files(spark, path).orderBy("key", "nth").collect()
+    assert sum(f.rows for f in files) == rows.count() and max(f.nth for f in files) > 1
+    for left, right in zip(files, files[1:]):
+        if left.key == right.key:
+            assert right.before == left.before + left.rows and (left.last is None or left.last < right.first)
+    some = read_panel_dates(spark, path, "2020-02-20", "2020-03-05", fmt)
+    assert sorted(some.collect()) == sorted(rows.where("Date between '2020-02-20' and '2020-03-05'").select(*some.columns).collect())
+    assert 0 < len(some.inputFiles()) < len(files)
+    assert read_panel_dates(spark, path, fmt=fmt).count() == rows.count()
+    assert {r.Ticker for r in read_panel_dates(spark, path, fmt=fmt, keys=["A/B", "50% + x", "none"]).collect()} == {"A/B", "50% + x"}
+    none = read_panel_dates(spark, path, until="1999-01-01", fmt=fmt)
+    assert none.count() == 0 and none.columns == some.columns
+    if fmt == "parquet":
+        numbered = numbered_panel(spark, path)
+        assert "Window" not in numbered._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.Ticker, r.nth, r.Date or dt.date.min) for r in numbered.collect())
+        assert got == [(k, n, d) for k, n, d in got if n >= 1] and len({(k, n) for k, n, _ in got}) == rows.count()
+        assert all(a[2] < b[2] for a, b in zip(got, got[1:]) if a[0] == b[0])
+
+
+def test_an_empty_panel_is_written_and_read(spark, tmp_path, panel_folder):
+    path = str(tmp_path / "empty")
+    write_panel(read_panel(spark, panel_folder, "csv").limit(0), path)
+    assert panel_files(spark, path).count() == read_panel_dates(spark, path, "2020-01-01").count() == numbered_panel(spark, path).count() == 0

@@ -394,6 +394,8 @@ SQL: dict[str, str] = {
     "write_read_roundtrip": with_tables(["panel"], panel_rows("panel", PRICE)),
     "read_some_keys": with_tables(["panel"], panel_rows("panel", PRICE, "WHERE k IN ('2-HIGH', '5-LOW')")),
     "csv_roundtrip": with_tables(["panel"], panel_rows("panel", {**PRICE, "nth": "row_number() OVER (PARTITION BY k, (d - DATE '1970-01-01') // 4096 ORDER BY d)"})),
+    "read_some_dates": with_tables(["panel"], panel_rows("panel", PRICE, "WHERE d BETWEEN DATE '1996-01-20' AND DATE '1996-04-19'")),
+    "panel_in_file_order": with_tables(["panel"], panel_rows("panel", {**PRICE, "nth": "row_number() OVER (PARTITION BY k ORDER BY d)"})),
     "price_files": with_tables(["ticks", "prices"], panel_rows("prices WHERE k IN ('1-URGENT', '5-LOW')", {"Close": "c", "Volume": "CAST(v AS BIGINT)"})),
     "price_files_missing": "SELECT unnest(['6-UNKNOWN', 'no [such] key']) AS key",
     "tweet_files": f"""SELECT strftime(CAST(DATE '1995-01-01' + CAST(doc_id // 15 % 2405 AS INTEGER) AS DATE), '%Y-%m-%d') AS "Date", {KEY_CASE} AS "Ticker",

@@ -18,9 +18,9 @@ from tidemark.operators.blocks import over_blocks
 from tidemark.operators.indicators import add_indicators, exponential_over_gaps, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market, panels
-from tidemark.series import PANEL
+from tidemark.series import PANEL, Series
 from tidemark.session import new_table_path, written
-from tidemark.sources import missing_keys, read_panel, read_prices, read_tweets, standardize, union_prices, write_panel
+from tidemark.sources import missing_keys, numbered_panel, read_panel, read_panel_dates, read_prices, read_tweets, standardize, union_prices, write_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,6 +219,22 @@ def csv_roundtrip(spark, folder):
     return rows.select("Date", "Ticker", "Close", "Volume", F.row_number().over(in_file).alias("nth"))
 
 
+@query
+def read_some_dates(spark, folder):
+    """Of a written panel, only the files that hold days of a quarter are opened."""
+    path = scratch_folder(spark)
+    write_panel(market.panel(spark, folder), path, series=Series(daily=True, block_rows=64))
+    return read_panel_dates(spark, path, "1996-01-20", "1996-04-19", schema=PANEL_COLUMNS)
+
+
+@query
+def panel_in_file_order(spark, folder):
+    """A written panel with the number of each row in its series, as told by the order of files and of rows in them."""
+    path = scratch_folder(spark)
+    write_panel(market.panel(spark, folder), path, series=Series(daily=True, block_rows=64))
+    return numbered_panel(spark, path, PANEL_COLUMNS)
+
+
 def written_price_files(spark: SparkSession, folder: str) -> str:
     """A folder with a price file per key, named by it, as price files come: all columns, days with orders only."""
     root = scratch_folder(spark)
