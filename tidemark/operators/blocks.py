@@ -19,6 +19,7 @@ from tidemark.series import Series
 POS = "_pos"
 BLOCK = "_block"
 HALO = "_halo"
+REPEATS = "_repeats"
 
 
 def known_rows(df: DataFrame, series: Series) -> DataFrame:
@@ -91,7 +92,7 @@ def so_far(window: WindowSpec) -> WindowSpec:
 
 
 def trim(df: DataFrame) -> DataFrame:
-    return df.where(~F.col(HALO)).drop(POS, BLOCK, HALO)
+    return df.where(~F.col(HALO)).drop(POS, BLOCK, HALO, REPEATS)
 
 
 def over_blocks(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import BLOCK, POS, block_window, lay_out, place, so_far, trim, with_carry
+from tidemark.operators.blocks import BLOCK, HALO, POS, REPEATS, block_window, day_number, lay_out, place, so_far, trim, whole_div, with_carry
 from tidemark.series import SERIES, Series
 
 
@@ -43,6 +43,7 @@ def densify(
     observed_default: dict[str, Column] | None = None,
     span: tuple[Column, Column] | None = None,
     series: Series = SERIES,
+    halo: int | None = None,
 ) -> DataFrame:
     """One row per key and day between the overall first and last date.
 
@@ -51,9 +52,13 @@ def densify(
     the last known value; otherwise they are NULL. Days before the first row of a key are NULL.
     ``keys`` selects keys, and adds those without any row. ``observed_default`` replaces NULLs
     of observed rows that have no earlier value to carry. ``span`` gives the first and last day
-    when the caller knows a cheaper way to them.
+    when the caller knows a cheaper way to them. With ``halo`` the days come laid out for windows that
+    look back at most so many rows (``lay_out_days``).
     """
-    return spread_days(stretch(df, values, keys, fill, span, series), values, keys, fill, observed_default, series)
+    stretched = stretch(df, values, keys, fill, span, series)
+    if halo is None:
+        return spread_days(stretched, values, keys, fill, observed_default, series)
+    return lay_out_days(stretched, halo, values, fill, observed_default, series)
 
 
 def stretch(
@@ -127,15 +132,61 @@ def spread_days(
 ) -> DataFrame:
     """One row per day out of what ``stretch`` returns (``keys`` and ``fill`` as there)."""
     key, date = series.key, series.date
-    defaults = observed_default or {}
-    known = stretched.withColumns({v: F.when(F.col(date).isNotNull(), F.coalesce(F.col(v), default)) for v, default in defaults.items()})
-    days = known.where(F.col("_from") < F.col("_until")).withColumn(
+    days = with_defaults(stretched, observed_default, date).where(F.col("_from") < F.col("_until")).withColumn(
         "_day", F.explode(F.sequence("_from", F.date_sub("_until", 1), F.expr("interval 1 day")))
     )
     holds = F.col("_day") >= F.col(date) if fill else F.col("_day") == F.col(date)
     return days.select(F.col("_day").alias(date), key, *[F.when(holds, F.col(v)).alias(v) for v in values])
 
 
+def with_defaults(stretched: DataFrame, observed_default: dict[str, Column] | None, date: str) -> DataFrame:
+    defaults = observed_default or {}
+    return stretched.withColumns({v: F.when(F.col(date).isNotNull(), F.coalesce(F.col(v), default)) for v, default in defaults.items()})
+
+
+def lay_out_days(
+    stretched: DataFrame,
+    halo: int,
+    values: tuple[str, ...] = ("Close", "Volume"),
+    fill: bool = True,
+    observed_default: dict[str, Column] | None = None,
+    series: Series = SERIES,
+) -> DataFrame:
+    """The rows of ``spread_days`` as ``lay_out`` and ``place`` leave them: with ``_pos``, ``_block`` and ``_halo``.
+
+    What is shuffled are the stretched rows, cut where a block or the days it looks back at begin and end. Days are made
+    inside the blocks, from rows in order, so that sorting them finds them sorted. ``_repeats`` marks days with the finite
+    or NULL values of the day before, but none that begin a block.
+    """
+    key, date, n = series.key, series.date, series.block_rows
+    kind = dict(stretched.dtypes)[date]
+    first, last = F.unix_date(F.col("_from").cast("date")).cast("long"), F.unix_date(F.col("_until").cast("date")).cast("long") - 1
+    known = with_defaults(stretched, observed_default, date).where(F.col("_from") < F.col("_until"))
+    pieces = (
+        known.select(date, key, *values, first.alias("_first"), last.alias("_last"))
+        .withColumn(BLOCK, F.explode(F.sequence(whole_div(F.col("_first"), n), whole_div(F.col("_last") + halo, n))))
+        .withColumns({
+            "_start": F.greatest(F.col("_first"), F.col(BLOCK) * n - halo),
+            "_end": F.least(F.col("_last"), F.col(BLOCK) * n + (n - 1)),
+        })
+        .select(date, key, *values, BLOCK, "_start", "_end")
+    )
+    placed = pieces.repartition(key, BLOCK).sortWithinPartitions(key, BLOCK, "_start")
+    days = placed.withColumn(POS, F.explode(F.sequence("_start", "_end")))
+    day = F.date_from_unix_date(F.col(POS).cast("int")).cast(kind)
+    holds = day >= F.col(date) if fill else day == F.col(date)
+    steady = [F.coalesce(~F.isnan(F.col(v).cast("double") * 0), F.lit(True)) for v in values]
+    opened = F.coalesce(F.col(POS) != day_number(series), F.lit(True))
+    repeats = (F.col(POS) > F.col("_start")) & opened & (F.col(POS) != F.col(BLOCK) * n)
+    if not fill:
+        repeats = repeats & F.coalesce(F.col(POS) != day_number(series) + 1, F.lit(True))
+    for one in steady:
+        repeats = repeats & one
+    return days.select(
+        day.alias(date), key, *[F.when(holds, F.col(v)).alias(v) for v in values], POS, BLOCK, (F.col(POS) < F.col(BLOCK) * n).alias(HALO), repeats.alias(REPEATS)
+    )
+
+
 def with_warmup(df: DataFrame, start: str, rows: int, series: Series = SERIES) -> DataFrame:
     """A daily panel from ``rows`` days before ``start``: enough for windows of that length.
 

@@ -10,15 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.blocks import block_window, lay_out, place, trim
-from tidemark.operators.cumulative import running_sum
+from tidemark.operators.blocks import BLOCK, HALO, POS, REPEATS, block_window, lay_out, place, so_far, trim, with_carry
 from tidemark.operators.ewm import carried_over, chained, combined, ewm_means_over_gaps, local_sums, reach
-from tidemark.operators.rolling import diff, rolling_max, rolling_mean, rolling_min, rolling_std, shift
+from tidemark.operators.rolling import diff, known, rolling_mean, rolling_std, shift, when_full, with_earlier
 from tidemark.series import SERIES, Series
 
 # Window lengths, spans and levels of the indicators.
@@ -28,6 +30,7 @@ MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 BAND_WIDTH = 2
 OVERBOUGHT, OVERSOLD = 70, 30
 PERIODS_PER_YEAR = 252
+PART = 5
 
 Windowed = Callable[[WindowSpec, "Inputs"], dict[str, Column]]
 Plain = Callable[["Inputs"], dict[str, Column]]
@@ -69,6 +72,15 @@ def mean_column(name: str, source: str, n: int) -> Indicator:
     return Indicator(n - 1, lambda w, i: {name: rolling_mean(getattr(i, source), n, w)})
 
 
+def mean_of_parts(name: str, n: int, size: int) -> Indicator:
+    """The mean of doubles by sums of ``size`` rows, ``n / size`` of which make the window."""
+    return Indicator(
+        n - 1,
+        lambda w, i: {f"_part_{n}": F.sum(i.price).over(w.rowsBetween(-(size - 1), 0)), f"_known_{n}": known(i.price, n, w)},
+        lambda w, i: {name: F.when(F.col(f"_known_{n}") == n, reduce(add, with_earlier(f"_part_{n}", n, size, w)) / n)},
+    )
+
+
 def middle_and_spread(w: WindowSpec, i: Inputs) -> dict[str, Column]:
     return {"_middle": rolling_mean(i.price, MIDDLE, w), "_spread": rolling_std(i.price, MIDDLE, w)}
 
@@ -86,8 +98,8 @@ def gains_and_losses(w: WindowSpec, i: Inputs) -> dict[str, Column]:
     frame = w.rowsBetween(-(SHORT - 1), 0)
     zero = F.lit(0.0)
     return {
-        "_gain": F.when(F.count(F.lit(1)).over(frame) == SHORT, F.avg(F.greatest(F.col("_change"), zero)).over(frame)),
-        "_loss": F.avg(F.greatest(-F.col("_change"), zero)).over(frame),
+        "_gain": F.when(F.count(F.lit(1)).over(so_far(w)) >= SHORT, F.sum(F.greatest(F.col("_change"), zero)).over(frame) / SHORT),
+        "_loss": F.sum(F.greatest(-F.col("_change"), zero)).over(frame) / SHORT,
     }
 
 
@@ -96,7 +108,16 @@ def strength_index(i: Inputs) -> dict[str, Column]:
 
 
 def range_of_prices(w: WindowSpec, i: Inputs) -> dict[str, Column]:
-    return {"_lowest": rolling_min(i.price, SHORT, w), "_highest": rolling_max(i.price, SHORT, w)}
+    part = w.rowsBetween(-(PART - 1), 0)
+    return {"_low_part": F.min(i.price).over(part), "_high_part": F.max(i.price).over(part), "_known_prices": known(i.price, SHORT, w)}
+
+
+def range_of_parts(w: WindowSpec, i: Inputs) -> dict[str, Column]:
+    full = F.col("_known_prices") == SHORT
+    return {
+        "_lowest": F.when(full, F.least(*with_earlier("_low_part", SHORT, PART, w))),
+        "_highest": F.when(full, F.greatest(*with_earlier("_high_part", SHORT, PART, w))),
+    }
 
 
 def stochastic(i: Inputs) -> dict[str, Column]:
@@ -127,7 +148,7 @@ INDICATORS: dict[str, Indicator] = {
     "Signal_Line": Indicator(reach(MACD_SLOW), means={**MACD_MEANS, "_mean_signal": MACD_SIGNAL}, last=signal_line),
     "ATR": Indicator(SHORT, change, lambda w, i: {"ATR": rolling_mean("_change", SHORT, w)}),
     "OBV": Indicator(1, change, running=True),
-    "Stochastic_K": Indicator(SHORT - 1, range_of_prices, last=stochastic),
+    "Stochastic_K": Indicator(SHORT - 1, range_of_prices, range_of_parts, stochastic),
     "Daily_Return": Indicator(1, daily_return),
     "Volatility": Indicator(
         MIDDLE,
@@ -154,6 +175,13 @@ INDICATORS: dict[str, Indicator] = {
     ),
 }
 
+# The same for prices that are doubles, with less to sum up per row.
+OF_DOUBLES = {
+    "SMA_20": mean_of_parts("SMA_20", MIDDLE, PART),
+    "SMA_50": mean_of_parts("SMA_50", LONG, 2 * PART),
+    "ATR": Indicator(SHORT, change, lambda w, i: {"ATR": when_full(F.sum, "_change", SHORT, w) / SHORT}),
+}
+
 PRICE_INDICATORS = [name for name in INDICATORS if not name.startswith("Sentiment")]
 MODEL_FEATURES = ["SMA_20", "SMA_50", "EMA_20", "RSI", "MACD", "ATR", "Stochastic_K", "OBV"]
 
@@ -170,42 +198,66 @@ def exponential_over_gaps(df: DataFrame, inputs: Inputs = Inputs(), series: Seri
     return rows.select(*[c for c in df.columns if c not in ("EMA_20", "MACD", "Signal_Line")], "EMA_20", "MACD", "Signal_Line")
 
 
+def look_back(names: list[str]) -> int:
+    """How many earlier rows the named indicators look back at."""
+    return max(INDICATORS[name].look_back for name in names)
+
+
 def add_indicators(
-    df: DataFrame, names: list[str] | None = None, inputs: Inputs = Inputs(), series: Series = SERIES
+    df: DataFrame, names: list[str] | None = None, inputs: Inputs = Inputs(), series: Series = SERIES, halo: int | None = None
 ) -> DataFrame:
     """Add the named indicators (all that the columns allow by default).
 
-    Rows without key or date belong to no series and are left out, here as in all windowed operators.
+    Rows without key or date belong to no series and are left out, here as in all windowed operators. ``halo`` states that
+    ``df`` is laid out already, with so many earlier rows (``densify`` with the same ``halo``): nothing is shuffled then.
     """
     if names is None:
         names = list(INDICATORS) if inputs.sentiment in df.columns else PRICE_INDICATORS
     unknown = [name for name in names if name not in INDICATORS]
     if unknown:
         raise ValueError(f"unknown indicators: {unknown}")
-    chosen = [INDICATORS[name] for name in names]
+    kinds = OF_DOUBLES if df.schema[inputs.price].dataType == DoubleType() else {}
+    chosen = [kinds.get(name, INDICATORS[name]) for name in names]
     if any(name.startswith("Sentiment") for name in names) and inputs.sentiment not in df.columns:
         raise ValueError(f"column {inputs.sentiment} is missing")
 
     w = block_window(series)
     means = {out: (inputs.price, span) for one in chosen for out, span in one.means.items()}
-    rows = lay_out(df, max(one.look_back for one in chosen), series)
+    needed = max(one.look_back for one in chosen)
+    if halo is not None and halo < needed:
+        raise ValueError(f"rows are laid out with {halo} earlier rows, {needed} are needed")
     running = any(one.running for one in chosen)
-    if means or running:
+    rows = lay_out(df, needed, series) if halo is None else df
+    if halo is None and (means or running):
         rows = place(rows, series)
-    if running:
-        signed = F.signum(diff(inputs.price, w)) * F.col(inputs.volume)
-        rows = rows.withColumn("_signed", F.coalesce(signed.cast("double"), F.lit(0.0)))
-        rows = running_sum(rows, {"OBV": "_signed"}, series)
+    laid = rows
     if means:
         rows = rows.withColumns(local_sums(means, series))
+    signed = F.coalesce((F.signum("_change") * F.col(inputs.volume)).cast("double"), F.lit(0.0))
     for stage in (
         {**{k: v for one in chosen for k, v in one.first(w, inputs).items()}, **carried_over(means, w)},
-        {**{k: v for one in chosen for k, v in one.second(w, inputs).items()}, **combined(means)},
+        {
+            **{k: v for one in chosen for k, v in one.second(w, inputs).items()},
+            **combined(means),
+            **({"_since": F.sum(F.when(~F.col(HALO), signed)).over(so_far(w))} if running else {}),
+        },
         {k: v for one in chosen for k, v in one.last(inputs).items()},
     ):
         if stage:
             rows = rows.withColumns(stage)
-    return trim(rows).select(*df.columns, *names)
+    if running:
+        # Last, when nothing needs the order of rows any more. A day that repeats the day before moves no volume.
+        moves = laid.where(~F.col(REPEATS)) if REPEATS in laid.columns else laid
+        moves = moves.withColumns(change(w, inputs)).withColumn("_signed", signed)
+        rows = with_carry(
+            rows.where(~F.col(HALO)),
+            moves,
+            {"_total": F.sum("_signed")},
+            lambda earlier, _: {"_carry": F.sum("_total").over(earlier)},
+            series,
+        ).withColumn("OBV", F.coalesce(F.col("_carry"), F.lit(0.0)) + F.col("_since"))
+    kept = [c for c in df.columns if halo is None or c not in (POS, BLOCK, HALO, REPEATS)]
+    return trim(rows).select(*kept, *names)
 
 
 def rsi_flags(df: DataFrame, high: float = OVERBOUGHT, low: float = OVERSOLD) -> DataFrame:

@@ -12,10 +12,22 @@ from tidemark.operators.blocks import BLOCK, day_number, known_rows, over_blocks
 from tidemark.series import SERIES, Series
 
 
-def when_full(make: Callable[[Column], Column], c: str | Column, n: int, w: WindowSpec) -> Column:
-    frame = w.rowsBetween(-(n - 1), 0)
+def known(c: str | Column, n: int, w: WindowSpec) -> Column:
+    """How many of the last ``n`` values are known: by two counts that grow with the rows, as a moving frame is read anew for each row."""
     column = as_column(c)
-    return F.when(F.count(column).over(frame) == n, make(column).over(frame))
+    return F.count(column).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.count(column).over(w.rowsBetween(Window.unboundedPreceding, -n))
+
+
+def with_earlier(part: str, n: int, size: int, w: WindowSpec) -> list[Column]:
+    """The parts of a frame of ``n`` rows: ``part`` was made over the last ``size`` rows, the others are the ``part`` of earlier rows.
+
+    Where ``size`` doesn't divide ``n``, the last two parts overlap.
+    """
+    return [F.col(part), *[shift(part, min(k, n - size), w) for k in range(size, n, size)]]
+
+
+def when_full(make: Callable[[Column], Column], c: str | Column, n: int, w: WindowSpec) -> Column:
+    return F.when(known(c, n, w) == n, make(as_column(c)).over(w.rowsBetween(-(n - 1), 0)))
 
 
 def rolling_mean(c: str | Column, n: int, w: WindowSpec) -> Column:

@@ -66,16 +66,22 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
+    """What suppliers ship; the key is their number, which is shorter than its text in all sorting and grouping."""
     return table(spark, folder, "lineitem").select(
-        F.to_date("l_shipdate").alias("Date"), F.col("l_suppkey").cast("string").alias("Ticker"), "l_extendedprice", "l_quantity"
+        F.to_date("l_shipdate").alias("Date"), F.col("l_suppkey").alias("Ticker"), "l_extendedprice", "l_quantity"
     )
 
 
-def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
+def supplier_days(spark: SparkSession, folder: str) -> DataFrame:
     """A wider panel: mean price and quantity by supplier and shipping day."""
     return shipped(spark, folder).groupBy("Date", "Ticker").agg(F.avg("l_extendedprice").alias("Close"), F.sum("l_quantity").alias("Volume"))
 
 
+def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """``supplier_days`` with the key as text."""
+    return supplier_days(spark, folder).withColumn("Ticker", F.col("Ticker").cast("string"))
+
+
 def dense(spark: SparkSession, folder: str) -> DataFrame:
     """Prices on every day of every key, carried forward; leading days stay NULL."""
     rows = ticks(spark, folder)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean_text
 from tidemark.functions.dates import parse_date
+from tidemark.functions.numbers import rounded
 from tidemark.operators import aggregates, calendar, cumulative, ewm, features, filling, forecast, rolling, statistics
 from tidemark.operators.blocks import over_blocks
-from tidemark.operators.indicators import add_indicators, exponential_over_gaps, rsi_flags
+from tidemark.operators.indicators import add_indicators, exponential_over_gaps, look_back, rsi_flags
 from tidemark.operators.sentiment import lexicon_score
 from tidemark.plans import market, panels
 from tidemark.series import PANEL, Series
@@ -54,9 +55,10 @@ def comparable(df: DataFrame) -> DataFrame:
         if kind == "date":
             shaped.append(F.col(name).cast("string").alias(name))
         elif name in LEVELS:
-            shaped.append(level(name).alias(name))
+            shaped.append((rounded(name, 4, level(name)) if kind == "double" else level(name)).alias(name))
         elif name in PLACES:
-            shaped.append(F.round(name, PLACES[name]).alias(name))
+            exactly = F.round(name, PLACES[name])
+            shaped.append((rounded(name, PLACES[name], exactly) if kind == "double" else exactly).alias(name))
         elif kind == "int":
             shaped.append(F.col(name).cast("bigint").alias(name))
         else:
@@ -432,9 +434,11 @@ def indicators_all(spark, folder):
 def supplier_indicators(spark, folder):
     """Many keys: every supplier's daily series, laid dense, with the windowed indicators."""
     span = calendar.first_and_last_day(market.shipped(spark, folder))
-    dense = calendar.densify(market.supplier_prices(spark, folder), span=span)
     names = ["SMA_20", "RSI", "ATR", "OBV", "Stochastic_K"]
-    return add_indicators(dense, names, series=PANEL).drop("Close", "Volume")
+    halo = look_back(names)
+    dense = calendar.densify(market.supplier_days(spark, folder), span=span, series=PANEL, halo=halo)
+    rows = add_indicators(dense, names, series=PANEL, halo=halo).drop("Close", "Volume")
+    return rows.withColumn("Ticker", F.col("Ticker").cast("string"))
 
 
 @query
