@@ -171,7 +171,9 @@ def lay_out_days(
         })
         .select(date, key, *values, BLOCK, "_start", "_end")
     )
-    placed = pieces.repartition(key, BLOCK).sortWithinPartitions(key, BLOCK, "_start")
+    # A set number: by their size, pieces would be put together into few tasks, in which several times as many days are sorted.
+    tasks = int(stretched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pieces.repartition(tasks, key, BLOCK).sortWithinPartitions(key, BLOCK, "_start")
     days = placed.withColumn(POS, F.explode(F.sequence("_start", "_end")))
     day = F.date_from_unix_date(F.col(POS).cast("int")).cast(kind)
     holds = day >= F.col(date) if fill else day == F.col(date)
